@@ -130,11 +130,12 @@ def doc_perplexity(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # -------------------------------------------------------- top-k per context
 
 def top_unigrams(model: CountModel, k: int, pool: str | None = None) -> Column:
-    """The k likeliest tokens without context, as one array value."""
+    """The k likeliest tokens without context, as one array of (token_id, p)."""
     u = f"u_{pool or model.pools[0]}"
     best = model.unigrams.orderBy(F.desc(u), "token_id").limit(k)
     packed = F.sort_array(F.collect_list(F.struct((-F.col(u)).alias("neg"), F.col("token_id"))))
-    return best.agg(packed).scalar()
+    return best.agg(F.transform(packed, lambda t: F.struct(
+        t["token_id"].alias("token_id"), (-t["neg"]).alias("p")))).scalar()
 
 
 def top_candidates(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
@@ -158,27 +159,25 @@ def top_candidates(model: CountModel, k: int = params.TOP_K, pool: str | None =
 
 
 def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
-    """:func:`top_candidates` with one array ``top`` of (rank, token_id, p) per context."""
+    """:func:`top_candidates` with one array ``top`` of (token_id, p) per context."""
     rows = top_candidates(model, k, pool)
-    return rows.groupBy(*model.ctx).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "token_id", "p"))).alias("top"))
+    packed = F.sort_array(F.collect_list(F.struct("rank", "token_id", "p")))
+    return rows.groupBy(*model.ctx).agg(F.transform(packed, lambda t: F.struct(
+        t["token_id"].alias("token_id"), t["p"].alias("p"))).alias("top"))
 
 
 def with_top_probs(scores: DataFrame, model: CountModel, k: int = params.TOP_K,
                    pool: str | None = None) -> DataFrame:
     """Add the map ``top`` of the k likeliest tokens at each position."""
-    lists = top_lists(model, k, pool)
-    default = F.transform(top_unigrams(model, k, pool),
-                          lambda t: F.struct(t["token_id"].alias("token_id"), (-t["neg"]).alias("p")))
-    known = F.transform("top", lambda t: F.struct(t["token_id"].alias("token_id"), t["p"].alias("p")))
-    joined = scores.join(small(lists, model.max_contexts), list(model.ctx), "left")
-    return joined.withColumn("top", F.map_from_entries(F.coalesce(known, default)))
+    joined = scores.join(small(top_lists(model, k, pool), model.max_contexts), list(model.ctx), "left")
+    filled = joined.withColumn("top", F.coalesce("top", top_unigrams(model, k, pool)))
+    return filled.withColumn("top", F.map_from_entries("top"))
 
 
 def with_max_p(scores: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
     """Add ``max_p``, the highest next-token probability at each position."""
     best = top_candidates(model, 1, pool).select(*model.ctx, F.col("p").alias("max_p"))
-    default = -F.element_at(top_unigrams(model, 1, pool), 1)["neg"]
+    default = F.element_at(top_unigrams(model, 1, pool), 1)["p"]
     joined = scores.join(small(best, model.max_contexts), list(model.ctx), "left")
     return joined.withColumn("max_p", F.coalesce("max_p", default))
 

@@ -3,6 +3,6 @@
 
 def all_queries():
     """(queries, SQL twins) by name."""
-    from inkprobe.plans import corpus_queries, registry  # noqa: F401
+    from inkprobe.plans import corpus_queries, registry, score_queries, token_queries  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.TWINS)
