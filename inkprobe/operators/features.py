@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.session import small
+from inkprobe.session import materialize, small
 
 
 def role() -> Column:
@@ -153,6 +153,6 @@ def extract_scaled(values: DataFrame, kind: str, n_folds: int = params.N_CHUNKS)
         scaled = scale_columns(rows, params.AGG_FEATURES, n_folds)
         return scaled.select(*by, "role", F.array(*params.AGG_FEATURES).alias("x"))
     edges = hist_edges(values.filter(F.col("chunk_id") != F.col("fold")), k)
-    hist = hist_features(values, edges, k, by, n_folds).withColumn("role", role())
+    hist = materialize(hist_features(values, edges, k, by, n_folds), "hist").withColumn("role", role())
     vectors = dense_vectors(hist, k, [*by, "role"])
     return scale_vectors(vectors, hist, k, n_folds)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from inkprobe import params
 from inkprobe.functions.skew import lookup_join
 from inkprobe.operators import tokens as tk
-from inkprobe.session import small
+from inkprobe.session import materialize, small
 
 TOKEN_SCORES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -46,6 +46,12 @@ class CountModel:
         """Row bound of ``contexts``: one context token means at most the vocabulary."""
         return self.size if len(self.ctx) == 1 else None
 
+    def stored(self) -> CountModel:
+        """The same model read from tables in the shared folder."""
+        return replace(self, terms=materialize(self.terms, "terms"),
+                       contexts=materialize(self.contexts, "contexts"),
+                       unigrams=materialize(self.unigrams, "unigrams"))
+
 
 def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
           ctx: Sequence[str] = ("prev",), lam: float = params.LAMBDA,

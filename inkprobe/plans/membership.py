@@ -39,12 +39,12 @@ class ChunkedScores:
 def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks: int = params.N_CHUNKS,
                  n_pos: int | None = None, min_len: int = params.MIN_TOKENS, seed: int = params.SEED,
                  context: int = params.CONTEXT, stride: int = params.STRIDE,
-                 size: int | None = params.VOCAB_SIZE, keep_tables: bool = False) -> ChunkedScores:
+                 size: int | None = params.VOCAB_SIZE, keep_tables: bool = True) -> ChunkedScores:
     """Chunk, train on the member pool and score.
 
     ``docs`` has text and the columns the two class conditions use. With
-    ``keep_tables`` the vocabulary, tokens and scores are written to the shared
-    folder once and all later steps read them.
+    ``keep_tables`` the vocabulary, model, tokens and scores are written to the
+    shared folder once and all later steps read them.
     """
     hold = materialize if keep_tables else (lambda df, name: df)
     vocab = hold(tk.build_vocab(docs, size), "vocab")
@@ -55,8 +55,7 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     model = sc.train(tk.token_table(pool, vocab, ["_member"], size=size), vocab,
                      {"target": F.col("_member")}, size=size)
     if keep_tables:
-        model = sc.CountModel(hold(model.terms, "terms"), hold(model.contexts, "contexts"),
-                              hold(model.unigrams, "unigrams"), model.ctx, model.pools, model.size)
+        model = model.stored()
     chosen = docs.select("doc_id", "text").join(chunks.drop("row_in_chunk"), "doc_id")
     tokens = hold(tk.token_table(chosen, vocab, ["chunk_id", "label"], size=size), "tokens")
     counts = tk.token_counts(tokens, ["chunk_id"])

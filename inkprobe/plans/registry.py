@@ -7,6 +7,7 @@ named blocks below, which are put in front of it as common table expressions.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from inkprobe import params
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
+from inkprobe.session import materialize
 from inkprobe.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,18 +81,31 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "text", "lang", "source", pool_no().alias("si"))
 
 
-def model_of(docs: DataFrame, vocab: DataFrame, with_ref: bool = False) -> sc.CountModel:
+@dataclass(frozen=True)
+class Prepared:
+    """The stage tables later steps read: vocabulary, tokens and count model."""
+
+    vocab: DataFrame
+    tokens: DataFrame
+    model: sc.CountModel
+
+
+def prepare(spark: SparkSession, d: str, keep: Sequence[str] = ("si",), with_ref: bool = False,
+            **options: bool) -> Prepared:
+    """Tokenise ``documents`` and train on the member pool, writing each stage once."""
+    docs = documents(spark, d)
+    vocab = materialize(tk.build_vocab(docs), "vocab")
+    tokens = materialize(tk.token_table(docs, vocab, list(keep), **options), "tokens")
     pools = {"target": is_member()}
     if with_ref:
         pools["reference"] = is_reference()
-    return sc.train(tk.token_table(docs, vocab, ["si"]), vocab, pools)
+    return Prepared(vocab, tokens, sc.train(tokens, vocab, pools).stored())
 
 
 def scored_docs(spark: SparkSession, d: str, keep: Sequence[str] = ("si", "lang")) -> DataFrame:
     """Loss of every position of every document under the member model."""
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    return sc.score_tokens(tk.token_table(docs, vocab, list(keep)), model_of(docs, vocab))
+    ready = prepare(spark, d, keep)
+    return sc.score_tokens(ready.tokens, ready.model)
 
 
 # ------------------------------------------------------------- shared blocks
@@ -154,6 +169,9 @@ block("m_best", ["m_terms", "m_ctx", "m_uni"], """
   SELECT prev, greatest(max(b + keep * u), max(keep) * (SELECT max(u) FROM m_uni)) AS max_p
   FROM m_terms JOIN m_ctx USING (prev) JOIN m_uni USING (token_id) GROUP BY prev""")
 
+block("best_u", ["m_uni"], f"""
+  SELECT token_id, u, row_number() OVER (ORDER BY u DESC, token_id) AS r FROM m_uni
+  QUALIFY r <= {params.TOP_K}""")
 block("cls", ["lengths"], f"""
   SELECT doc_id, CASE WHEN si < 8 THEN 1 ELSE 0 END AS label
   FROM lengths WHERE si < 16 AND n_tokens > {params.MIN_TOKENS}""")

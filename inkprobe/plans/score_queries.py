@@ -19,21 +19,22 @@ from inkprobe.plans.registry import (
     documents,
     is_member,
     is_non_member,
-    model_of,
+    prepare,
     query,
     rnd,
     rounded_sql,
     scored_docs,
 )
-from inkprobe.plans.token_queries import chunk_tokens
+from inkprobe.session import materialize
+
 
 K = params.HIST_BINS
 AGG = list(params.AGG_FEATURES)
 FOLD_KEYS = ["fold", "doc_id", "chunk_id", "label"]
 
 
-def chunked(spark, d, keep_tables=False):
-    return mb.score_chunks(documents(spark, d), is_member(), is_non_member(), keep_tables=keep_tables)
+def chunked(spark, d):
+    return mb.score_chunks(documents(spark, d), is_member(), is_non_member())
 
 
 def values(spark, d, kind="ratio", table="token_freq"):
@@ -298,7 +299,7 @@ def g7(spark, d):
 
 
 def _predictions(spark, d, models, **kw):
-    _, rows = mb.cross_validate(chunked(spark, d, keep_tables=True), models=models, **kw)
+    _, rows = mb.cross_validate(chunked(spark, d), models=models, **kw)
     return rows
 
 
@@ -339,13 +340,13 @@ def g9_features(spark, d):
 
 @query("g9_cross_validation")
 def g9(spark, d):
-    metrics, _ = mb.cross_validate(chunked(spark, d, keep_tables=True), models=ev.DEFAULT_MODELS)
+    metrics, _ = mb.cross_validate(chunked(spark, d), models=ev.DEFAULT_MODELS)
     return metrics
 
 
 @query("g10_experiment_grid")
 def g10(spark, d):
-    data = chunked(spark, d, keep_tables=True)
+    data = chunked(spark, d)
     return ev.fold_metrics(mb.run_grid(data, models="logistic_regression"),
                            ["experiment_name", "model", "fold"])
 
@@ -391,10 +392,8 @@ block("wmin", ["wrows"], f"""
 
 
 def losses(spark, d):
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    tokens = tk.token_table(docs, vocab, with_word=True, lower=True)
-    return bl.window_losses(tokens, model_of(docs, vocab, with_ref=True))
+    ready = prepare(spark, d, with_ref=True, with_word=True, lower=True)
+    return bl.window_losses(ready.tokens, ready.model)
 
 
 @query("h1_window_perplexity", """
@@ -490,19 +489,13 @@ block("n_top", ["n_pos", "n_cand"], f"""
   WHERE rank <= {params.N_NEIGHBOURS}""")
 
 
-def swap_input(spark, d):
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    train_tokens = tk.token_table(docs, vocab, ["si"], with_next=True)
-    masked = sc.train(train_tokens, vocab, {"target": is_member()}, ctx=("prev", "next"))
-    target = model_of(docs, vocab)
-    positions = nb.swap_positions(tk.token_table(docs, vocab, with_next=True))
-    return positions, nb.triple_options(positions, masked, target), target
-
-
-def found(spark, d):
-    positions, triples, target = swap_input(spark, d)
-    return nb.candidates(positions, triples), target
+def swaps(spark, d):
+    """Candidates of every position, the tokens and the model they are scored with."""
+    ready = prepare(spark, d, with_next=True)
+    masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()}, ctx=("prev", "next")).stored()
+    positions = nb.swap_positions(ready.tokens)
+    triples = materialize(nb.triple_options(positions, masked, ready.model), "triples")
+    return nb.candidates(positions, triples), ready
 
 
 @query("i1_candidates", """
@@ -510,7 +503,7 @@ def found(spark, d):
   FROM n_pos JOIN n_cand USING (prev, token_id, next) WHERE pos > begin GROUP BY doc_id, begin""",
        ["n_pos", "n_cand"])
 def i1(spark, d):
-    cands, _ = found(spark, d)
+    cands, ready = swaps(spark, d)
     each = cands.select("doc_id", "begin", F.explode("options").alias("o"))
     return each.groupBy("doc_id", "begin").agg(
         F.count("*").alias("n"), F.sum(F.col("o.token_id").cast("bigint")).alias("id_sum"),
@@ -522,7 +515,7 @@ def i1(spark, d):
   FROM n_pos JOIN n_cand USING (prev, token_id, next) WHERE pos > begin GROUP BY doc_id, begin""",
        ["n_pos", "n_cand"])
 def i2(spark, d):
-    cands, _ = found(spark, d)
+    cands, ready = swaps(spark, d)
     each = cands.select("doc_id", "begin", F.explode("options").alias("o"))
     return each.groupBy("doc_id", "begin").agg(
         rnd(F.sum("o.weight"), "weight_sum"), rnd(F.max("o.weight"), "weight_max"))
@@ -532,7 +525,7 @@ def i2(spark, d):
   SELECT doc_id, begin::INTEGER AS begin, rank::INTEGER AS rank, pos::INTEGER AS pos,
          cand::INTEGER AS cand_id, round(weight, 6) AS weight FROM n_top""", ["n_top"])
 def i3(spark, d):
-    cands, _ = found(spark, d)
+    cands, ready = swaps(spark, d)
     return nb.top_neighbors(cands).select("doc_id", "begin", "rank", "pos", "cand_id", rnd("weight"))
 
 
@@ -541,9 +534,8 @@ def i3(spark, d):
          md5(string_agg(CASE WHEN s.pos = n.pos THEN n.cand ELSE s.token_id END, ' ' ORDER BY s.pos)) AS sequence_md5
   FROM n_top n JOIN n_pos s USING (doc_id, begin) GROUP BY doc_id, begin, rank""", ["n_top", "n_pos"])
 def i4(spark, d):
-    cands, _ = found(spark, d)
-    docs = documents(spark, d)
-    rows = tk.explode_windows(tk.token_table(docs, tk.build_vocab(docs)))
+    cands, ready = swaps(spark, d)
+    rows = tk.explode_windows(ready.tokens)
     ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))), lambda e: e["token_id"])
     sequences = rows.groupBy("doc_id", "begin").agg(ids.alias("sequence"))
     swapped = nb.apply_replacement(sequences, nb.top_neighbors(cands))
@@ -576,6 +568,6 @@ def i5(spark, d):
     LEFT JOIN m_ctx c2 ON c2.prev = n.cand LEFT JOIN m_uni u2 ON u2.token_id = n.next)
   GROUP BY doc_id, begin""", ["n_top", "wrows", "m_terms", "m_ctx", "m_uni"])
 def i6(spark, d):
-    cands, target = found(spark, d)
-    return nb.neighborhood_score(nb.top_neighbors(cands), target).select(
+    cands, ready = swaps(spark, d)
+    return nb.neighborhood_score(nb.top_neighbors(cands), ready.model).select(
         "doc_id", "begin", "n_neighbors", rnd("neighborhood_score"))

@@ -12,8 +12,8 @@ from inkprobe.operators import sampling as sp
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
 from inkprobe.plans.corpus_queries import chunk_table
-from inkprobe.plans.registry import block, documents, model_of, query, rnd, scored_docs
-from inkprobe.session import run_folder
+from inkprobe.plans.registry import block, documents, prepare, query, rnd, scored_docs
+from inkprobe.session import materialize, run_folder
 from inkprobe.sources import corpora
 from inkprobe.streaming import counts as stream
 
@@ -38,7 +38,7 @@ def uniform_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
          sum(token_id)::BIGINT AS id_sum FROM t WHERE pos > 0 GROUP BY doc_id""", ["t"])
 def d0(spark, d):
     docs = documents(spark, d).select("doc_id", "text")
-    corpus = tk.tokenize(docs, tk.build_vocab(docs))
+    corpus = tk.tokenize(docs, materialize(tk.build_vocab(docs), "vocab"))
     raw = sc.score_with(corpus.select("doc_id", "input_ids"), uniform_scores,
                         "doc_id bigint, pos int, token_id int, nll double")
     return sc.from_token_scores(raw).groupBy("doc_id").agg(
@@ -53,7 +53,7 @@ def d0(spark, d):
        ["split", "ids"])
 def d1(spark, d):
     docs = documents(spark, d).drop("si")
-    rows = tk.tokenize(docs, tk.build_vocab(docs))
+    rows = tk.tokenize(docs, materialize(tk.build_vocab(docs), "vocab"))
     return rows.select(
         "doc_id", "lang", "source", F.size("input_ids").alias("n_tokens"),
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
@@ -88,7 +88,7 @@ block("twin", ["ids"], f"""
   FROM twin LEFT JOIN vocab v USING (token_id) GROUP BY doc_id, begin""", ["twin", "vocab"])
 def d2b(spark, d):
     docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
+    vocab = materialize(tk.build_vocab(docs), "vocab")
     rows = tk.explode_windows(tk.token_table(docs, vocab))
     return tk.decode(rows, vocab, ["doc_id", "begin"])
 
@@ -127,9 +127,6 @@ def d6(spark, d):
     return sc.resolve_overlaps(rows).select("doc_id", "pos", "begin", rnd("nll"))
 
 
-block("best_u", ["m_uni"], f"""
-  SELECT token_id, u, row_number() OVER (ORDER BY u DESC, token_id) AS r FROM m_uni
-  QUALIFY r <= {params.TOP_K}""")
 block("m_top", ["m_terms", "m_ctx", "m_uni", "best_u"], f"""
   SELECT prev, token_id, p, rank FROM (
     SELECT prev, token_id, b + keep * u AS p,
@@ -145,9 +142,7 @@ block("m_top", ["m_terms", "m_ctx", "m_uni", "best_u"], f"""
   SELECT prev::INTEGER AS context_id, rank::INTEGER AS rank, token_id::INTEGER AS token_id, round(p, 9) AS p
   FROM m_top""", ["m_top"])
 def d7(spark, d):
-    docs = documents(spark, d)
-    model = model_of(docs, tk.build_vocab(docs))
-    return sc.top_candidates(model).select(
+    return sc.top_candidates(prepare(spark, d).model).select(
         F.col("prev").alias("context_id"), "rank", "token_id", rnd("p", digits=9))
 
 
@@ -158,10 +153,8 @@ def d7(spark, d):
        (SELECT sum(u) AS total, sum(token_id) AS ids FROM best_u) g
   GROUP BY doc_id""", ["scored", "m_top", "best_u"])
 def d7_positions(spark, d):
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    model = model_of(docs, vocab)
-    rows = sc.with_top_probs(sc.score_tokens(tk.token_table(docs, vocab), model), model)
+    ready = prepare(spark, d)
+    rows = sc.with_top_probs(sc.score_tokens(ready.tokens, ready.model), ready.model)
     mass = F.aggregate(F.map_values("top"), F.lit(0.0), lambda a, x: a + x)
     ids = F.aggregate(F.map_keys("top"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.groupBy("doc_id").agg(
@@ -188,35 +181,31 @@ def d9(spark, d):
                / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS background
   FROM t LEFT JOIN m_ctx USING (prev) WHERE pos > 0 GROUP BY doc_id, prev""", ["t", "m_ctx"])
 def d10(spark, d):
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    tokens = tk.token_table(docs, vocab)
-    return sc.doc_general_proba(tokens, model_of(docs, vocab)).select(
+    ready = prepare(spark, d)
+    return sc.doc_general_proba(ready.tokens, ready.model).select(
         "doc_id", "prev", "slots", rnd("weight", digits=9), rnd("background", digits=9))
 
 
-def chunk_tokens(spark, d, vocab=None):
-    docs = documents(spark, d)
-    vocab = vocab if vocab is not None else tk.build_vocab(docs)
-    chosen = docs.select("doc_id", "text").join(chunk_table(spark, d).drop("row_in_chunk"), "doc_id")
-    return tk.token_table(chosen, vocab, ["chunk_id", "label"])
+def chunk_tokens(ready, spark, d):
+    """Tokens of the chunked documents only."""
+    chunks = chunk_table(spark, d).drop("row_in_chunk")
+    return ready.tokens.join(chunks, "doc_id")
 
 
 @query("d11_general_proba", """
   SELECT chunk_id, token_id::INTEGER AS token_id, round(value, 10) AS value FROM gp""", ["gp"])
 def d11(spark, d):
-    docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
-    model = model_of(docs, vocab)
-    weights = sc.doc_general_proba(chunk_tokens(spark, d, vocab), model, ["chunk_id"])
-    return sc.general_proba(weights, model).select("chunk_id", "token_id", rnd("value", digits=10))
+    ready = prepare(spark, d)
+    weights = sc.doc_general_proba(chunk_tokens(ready, spark, d), ready.model, ["chunk_id"])
+    return sc.general_proba(weights, ready.model).select("chunk_id", "token_id", rnd("value", digits=10))
 
 
 @query("d12_token_counts", """
   SELECT source, token_id::INTEGER AS token_id, count(*) AS n FROM ids GROUP BY source, token_id""", ["ids"])
 def d12(spark, d):
     docs = documents(spark, d)
-    return tk.token_counts(tk.token_table(docs, tk.build_vocab(docs), ["source"]), ["source"])
+    vocab = materialize(tk.build_vocab(docs), "vocab")
+    return tk.token_counts(tk.token_table(docs, vocab, ["source"]), ["source"])
 
 
 @query("d13_merge_counts", f"""
@@ -229,7 +218,7 @@ def d12(spark, d):
   GROUP BY token_id""", ["ids", "vocab"])
 def d13(spark, d):
     docs = documents(spark, d)
-    vocab = tk.build_vocab(docs)
+    vocab = materialize(tk.build_vocab(docs), "vocab")
     talk = corpora.text_table(spark, d, "conversations", "conv_id").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     old = tk.token_counts(tk.token_table(docs, vocab))
@@ -248,5 +237,8 @@ def d13_stream(spark, d):
 @query("d14_token_freq", """
   SELECT chunk_id, token_id::INTEGER AS token_id, n, round(value, 10) AS value FROM tf""", ["tf"])
 def d14(spark, d):
-    counts = tk.token_counts(chunk_tokens(spark, d), ["chunk_id"])
+    docs = documents(spark, d)
+    vocab = materialize(tk.build_vocab(docs), "vocab")
+    tokens = tk.token_table(docs, vocab).join(chunk_table(spark, d).drop("row_in_chunk"), "doc_id")
+    counts = materialize(tk.token_counts(tokens, ["chunk_id"]), "counts")
     return tk.token_freq(counts, ["chunk_id"]).select("chunk_id", "token_id", "n", rnd("value", digits=10))
