@@ -149,7 +149,7 @@ def extract_scaled(values: DataFrame, kind: str, n_folds: int = params.N_CHUNKS)
     by = ["fold", "doc_id", "chunk_id", "label"]
     k = feature_kind(kind)
     if k is None:
-        rows = agg_features(values, by).withColumn("role", role())
+        rows = materialize(agg_features(values, by), "features").withColumn("role", role())
         scaled = scale_columns(rows, params.AGG_FEATURES, n_folds)
         return scaled.select(*by, "role", F.array(*params.AGG_FEATURES).alias("x"))
     edges = hist_edges(values.filter(F.col("chunk_id") != F.col("fold")), k)

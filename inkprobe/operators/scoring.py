@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,26 +46,26 @@ class CountModel:
         """Row bound of ``contexts``: one context token means at most the vocabulary."""
         return self.size if len(self.ctx) == 1 else None
 
-    def stored(self) -> CountModel:
-        """The same model read from tables in the shared folder."""
-        return replace(self, terms=materialize(self.terms, "terms"),
-                       contexts=materialize(self.contexts, "contexts"),
-                       unigrams=materialize(self.unigrams, "unigrams"))
-
 
 def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
           ctx: Sequence[str] = ("prev",), lam: float = params.LAMBDA,
-          size: int | None = params.VOCAB_SIZE) -> CountModel:
-    """Count every pool in one scan and one shuffle of partly aggregated pairs."""
+          size: int | None = params.VOCAB_SIZE, store: bool = False) -> CountModel:
+    """Count every pool in one scan and one shuffle of partly aggregated pairs.
+
+    ``store`` writes the counts and the two small tables to the shared folder;
+    without it every use of the model counts again.
+    """
+    hold = materialize if store else (lambda df, name: df)
     ctx = list(ctx)
     member = {p: F.sum(F.when(cond, 1).otherwise(0)) for p, cond in pools.items()}
     used = None
     for cond in pools.values():
         used = cond if used is None else used | cond
-    pairs = tokens.filter(used).groupBy(*ctx, "token_id").agg(
-        *[m.alias(f"n_{p}") for p, m in member.items()])
+    pairs = hold(tokens.filter(used).groupBy(*ctx, "token_id").agg(
+        *[m.alias(f"n_{p}") for p, m in member.items()]), "pairs")
 
-    contexts = pairs.groupBy(*ctx).agg(*[F.sum(f"n_{p}").alias(f"c_{p}") for p in pools])
+    contexts = hold(pairs.groupBy(*ctx).agg(
+        *[F.sum(f"n_{p}").alias(f"c_{p}") for p in pools]), "contexts")
     seen = lambda p: F.col(f"c_{p}") > 0
     bound = size if len(ctx) == 1 else None
     terms = pairs.join(small(contexts, bound), ctx).select(
@@ -88,7 +88,7 @@ def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
     unigrams = joined.select(
         "token_id",
         *[((F.coalesce(f"n_{p}", F.lit(0)) + 1) / denom[p]).alias(f"u_{p}") for p in pools])
-    return CountModel(terms, contexts, unigrams, tuple(ctx), tuple(pools), size)
+    return CountModel(terms, contexts, hold(unigrams, "unigrams"), tuple(ctx), tuple(pools), size)
 
 
 def attach_nll(rows: DataFrame, model: CountModel, spread: Sequence[str],
@@ -181,35 +181,48 @@ def with_top_probs(scores: DataFrame, model: CountModel, k: int = params.TOP_K,
 
 
 def with_max_p(scores: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
-    """Add ``max_p``, the highest next-token probability at each position."""
-    best = top_candidates(model, 1, pool).select(*model.ctx, F.col("p").alias("max_p"))
-    default = F.element_at(top_unigrams(model, 1, pool), 1)["p"]
-    joined = scores.join(small(best, model.max_contexts), list(model.ctx), "left")
-    return joined.withColumn("max_p", F.coalesce("max_p", default))
+    """Add ``max_p``, the highest next-token probability at each position.
+
+    It belongs to a seen token or to the likeliest unigram.
+    """
+    pool = pool or model.pools[0]
+    ctx = list(model.ctx)
+    top_u = model.unigrams.agg(F.max(f"u_{pool}")).scalar()
+    seen = model.terms.select(*ctx, "token_id", f"b_{pool}").join(
+        small(model.unigrams.select("token_id", f"u_{pool}"), model.size), "token_id").join(
+        small(model.contexts.select(*ctx, f"keep_{pool}"), model.max_contexts), ctx)
+    best = seen.groupBy(*ctx).agg(
+        F.max(F.col(f"b_{pool}") + F.col(f"keep_{pool}") * F.col(f"u_{pool}")).alias("_seen"),
+        F.max(f"keep_{pool}").alias("_keep"))
+    joined = scores.join(small(best, model.max_contexts), ctx, "left")
+    cap = F.col("_top_u")
+    return joined.withColumn("_top_u", top_u).withColumn(
+        "max_p", F.coalesce(F.greatest("_seen", F.col("_keep") * cap), cap)).drop(
+        "_seen", "_keep", "_top_u")
 
 
 # ---------------------------------------------------- general probability
 
-def doc_general_proba(tokens: DataFrame, model: CountModel, by: Sequence[str] = (),
-                      context: int = params.CONTEXT, stride: int = params.STRIDE,
-                      pool: str | None = None) -> DataFrame:
+def doc_general_proba(tokens: DataFrame, by: Sequence[str] = (), context: int = params.CONTEXT,
+                      stride: int = params.STRIDE) -> DataFrame:
     """Mean next-token distribution of each document, in factored form.
 
     ``weight`` is the share of the document's window slots with context
-    ``prev``; the mean distribution is sum(weight * p(. | prev)). ``background``
-    is the part of its mass that follows the unigram table. Rows grow with the
-    text and not with documents x vocabulary.
+    ``prev``; the mean distribution is sum(weight * p(. | prev)). Rows grow with
+    the text and not with documents x vocabulary, and the number of slots
+    follows from the length, so one aggregation is all there is.
     """
-    keep = f"keep_{pool or model.pools[0]}"
     slots = tokens.withColumn("_s", tk.slot_count(context, stride)).filter("_s > 0")
-    per = slots.groupBy("doc_id", *by, "prev").agg(F.sum("_s").alias("slots"))
-    per = per.join(small(model.contexts, model.max_contexts), ["prev"], "left").withColumn(
-        "_bg", F.col("slots") * F.coalesce(keep, F.lit(1.0)))
-    doc = W.partitionBy("doc_id")
-    return per.select(
-        "doc_id", *by, "prev", "slots",
-        (F.col("slots") / F.sum("slots").over(doc)).alias("weight"),
-        (F.sum("_bg").over(doc) / F.sum("slots").over(doc)).alias("background"))
+    per = slots.groupBy("doc_id", *by, "prev", "n_tokens").agg(F.sum("_s").alias("slots"))
+    return per.select("doc_id", *by, "prev", "slots",
+                      (F.col("slots") / tk.total_slots(context, stride)).alias("weight"))
+
+
+def doc_background(weights: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
+    """Mass of each document's mean distribution that follows the unigram table."""
+    keep = F.coalesce(f"keep_{pool or model.pools[0]}", F.lit(1.0))
+    rows = weights.join(small(model.contexts, model.max_contexts), "prev", "left")
+    return rows.groupBy("doc_id").agg(F.sum(F.col("weight") * keep).alias("background"))
 
 
 def expand_general_proba(weights: DataFrame, model: CountModel, by: Sequence[str],
@@ -233,7 +246,7 @@ def expand_general_proba(weights: DataFrame, model: CountModel, by: Sequence[str
 
 
 def general_proba(doc_weights: DataFrame, model: CountModel, by: Sequence[str] = ("chunk_id",),
-                  pool: str | None = None) -> DataFrame:
+                  pool: str | None = None, store: bool = False) -> DataFrame:
     """Unweighted mean of the documents' distributions.
 
     Being linear in the weights, it averages the weights first and meets the
@@ -241,10 +254,12 @@ def general_proba(doc_weights: DataFrame, model: CountModel, by: Sequence[str] =
     scored slot have no weights and do not count.
     """
     by = list(by)
-    n_docs = doc_weights.groupBy(*by, "doc_id").agg(F.lit(1).alias("_one")).groupBy(*by).agg(
-        F.count("*").alias("_docs"))
-    mean = doc_weights.groupBy(*by, "prev").agg(F.sum("weight").alias("_w")).join(n_docs, by).select(
-        *by, "prev", (F.col("_w") / F.col("_docs")).alias("weight"))
+    # A document's weights add up to 1, so a group's weights add up to its documents.
+    docs = F.round(F.sum("_w").over(W.partitionBy(*by)))
+    mean = doc_weights.groupBy(*by, "prev").agg(F.sum("weight").alias("_w")).select(
+        *by, "prev", (F.col("_w") / docs).alias("weight"))
+    if store:
+        mean = materialize(mean, "mean_weights")
     return expand_general_proba(mean, model, by, pool)
 
 

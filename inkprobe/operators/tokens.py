@@ -183,6 +183,12 @@ def slot_count(context: int, stride: int) -> Column:
     return F.when(pos > 0, F.greatest(n, F.lit(0))).otherwise(F.lit(0)).cast("int")
 
 
+def total_slots(context: int, stride: int) -> Column:
+    """Sum of :func:`slot_count` over a document: full windows, then the last one."""
+    n, last = F.col("n_tokens"), last_begin(context, stride)
+    return (last / F.lit(stride)).cast("bigint") * (context - 1) + (n - last - 1)
+
+
 def explode_windows(tokens: DataFrame, context: int = params.CONTEXT, stride: int = params.STRIDE,
                     early_stop: bool = False) -> DataFrame:
     """One row per token and window that covers it (first position included); narrow."""

@@ -48,25 +48,23 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     """
     hold = materialize if keep_tables else (lambda df, name: df)
     vocab = hold(tk.build_vocab(docs, size), "vocab")
-    lengths = docs.select("*", F.size(tk.words("text")).alias("n_tokens"))
-    chunks = hold(sp.split_chunks(lengths.filter(member), lengths.filter(non_member),
-                                  n_chunks, n_pos, min_len, seed), "chunks")
-    pool = docs.withColumn("_member", member).select("doc_id", "text", "_member")
-    model = sc.train(tk.token_table(pool, vocab, ["_member"], size=size), vocab,
-                     {"target": F.col("_member")}, size=size)
-    if keep_tables:
-        model = model.stored()
-    chosen = docs.select("doc_id", "text").join(chunks.drop("row_in_chunk"), "doc_id")
-    tokens = hold(tk.token_table(chosen, vocab, ["chunk_id", "label"], size=size), "tokens")
-    counts = tk.token_counts(tokens, ["chunk_id"])
-    scores = sc.with_max_p(sc.score_tokens(tokens, model, context, stride), model).select(
+    classed = docs.select("doc_id", "text", F.when(member, 1).when(non_member, 0).alias("_class"))
+    tokens = hold(tk.token_table(classed, vocab, ["_class"], size=size), "tokens")
+    # One row per document: every document with a token has a first one.
+    lengths = tokens.filter("pos = 0").select("doc_id", "n_tokens", "_class")
+    chunks = hold(sp.split_chunks(lengths.filter("_class = 1"), lengths.filter("_class = 0"),
+                                  n_chunks, n_pos, min_len, seed), "chunks").drop("row_in_chunk")
+    model = sc.train(tokens, vocab, {"target": F.col("_class") == 1}, size=size, store=keep_tables)
+    chosen = tokens.drop("_class").join(chunks, "doc_id")
+    counts = hold(tk.token_counts(chosen, ["chunk_id"]), "counts")
+    scores = sc.with_max_p(sc.score_tokens(chosen, model, context, stride), model).select(
         "doc_id", "chunk_id", "label", "pos", "token_id", "nll", "max_p")
-    weights = sc.doc_general_proba(tokens, model, ["chunk_id"], context, stride)
+    weights = sc.doc_general_proba(chosen, ["chunk_id"], context, stride)
     return ChunkedScores(
         hold(scores, "scores"),
-        hold(counts.groupBy("chunk_id").agg(F.sum("n").alias("tokens")), "chunk_tokens"),
-        hold(tk.token_freq(counts, ["chunk_id"]).select("chunk_id", "token_id", "value"), "token_freq"),
-        hold(sc.general_proba(weights, model), "general_proba"), n_chunks)
+        counts.groupBy("chunk_id").agg(F.sum("n").alias("tokens")),
+        tk.token_freq(counts, ["chunk_id"]).select("chunk_id", "token_id", "value"),
+        sc.general_proba(weights, model, store=keep_tables), n_chunks)
 
 
 def fold_values(data: ChunkedScores, norm_type: str, norm_table: str,
@@ -74,7 +72,7 @@ def fold_values(data: ChunkedScores, norm_type: str, norm_table: str,
     """Normalised values of every document in every fold, norms from training chunks only."""
     norms = None
     if norm_type != "none":
-        norms = nm.fold_norms(data.norm(norm_table), data.chunk_tokens, data.n_chunks)
+        norms = materialize(nm.fold_norms(data.norm(norm_table), data.chunk_tokens, data.n_chunks), "norms")
     rows = nm.fan_out(data.scores, norms, data.n_chunks, size)
     return nm.normalize(rows, norm_type).select("fold", "doc_id", "chunk_id", "label", "pos", "value")
 

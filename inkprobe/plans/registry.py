@@ -99,7 +99,7 @@ def prepare(spark: SparkSession, d: str, keep: Sequence[str] = ("si",), with_ref
     pools = {"target": is_member()}
     if with_ref:
         pools["reference"] = is_reference()
-    return Prepared(vocab, tokens, sc.train(tokens, vocab, pools).stored())
+    return Prepared(vocab, tokens, sc.train(tokens, vocab, pools, store=True))
 
 
 def scored_docs(spark: SparkSession, d: str, keep: Sequence[str] = ("si", "lang")) -> DataFrame:

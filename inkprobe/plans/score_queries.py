@@ -492,7 +492,8 @@ block("n_top", ["n_pos", "n_cand"], f"""
 def swaps(spark, d):
     """Candidates of every position, the tokens and the model they are scored with."""
     ready = prepare(spark, d, with_next=True)
-    masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()}, ctx=("prev", "next")).stored()
+    masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()},
+                      ctx=("prev", "next"), store=True)
     positions = nb.swap_positions(ready.tokens)
     triples = materialize(nb.triple_options(positions, masked, ready.model), "triples")
     return nb.candidates(positions, triples), ready

@@ -176,14 +176,21 @@ def d9(spark, d):
 
 @query("d10_doc_general_proba", """
   SELECT doc_id, prev::INTEGER AS prev, count(*) AS slots,
-         round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS weight,
-         round(sum(sum(coalesce(keep, 1.0))) OVER (PARTITION BY doc_id)
-               / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS background
-  FROM t LEFT JOIN m_ctx USING (prev) WHERE pos > 0 GROUP BY doc_id, prev""", ["t", "m_ctx"])
+         round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS weight
+  FROM t WHERE pos > 0 GROUP BY doc_id, prev""", ["t"])
 def d10(spark, d):
+    docs = documents(spark, d)
+    tokens = tk.token_table(docs, materialize(tk.build_vocab(docs), "vocab"))
+    return sc.doc_general_proba(tokens).select("doc_id", "prev", "slots", rnd("weight", digits=9))
+
+
+@query("d10_doc_background", """
+  SELECT doc_id, round(avg(coalesce(keep, 1.0)), 9) AS background
+  FROM t LEFT JOIN m_ctx USING (prev) WHERE pos > 0 GROUP BY doc_id""", ["t", "m_ctx"])
+def d10_background(spark, d):
     ready = prepare(spark, d)
-    return sc.doc_general_proba(ready.tokens, ready.model).select(
-        "doc_id", "prev", "slots", rnd("weight", digits=9), rnd("background", digits=9))
+    return sc.doc_background(sc.doc_general_proba(ready.tokens), ready.model).select(
+        "doc_id", rnd("background", digits=9))
 
 
 def chunk_tokens(ready, spark, d):
@@ -196,8 +203,8 @@ def chunk_tokens(ready, spark, d):
   SELECT chunk_id, token_id::INTEGER AS token_id, round(value, 10) AS value FROM gp""", ["gp"])
 def d11(spark, d):
     ready = prepare(spark, d)
-    weights = sc.doc_general_proba(chunk_tokens(ready, spark, d), ready.model, ["chunk_id"])
-    return sc.general_proba(weights, ready.model).select("chunk_id", "token_id", rnd("value", digits=10))
+    weights = sc.doc_general_proba(chunk_tokens(ready, spark, d), ["chunk_id"])
+    return sc.general_proba(weights, ready.model, store=True).select("chunk_id", "token_id", rnd("value", digits=10))
 
 
 @query("d12_token_counts", """
