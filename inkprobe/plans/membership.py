@@ -87,7 +87,7 @@ def cross_validate(data: ChunkedScores, norm_type: str = "ratio", norm_table: st
                    kind: str = "simple_agg", models: str = ev.DEFAULT_MODELS, seed: int = params.SEED,
                    trees: int = ev.FOREST_TREES) -> tuple[DataFrame, DataFrame]:
     """Leave one chunk out; returns (fold metrics, predictions)."""
-    rows = materialize(fold_features(data, norm_type, norm_table, kind), "features")
+    rows = materialize(fold_features(data, norm_type, norm_table, kind), "fold_features", ["fold"])
     predictions = ev.fit_validate(rows, models, data.n_chunks, seed, trees)
     return ev.fold_metrics(predictions), predictions
 
