@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.session import small
+from inkprobe.session import materialize, small
 
 N_SPLITS = 256
 
@@ -75,6 +75,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     ``next_<s>`` (value of the following row) as well.
     """
     group = list(group)
+    df = materialize(df, "ordered")  # read three times below
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     rows = ordered_buckets(df, order, group)
     first = F.min_by if not descending else F.max_by

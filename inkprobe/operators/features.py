@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe import params
@@ -17,15 +18,46 @@ def role() -> Column:
     return F.when(F.col("chunk_id") == F.col("fold"), "test").otherwise("train")
 
 
+def _percentile(sorted_values: Column, share: float) -> Column:
+    """Linear interpolation between the closest ranks of a sorted array."""
+    last = F.size(sorted_values) - 1
+    at = last * F.lit(share)
+    low = F.floor(at).cast("int")
+    a = F.get(sorted_values, low)
+    b = F.get(sorted_values, F.least(low + 1, last))
+    return a + (b - a) * (at - low)
+
+
+def _aggregates(value: Column, tag: str) -> list[Column]:
+    """What the aggregate features need of one value column."""
+    return [F.avg(value).alias(f"mean{tag}"), F.min(value).alias(f"min{tag}"),
+            F.max(value).alias(f"max{tag}"), F.stddev_pop(value).alias(f"std{tag}"),
+            F.count(value).cast("double").alias(f"count{tag}"),
+            F.sort_array(F.collect_list(value)).alias(f"_v{tag}")]
+
+
+def _named(tag: str) -> list[Column]:
+    return [F.col(f"{c}{tag}").alias(c) for c in ("mean", "min", "max", "std", "count")] + [
+        _percentile(F.col(f"_v{tag}"), p / 100).alias(f"perc_{p}") for p in params.PERCENTILES]
+
+
 def agg_features(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean, min, max, population deviation, count and exact percentiles."""
-    shares = [p / 100 for p in params.PERCENTILES]
-    rows = values.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.stddev_pop(value).alias("std"), F.count(value).cast("double").alias("count"),
-        F.percentile(value, shares).alias("_p"))
-    return rows.select(*by, "mean", "min", "max", "std", "count", *[
-        F.col("_p")[i].alias(f"perc_{p}") for i, p in enumerate(params.PERCENTILES)])
+    """Mean, min, max, population deviation, count and exact percentiles.
+
+    A group is one document, so its values fit where its text did.
+    """
+    return values.groupBy(*by).agg(*_aggregates(F.col(value), "")).select(*by, *_named(""))
+
+
+def agg_features_folds(rows: DataFrame, by: Sequence[str], n_folds: int) -> DataFrame:
+    """:func:`agg_features` of the array ``values`` for all folds at once.
+
+    Tokens are shuffled once, whatever the number of folds.
+    """
+    aggs = [a for f in range(n_folds) for a in _aggregates(F.col("values")[f], f"_{f}")]
+    wide = rows.groupBy(*by).agg(*aggs)
+    folds = F.array(*[F.struct(F.lit(f).alias("fold"), *_named(f"_{f}")) for f in range(n_folds)])
+    return wide.select(*by, F.explode(folds).alias("_f")).select(*by, "_f.*")
 
 
 def hist_edges(train: DataFrame, k: int, by: Sequence[str] = ("fold",), value: str = "value") -> DataFrame:
@@ -37,6 +69,18 @@ def hist_edges(train: DataFrame, k: int, by: Sequence[str] = ("fold",), value: s
         F.when(flat, hi + 0.5).otherwise(hi).alias("hi"), F.lit(k).alias("k"))
 
 
+def hist_edges_folds(rows: DataFrame, k: int, n_folds: int) -> DataFrame:
+    """:func:`hist_edges` of the array ``values`` in one pass, training chunks only."""
+    seen = lambda f: F.when(F.col("chunk_id") != f, F.col("values")[f])
+    ends = rows.agg(*[a for f in range(n_folds)
+                      for a in (F.min(seen(f)).alias(f"lo_{f}"), F.max(seen(f)).alias(f"hi_{f}"))])
+    each = ends.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.col(f"lo_{f}").alias("value"), F.col(f"hi_{f}").alias("top"))
+        for f in range(n_folds)])).alias("_f")).select("_f.*")
+    pairs = each.select("fold", "value").unionByName(each.select("fold", F.col("top").alias("value")))
+    return hist_edges(pairs, k)
+
+
 def edge(i: Column, k: int) -> Column:
     """Edge i of k bins; the last is ``hi`` itself."""
     step = (F.col("hi") - F.col("lo")) / k
@@ -61,11 +105,10 @@ def hist_features(values: DataFrame, edges: DataFrame, k: int, by: Sequence[str]
     settled = F.when(x < edge(g, k), g - 1).when((g < k - 1) & (x >= edge(g + 1, k)), g + 1).otherwise(g)
     counted = rows.withColumn("bin", settled).groupBy(*by, "bin").agg(
         F.count("*").alias("_c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    totals = counted.groupBy(*by).agg(
-        F.sum(F.when(F.col("bin").isNotNull(), F.col("_c")).otherwise(0)).alias("_in"))
     b = F.col("bin")
+    found = F.sum(F.when(b.isNotNull(), F.col("_c")).otherwise(0)).over(W.partitionBy(*by))
     width = edge(b + 1, k) - edge(b, k)
-    dense = counted.join(totals, list(by)).filter(b.isNotNull() | (F.col("_in") == 0))
+    dense = counted.withColumn("_in", found).filter(b.isNotNull() | (F.col("_in") == 0))
     return dense.select(*by, "bin", F.when(b.isNull(), F.lit(float("nan"))).otherwise(
         F.try_divide(F.col("_c").cast("double"), F.col("_in") * width)).alias("density"))
 
@@ -144,15 +187,22 @@ def feature_kind(name: str) -> int | None:
     raise ValueError(f"no such feature extraction: {name!r}")
 
 
-def extract_scaled(values: DataFrame, kind: str, n_folds: int = params.N_CHUNKS) -> DataFrame:
-    """Scaled feature arrays ``(fold, doc_id, chunk_id, label, role, x)`` of fold values."""
-    by = ["fold", "doc_id", "chunk_id", "label"]
+def extract_scaled(rows: DataFrame, kind: str, n_folds: int = params.N_CHUNKS) -> DataFrame:
+    """Scaled feature arrays ``(fold, doc_id, chunk_id, label, role, x)``.
+
+    ``rows`` has the per-fold array ``values``. Tokens meet their document once;
+    counting, totals and packing then stay within that partitioning.
+    """
+    doc = ["doc_id", "chunk_id", "label"]
+    by = ["fold", *doc]
     k = feature_kind(kind)
+    local = rows.select(*doc, "values").repartition("doc_id")
     if k is None:
-        rows = materialize(agg_features(values, by), "features").withColumn("role", role())
-        scaled = scale_columns(rows, params.AGG_FEATURES, n_folds)
+        table = materialize(agg_features_folds(local, doc, n_folds), "features").withColumn("role", role())
+        scaled = scale_columns(table, params.AGG_FEATURES, n_folds)
         return scaled.select(*by, "role", F.array(*params.AGG_FEATURES).alias("x"))
-    edges = hist_edges(values.filter(F.col("chunk_id") != F.col("fold")), k)
+    edges = materialize(hist_edges_folds(rows, k, n_folds), "edges")
+    values = local.select(*doc, F.posexplode("values").alias("fold", "value"))
     hist = materialize(hist_features(values, edges, k, by, n_folds), "hist").withColumn("role", role())
     vectors = dense_vectors(hist, k, [*by, "role"])
     return scale_vectors(vectors, hist, k, n_folds)

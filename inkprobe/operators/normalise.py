@@ -38,16 +38,9 @@ def norm_lookup(scores: DataFrame, norms: DataFrame, n_folds: int = params.N_CHU
         "norm", F.coalesce("_value", "_floor")).drop("_value", "_floor")
 
 
-def fan_out(scores: DataFrame, norms: DataFrame | None, n_folds: int,
-            size: int | None = params.VOCAB_SIZE) -> DataFrame:
-    """Repeat scores for every fold with the fold's ``norm``.
-
-    The norms of all folds travel as one array per token, so tokens meet the
-    table before they multiply.
-    """
-    if norms is None:
-        return scores.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn(
-            "norm", F.lit(None).cast("double"))
+def norm_arrays(scores: DataFrame, norms: DataFrame, n_folds: int,
+                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+    """Add ``norms``, the norm of each fold as an array, without multiplying rows."""
     folds = range(n_folds)
     pick = lambda f: F.when(F.col("fold") == f, F.col("value"))
     floors = norms.agg(F.array(*[F.min(pick(f)) / 2 for f in folds])).scalar()
@@ -55,7 +48,7 @@ def fan_out(scores: DataFrame, norms: DataFrame | None, n_folds: int,
     none = F.array(*[F.lit(None).cast("double") for _ in folds])
     rows = scores.join(small(wide, size), "token_id", "left").withColumn("_floors", floors)
     filled = F.zip_with(F.coalesce("_norms", none), F.col("_floors"), lambda v, f: F.coalesce(v, f))
-    return rows.select(*scores.columns, F.posexplode(filled).alias("fold", "norm"))
+    return rows.select(*scores.columns, filled.alias("norms"))
 
 
 def _guarded(bad: Column, value: Column) -> Column:
@@ -76,15 +69,24 @@ def diff_max(nll: Column, max_p: Column, norm: Column) -> Column:
     return _guarded(bad, -F.ln(F.try_divide(x, norm)))
 
 
+def _value(kind: str, columns: list[str], norm: Column) -> Column:
+    if kind == "none":
+        return F.col("nll")
+    if kind == "ratio":
+        return ratio(F.col("nll"), norm)
+    if kind == "diff_max_token_proba":
+        best = F.col("max_p") if "max_p" in columns else F.array_max(F.map_values("top"))
+        return diff_max(F.col("nll"), best, norm)
+    raise ValueError(f"no such normalisation: {kind!r}; known are {', '.join(KINDS)}")
+
+
 def normalize(scores: DataFrame, kind: str) -> DataFrame:
     """Add ``value``; needs ``norm`` for ratio kinds and ``max_p`` or ``top`` for diff-max."""
-    if kind == "none":
-        value = F.col("nll")
-    elif kind == "ratio":
-        value = ratio(F.col("nll"), F.col("norm"))
-    elif kind == "diff_max_token_proba":
-        best = F.col("max_p") if "max_p" in scores.columns else F.array_max(F.map_values("top"))
-        value = diff_max(F.col("nll"), best, F.col("norm"))
-    else:
-        raise ValueError(f"no such normalisation: {kind!r}; known are {', '.join(KINDS)}")
-    return scores.withColumn("value", value)
+    return scores.withColumn("value", _value(kind, scores.columns, F.col("norm")))
+
+
+def normalize_folds(scores: DataFrame, kind: str, n_folds: int) -> DataFrame:
+    """Add ``values``, one normalised value per fold, from :func:`norm_arrays` rows."""
+    each = [_value(kind, scores.columns, F.col("norms")[f] if kind != "none" else None)
+            for f in range(n_folds)]
+    return scores.withColumn("values", F.array(*each))

@@ -144,32 +144,40 @@ def top_unigrams(model: CountModel, k: int, pool: str | None = None) -> Column:
         t["token_id"].alias("token_id"), (-t["neg"]).alias("p")))).scalar()
 
 
-def top_candidates(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
-    """Top-k next tokens of every seen context: ``(*ctx, rank, token_id, p)``.
+def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
+    """The k likeliest next tokens of every seen context, as one array ``top`` of (token_id, p).
 
-    A token unseen after the context keeps its unigram order, so seen tokens and
-    the k best unigrams hold the exact top-k; no context x vocabulary product.
+    Seen tokens are cut to their k best first. Tokens unseen after a context keep
+    their unigram order, so the k best unigrams complete the list exactly, and
+    no context x vocabulary product is formed.
     """
     pool = pool or model.pools[0]
     ctx = list(model.ctx)
-    seen = model.terms.select(*ctx, "token_id", F.col(f"b_{pool}").alias("b"))
-    filler = model.contexts.withColumn("_best", top_unigrams(model, k, pool)).select(
-        *ctx, F.explode("_best").alias("_t")).select(*ctx, "_t.token_id", F.lit(0.0).alias("b"))
-    options = seen.unionByName(filler).groupBy(*ctx, "token_id").agg(F.max("b").alias("b"))
-    scored = options.join(small(model.unigrams, model.size), "token_id").join(
-        small(model.contexts, model.max_contexts), ctx).select(
-        *ctx, "token_id", (F.col("b") + F.col(f"keep_{pool}") * F.col(f"u_{pool}")).alias("p"))
+    seen = model.terms.select(*ctx, "token_id", f"b_{pool}").join(
+        small(model.unigrams.select("token_id", f"u_{pool}"), model.size), "token_id").join(
+        small(model.contexts.select(*ctx, F.col(f"keep_{pool}").alias("_keep")), model.max_contexts), ctx)
+    scored = seen.select(*ctx, "token_id", "_keep", (
+        F.col(f"b_{pool}") + F.col("_keep") * F.col(f"u_{pool}")).alias("p"))
     order = W.partitionBy(*ctx).orderBy(F.desc("p"), "token_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        *ctx, "rank", "token_id", "p")
+    cut = scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    packed = cut.groupBy(*ctx).agg(
+        F.collect_list(F.struct((-F.col("p")).alias("neg"), "token_id")).alias("_s"),
+        F.max("_keep").alias("_keep")).withColumn("_best", top_unigrams(model, k, pool))
+    known = F.transform("_s", lambda e: e["token_id"])
+    packed = packed.withColumn("_known", known)
+    filler = F.transform(
+        F.filter("_best", lambda e: ~F.array_contains("_known", e["token_id"])),
+        lambda e: F.struct((-(F.col("_keep") * e["p"])).alias("neg"), e["token_id"].alias("token_id")))
+    top = F.slice(F.sort_array(F.concat("_s", filler)), 1, k)
+    return packed.select(*ctx, F.transform(top, lambda e: F.struct(
+        e["token_id"].alias("token_id"), (-e["neg"]).alias("p"))).alias("top"))
 
 
-def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
-    """:func:`top_candidates` with one array ``top`` of (token_id, p) per context."""
-    rows = top_candidates(model, k, pool)
-    packed = F.sort_array(F.collect_list(F.struct("rank", "token_id", "p")))
-    return rows.groupBy(*model.ctx).agg(F.transform(packed, lambda t: F.struct(
-        t["token_id"].alias("token_id"), t["p"].alias("p"))).alias("top"))
+def top_candidates(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
+    """:func:`top_lists` in long form: ``(*ctx, rank, token_id, p)``."""
+    lists = top_lists(model, k, pool)
+    return lists.select(*model.ctx, F.posexplode("top").alias("_i", "_t")).select(
+        *model.ctx, (F.col("_i") + 1).alias("rank"), "_t.token_id", "_t.p")
 
 
 def with_top_probs(scores: DataFrame, model: CountModel, k: int = params.TOP_K,

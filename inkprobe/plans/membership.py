@@ -67,20 +67,31 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
         sc.general_proba(weights, model, store=keep_tables), n_chunks)
 
 
-def fold_values(data: ChunkedScores, norm_type: str, norm_table: str,
+def fold_arrays(data: ChunkedScores, norm_type: str, norm_table: str,
                 size: int | None = params.VOCAB_SIZE) -> DataFrame:
-    """Normalised values of every document in every fold, norms from training chunks only."""
-    norms = None
+    """Normalised values ``(doc_id, chunk_id, label, pos, values[fold])``.
+
+    Norms come from each fold's training chunks and are applied to all chunks.
+    """
+    rows = data.scores
     if norm_type != "none":
         norms = materialize(nm.fold_norms(data.norm(norm_table), data.chunk_tokens, data.n_chunks), "norms")
-    rows = nm.fan_out(data.scores, norms, data.n_chunks, size)
-    return nm.normalize(rows, norm_type).select("fold", "doc_id", "chunk_id", "label", "pos", "value")
+        rows = nm.norm_arrays(rows, norms, data.n_chunks, size)
+    return nm.normalize_folds(rows, norm_type, data.n_chunks).select(
+        "doc_id", "chunk_id", "label", "pos", "values")
+
+
+def fold_values(data: ChunkedScores, norm_type: str, norm_table: str,
+                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+    """:func:`fold_arrays` with one row per fold."""
+    rows = fold_arrays(data, norm_type, norm_table, size)
+    return rows.select("doc_id", "chunk_id", "label", "pos", F.posexplode("values").alias("fold", "value"))
 
 
 def fold_features(data: ChunkedScores, norm_type: str, norm_table: str, kind: str,
                   size: int | None = params.VOCAB_SIZE) -> DataFrame:
     """Scaled features ``(fold, doc_id, chunk_id, label, role, x)``."""
-    return ft.extract_scaled(fold_values(data, norm_type, norm_table, size), kind, data.n_chunks)
+    return ft.extract_scaled(fold_arrays(data, norm_type, norm_table, size), kind, data.n_chunks)
 
 
 def cross_validate(data: ChunkedScores, norm_type: str = "ratio", norm_table: str = "token_freq",

@@ -41,6 +41,10 @@ def values(spark, d, kind="ratio", table="token_freq"):
     return mb.fold_values(chunked(spark, d), kind, table)
 
 
+def arrays(spark, d, kind="ratio", table="token_freq"):
+    return mb.fold_arrays(chunked(spark, d), kind, table)
+
+
 # ------------------------------------------------------------ normalisation
 
 
@@ -140,7 +144,8 @@ def e5(spark, d):
 def e6(spark, d):
     data = chunked(spark, d)
     norms = nm.fold_norms(data.token_freq, data.chunk_tokens, data.n_chunks)
-    rows = nm.fan_out(data.scores, norms, data.n_chunks)
+    rows = nm.norm_arrays(data.scores, norms, data.n_chunks).select(
+        "nll", "max_p", F.posexplode("norms").alias("fold", "norm"))
     for kind in nm.KINDS:
         rows = nm.normalize(rows, kind).withColumnRenamed("value", kind)
     means = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.avg(k).alias(k) for k in nm.KINDS])
@@ -156,7 +161,8 @@ block("f_agg", ["ratio_tf"], agg_sql("ratio_tf", "fold, doc_id, chunk_id, label,
 @query("f1_agg_features", f"""
   SELECT fold, doc_id, chunk_id, label, {rounded_sql(AGG)} FROM f_agg""", ["f_agg"])
 def f1(spark, d):
-    return ft.agg_features(values(spark, d), FOLD_KEYS).select(*FOLD_KEYS, *[rnd(c) for c in AGG])
+    rows = ft.agg_features_folds(arrays(spark, d), FOLD_KEYS[1:], params.N_CHUNKS)
+    return rows.select(*FOLD_KEYS, *[rnd(c) for c in AGG])
 
 
 block("f_edges", ["ratio_tf"], """
@@ -173,8 +179,7 @@ def edge_sql(i):
   SELECT fold, i::INTEGER AS i, round({edge_sql('i')}, 6) AS edge
   FROM f_edges, (SELECT unnest(range({K + 1})) AS i)""", ["f_edges"])
 def f2(spark, d):
-    rows = values(spark, d)
-    edges = ft.hist_edges(rows.filter(F.col("chunk_id") != F.col("fold")), K)
+    edges = ft.hist_edges_folds(arrays(spark, d), K, params.N_CHUNKS)
     every = edges.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(K))))
     return every.select("fold", "i", rnd(ft.edge(F.col("i"), K), "edge"))
 
@@ -196,9 +201,11 @@ block("f_hist", ["f_bins"], f"""
 @query("f3_hist_features", """
   SELECT fold, doc_id, bin, round(density, 6) AS density FROM f_hist""", ["f_hist"])
 def f3(spark, d):
-    rows = values(spark, d)
-    edges = ft.hist_edges(rows.filter(F.col("chunk_id") != F.col("fold")), K)
-    return ft.hist_features(rows, edges, K, FOLD_KEYS).select("fold", "doc_id", "bin", rnd("density"))
+    rows = arrays(spark, d)
+    edges = ft.hist_edges_folds(rows, K, params.N_CHUNKS)
+    local = rows.repartition("doc_id").select(
+        "doc_id", "chunk_id", "label", F.posexplode("values").alias("fold", "value"))
+    return ft.hist_features(local, edges, K, FOLD_KEYS).select("fold", "doc_id", "bin", rnd("density"))
 
 
 block("f_scaled", ["f_agg"], "SELECT fold, doc_id, chunk_id, label, role, " + ", ".join(
@@ -211,7 +218,8 @@ block("f_scaled", ["f_agg"], "SELECT fold, doc_id, chunk_id, label, role, " + ",
 @query("f5_scale_features", f"""
   SELECT fold, doc_id, role, {rounded_sql(AGG)} FROM f_scaled""", ["f_scaled"])
 def f5(spark, d):
-    rows = ft.agg_features(values(spark, d), FOLD_KEYS).withColumn("role", ft.role())
+    rows = ft.agg_features_folds(arrays(spark, d), FOLD_KEYS[1:], params.N_CHUNKS)
+    rows = materialize(rows, "features").withColumn("role", ft.role())
     return ft.scale_columns(rows, AGG).select("fold", "doc_id", "role", *[rnd(c) for c in AGG])
 
 
@@ -228,7 +236,7 @@ def f5(spark, d):
       WINDOW w AS (PARTITION BY fold, bin)))
   GROUP BY fold, doc_id""", ["f_scaled", "f_hist", "f_agg"])
 def f4(spark, d):
-    rows = values(spark, d)
+    rows = arrays(spark, d)
     out = None
     for kind in ("simple_agg", f"hist_{K}"):
         x = ft.extract_scaled(rows, kind)
