@@ -114,7 +114,10 @@ def hist_features(values: DataFrame, edges: DataFrame, k: int, by: Sequence[str]
 
 
 def dense_vectors(hist: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
-    """One array of k densities per document, for the edge to Spark ML."""
+    """One array of k densities per document, for the edge to Spark ML.
+
+    A document without any value in range gets NULL entries.
+    """
 
     @F.pandas_udf("array<double>")
     def scatter(bins: pd.Series, values: pd.Series) -> pd.Series:
