@@ -15,7 +15,6 @@ from inkprobe.plans.registry import (
     is_member,
     is_non_member,
     query,
-    rnd,
 )
 from inkprobe.session import run_folder
 from inkprobe.sources import corpora, sinks

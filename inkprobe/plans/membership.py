@@ -55,7 +55,7 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     chunks = hold(sp.split_chunks(lengths.filter("_class = 1"), lengths.filter("_class = 0"),
                                   n_chunks, n_pos, min_len, seed), "chunks").drop("row_in_chunk")
     model = sc.train(tokens, vocab, {"target": F.col("_class") == 1}, size=size, store=keep_tables)
-    chosen = tokens.drop("_class").join(chunks, "doc_id")
+    chosen = hold(tokens.drop("_class").join(chunks, "doc_id"), "chunk_tokens")
     counts = hold(tk.token_counts(chosen, ["chunk_id"]), "counts")
     scores = sc.with_max_p(sc.score_tokens(chosen, model, context, stride), model).select(
         "doc_id", "chunk_id", "label", "pos", "token_id", "nll", "max_p")

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.operators import sampling as sp
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
 from inkprobe.plans.corpus_queries import chunk_table
