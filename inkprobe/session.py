@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -31,18 +30,39 @@ def build_session(app: str = "inkprobe", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    named = named or spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and every executor can reach, as the session names it.
+
+    Raises where neither ``spark.checkpoint.dir`` nor ``setCheckpointDir`` named
+    one: a folder of this machine would not be seen by other executors.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        # Only a local session reaches this line: the cluster names its folder.
-        named = tempfile.mkdtemp(prefix="inkprobe-")
-        spark.sparkContext.setCheckpointDir(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/")
 
 
+def name_local_folder(spark: SparkSession, folder: str) -> None:
+    """Let a session on one machine keep its stage tables in ``folder``; does nothing if one is named."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
+def run_root(spark: SparkSession) -> str:
+    """The one folder below which a run keeps all its stage tables."""
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Remove the run's stage tables; for the run's owner, once no result reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
