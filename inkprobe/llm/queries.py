@@ -5,16 +5,20 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprobe.llm import (
     decontaminate,
     exact_dedup,
+    language,
+    licenses,
+    pii,
     sentencepieces,
     shards,
     simhash,
     tokens_file,
+    toxicity,
 )
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -59,13 +63,58 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _fold(n: int) -> Column:
+    """Checksum of the key as text, modulo ``n``: the rows that models may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(_fold(4) != 2))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_and_decode(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learn = docs.filter(_fold(5) != 0)
+    speak = language.train(learn)
+    net = toxicity.train(learn, labels.filter(_fold(5) != 0), speak)
+    found = toxicity.score(docs, net, speak)
+    return found.select(
+        "doc_id", (_fold(5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.count_of("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find(_table(spark, sf_dir, "documents"))
+    best = F.coalesce(F.array_max(F.col("matches.coverage")), F.lit(0.0))
+    return found.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_matches"), best.alias("best_coverage"),
+        licenses.listed().alias("spans"), "matches")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
-        op1_decontamination, op2_sharding, op3_token_ids, op4_exact_dedup, op5_simhash, op7_sentencepiece)
+        op1_decontamination, op2_sharding, op3_token_ids, op4_exact_dedup, op5_simhash, op6_language,
+        op7_sentencepiece, op8_toxicity, op9_pii, op10_licenses, pipeline)
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
