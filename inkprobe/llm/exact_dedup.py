@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprobe.llm.skewed import join_groups
 from inkprobe.session import materialize
 
 CELLS_PER_BITMAP = 32_768
@@ -108,11 +109,11 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         alone = tested.filter(~F.col("_maybe")).select(
             "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
             F.lit(True).alias("kept"), "digest")
-        rows = tested.filter("_maybe").groupBy("digest", "id").agg(F.count("*").alias("n"))
-        groups = rows.groupBy("digest").agg(
-            F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+        rows = materialize(tested.filter("_maybe").groupBy("digest", "id").agg(F.count("*").alias("n")), "candidates")
+        groups = materialize(rows.groupBy("digest").agg(
+            F.min("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
         # Rows equal in key and text come back one by one; the first of the smallest key stays.
-        shared = rows.join(groups, "digest").select(
+        shared = join_groups(rows, groups, "digest", "group_size").select(
             "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")).select(
             "id", "keep_id", "group_size",
             (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")

@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe.llm.components import components
+from inkprobe.llm.skewed import join_groups
 from inkprobe.llm.text import LOWER, as_bytes, slices
 from inkprobe.session import materialize
 
@@ -103,13 +104,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                     radius: int = RADIUS) -> DataFrame:
     """One row per row: ``key``, fp and component_id, the smallest key reachable over links."""
     rows = materialize(fingerprints(docs, key, text, shingle).select(F.col(key).alias("key"), "fp"), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+        "fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(heads, "root").select("fp", "component_id"), "component-names")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = materialize(rooted.join(heads, "root").select("fp", "component_id", "n"), "component-names")
+    return join_groups(rows, named, "fp", "n").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
