@@ -23,16 +23,24 @@ def hash_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
+HASH_BUCKETS = 16 ** params.HASH_DIGITS
+
+
+def hash_bucket(key: str, seed: int) -> Column:
+    """Number of the hash prefix; follows the order of :func:`hash_key`."""
+    return F.conv(F.substring(hash_key(seed, key), 1, params.HASH_DIGITS), 16, 10).cast("int")
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, group: str | None = None,
-              max_groups: int | None = 1) -> DataFrame:
+              max_groups: int | None = 1, upto: Column | int | None = None) -> DataFrame:
     """Add ``rank`` (from 1) in seeded hash order and ``group_size``.
 
     md5 spreads keys evenly, so a fixed prefix splits any input, however large
-    one group is, into buckets of equal expected size.
+    one group is, into buckets of equal expected size. With ``upto``, buckets that
+    start beyond that rank are left out before anything is ranked. ``df`` should
+    hold little but keys; join the rest to the ranks.
     """
-    buckets = 16 ** params.HASH_DIGITS
-    keyed = df.withColumn("_h", hash_key(seed, key)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, params.HASH_DIGITS), 16, 10).cast("int"))
+    keyed = df.withColumn("_h", hash_key(seed, key)).withColumn("_b", hash_bucket(key, seed))
     by = [group] if group else []
     sizes = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -40,7 +48,9 @@ def hash_rank(df: DataFrame, key: str, seed: int, group: str | None = None,
         *by, "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(W.partitionBy(*by)).alias("group_size"))
-    bound = buckets * max_groups if max_groups else None
+    if upto is not None:
+        offsets = offsets.filter(F.col("_before") < upto)
+    bound = HASH_BUCKETS * max_groups if max_groups else None
     inside = W.partitionBy(*by, "_b").orderBy("_h", key)
     return (
         keyed.join(small(offsets, bound), [*by, "_b"])

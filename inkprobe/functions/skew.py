@@ -13,7 +13,7 @@ from inkprobe import params
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
                 values: Sequence[str], spread: Sequence[str],
                 slots: int = params.HOT_SLOTS) -> DataFrame:
-    """Left join on non-negative integer ``keys``, hot keys by broadcast.
+    """Left join on ``keys``, the first a non-negative integer or a text without NUL; hot keys by broadcast.
 
     A key is hot when it holds at least 1/slots of all ``weight``. By counting,
     at most ``slots`` keys can be hot, which bounds the broadcast side at any
@@ -24,11 +24,14 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     hot_test = F.col(weight) * F.lit(slots) >= total
     tagged = right.withColumn("_is_hot", hot_test)
     hot = tagged.filter("_is_hot").select(*keys, F.struct(*values).alias("_hot"))
+    text = right.schema[keys[0]].dataType.typeName() == "string"
+    kind = "string" if text else "bigint"
     cold = tagged.filter("NOT _is_hot").select(
-        F.col(keys[0]).cast("bigint").alias("_k0"), *keys[1:], F.struct(*values).alias("_cold"))
-    scattered = -1 - F.pmod(F.xxhash64(*spread), F.lit(1 << 20))
+        F.col(keys[0]).cast(kind).alias("_k0"), *keys[1:], F.struct(*values).alias("_cold"))
+    place = F.pmod(F.xxhash64(*spread), F.lit(1 << 20))
+    scattered = F.concat(F.lit("\0"), place.cast("string")) if text else -1 - place
     settled = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_k0", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(scattered).cast("bigint"))
+        "_k0", F.when(F.col("_hot").isNull(), F.col(keys[0]).cast(kind)).otherwise(scattered.cast(kind)))
     joined = settled.join(cold, ["_k0", *keys[1:]], "left")
     return joined.select(
         *left.columns,

@@ -62,10 +62,14 @@ def _last_wins(entries: Column) -> Column:
 
     Independent of the session's policy for duplicate keys.
     """
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    back = F.reverse(entries)
-    value = lambda k: F.get(F.filter(back, lambda e: e["key"] == k), 0)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    # Sorted by key and place, an entry is the last of its key if another key follows.
+    ordered = F.array_sort(numbered)
+    following = F.concat(F.slice(F.transform(ordered, lambda e: e["key"]), F.lit(2), F.greatest(
+        F.size(ordered), F.lit(1))), F.array(F.lit(None).cast("string")))
+    paired = F.arrays_zip(ordered.alias("e"), following.alias("k"))
+    last = F.filter(paired, lambda p: p["e"].isNotNull() & ~p["e"]["key"].eqNullSafe(p["k"]))
+    return F.map_from_arrays(F.transform(last, lambda p: p["e"]["key"]), F.transform(last, lambda p: p["e"]["value"]))
 
 
 def field(name: str) -> Column:
@@ -102,9 +106,14 @@ def released_after(df: DataFrame, date: str = params.RELEASE_CUTOFF,
     return df.filter(F.col(col) > F.lit(date).cast("date"))
 
 
-def decode_header(content: Column, n: int = params.HEADER_BYTES) -> Column:
-    """First ``n`` bytes as UTF-8, or as Latin-1 when they are not valid UTF-8."""
-    head = F.substring(content, 1, n)
+def header_of(content: Column) -> Column:
+    """Text of a raw file up to its first start mark, however far down that is."""
+    return F.substring_index(decode_header(content, None), START_MARK, 1)
+
+
+def decode_header(content: Column, n: int | None = params.HEADER_BYTES) -> Column:
+    """First ``n`` bytes (None: all) as UTF-8, or as Latin-1 when they are not valid UTF-8."""
+    head = content if n is None else F.substring(content, 1, n)
     return F.when(F.is_valid_utf8(head.cast("string")), head.cast("string")).otherwise(
         F.decode(head, "ISO-8859-1"))
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprobe import params
-
 # Names of the catalogue's elements and link texts.
 RECORD_ID = "bibrec"
 LANGUAGE_PROPERTY = "dcterms:language"
@@ -21,7 +19,8 @@ PLAIN_TEXT, HTML_TEXT = "Plain Text", "HTML"
 BOOK_PATH = "ebooks"
 
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
-RECORD_PATTERN = rf"""(?is)<div[^>]*id=["']{RECORD_ID}["'][^>]*>(.*?)</div>"""
+RECORD_OPEN = rf"""(?is)<div(?:\s[^>]*)?\sid\s*=\s*["']?{RECORD_ID}["']?(?=[\s>/])[^>]*>"""
+DIV_TAG = r"(?i)</?div(?=[\s>/])[^>]*>"
 ANCHOR_PATTERN = r"(?is)<a\s[^>]*>.*?</a>"
 ITEM_PATTERN = r"(?is)<li[^>]*>.*?</li>"
 HREF_PATTERN = r"""(?is)<a\s[^>]*href=["']([^"']*)["']"""
@@ -49,7 +48,23 @@ def _first(html: Column, pattern: str) -> Column:
 
 
 def _record(html: Column) -> Column:
-    return F.regexp_extract(html, RECORD_PATTERN, 1)
+    """What stands between the record block's opening tag and the closing tag that balances it.
+
+    Empty without a block; a block that is never closed runs to the end.
+    """
+    rest = F.get(F.split(html, RECORD_OPEN, 2), 1)
+    tags = F.regexp_extract_all(rest, F.lit(DIV_TAG), F.lit(0))
+    # Depth after each tag; the block ends with the first that brings it to 0.
+    state = F.aggregate(
+        tags, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end")),
+        lambda a, t: F.struct(
+            (a["depth"] + F.when(t.startswith("</"), -1).otherwise(1)).alias("depth"), (a["i"] + 1).alias("i"),
+            F.when((a["end"] == 0) & (a["depth"] == 1) & t.startswith("</"), a["i"] + 1).otherwise(a["end"]).alias("end")))
+    pieces = F.split(rest, DIV_TAG)
+    count = F.when(state["end"] == 0, F.size(pieces)).otherwise(state["end"])
+    own = F.zip_with(F.slice(pieces, F.lit(1), count), F.concat(F.array(F.lit("")), F.slice(
+        tags, F.lit(1), F.greatest(count - 1, F.lit(0)))), lambda p, t: F.concat(t, p))
+    return F.coalesce(F.array_join(own, ""), F.lit(""))
 
 
 def page_title(html: Column) -> Column:
@@ -117,14 +132,16 @@ def pick_link(df: DataFrame, html: str = "html") -> DataFrame:
         F.col("_html")).alias("link"))
 
 
-def list_links(df: DataFrame, limit: int = params.LIST_LIMIT, path: str = BOOK_PATH,
+def list_links(df: DataFrame, limit: int | None = None, path: str = BOOK_PATH,
                html: str = "html", key: str = "page_id") -> DataFrame:
     """Links of a listing page by title; the last link of a repeated title wins.
 
     ``limit`` counts list items before any filter, as the listing's own top-n.
     Items without a link are passed over.
     """
-    items = F.slice(F.regexp_extract_all(F.col(html), F.lit(ITEM_PATTERN), F.lit(0)), 1, limit)
+    items = F.regexp_extract_all(F.col(html), F.lit(ITEM_PATTERN), F.lit(0))
+    if limit is not None:
+        items = F.slice(items, 1, limit)
     rows = df.select(key, F.posexplode(items).alias("pos", "item")).select(
         key, "pos", plain(F.col("item")).alias("title"),
         F.regexp_extract("item", HREF_PATTERN, 1).alias("href"))

@@ -28,45 +28,46 @@ def fold_norms(norm: DataFrame, chunk_tokens: DataFrame, n_chunks: int) -> DataF
         "fold", "token_id", (F.col("_sum") / F.col("_total")).alias("value"))
 
 
-def norm_lookup(scores: DataFrame, norms: DataFrame, n_folds: int = params.N_CHUNKS,
-                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def norm_lookup(scores: DataFrame, norms: DataFrame, n_folds: int = params.N_CHUNKS) -> DataFrame:
     """Add each token's ``norm`` in its fold; unseen tokens get half the fold's minimum."""
     floor = norms.groupBy("fold").agg((F.min("value") / 2).alias("_floor"))
     table = norms.select("fold", "token_id", F.col("value").alias("_value"))
-    rows = scores.join(small(table, n_folds * size if size else None), ["fold", "token_id"], "left")
+    rows = scores.join(small(table, norms.count()), ["fold", "token_id"], "left")
     return rows.join(small(floor, n_folds), "fold").withColumn(
         "norm", F.coalesce("_value", "_floor")).drop("_value", "_floor")
 
 
-def norm_arrays(scores: DataFrame, norms: DataFrame, n_folds: int,
-                size: int | None = params.VOCAB_SIZE) -> DataFrame:
-    """Add ``norms``, the norm of each fold as an array, without multiplying rows."""
+def norm_arrays(scores: DataFrame, norms: DataFrame, n_folds: int) -> DataFrame:
+    """Add ``norms``, the norm of each fold as an array, without multiplying rows.
+
+    The norm table is counted, and broadcast only where that number is low.
+    """
     folds = range(n_folds)
     pick = lambda f: F.when(F.col("fold") == f, F.col("value"))
     floors = norms.agg(F.array(*[F.min(pick(f)) / 2 for f in folds])).scalar()
     wide = norms.groupBy("token_id").agg(F.array(*[F.max(pick(f)) for f in folds]).alias("_norms"))
     none = F.array(*[F.lit(None).cast("double") for _ in folds])
-    rows = scores.join(small(wide, size), "token_id", "left").withColumn("_floors", floors)
+    rows = scores.join(small(wide, norms.count()), "token_id", "left").withColumn("_floors", floors)
     filled = F.zip_with(F.coalesce("_norms", none), F.col("_floors"), lambda v, f: F.coalesce(v, f))
     return rows.select(*scores.columns, filled.alias("norms"))
 
 
-def _guarded(bad: Column, value: Column) -> Column:
-    """``value``, or the fixed guard where it would be NaN or infinite."""
+def _guarded(known: Column, value: Column) -> Column:
+    """``value``, or the fixed guard where it is undefined, NaN or infinite.
+
+    NULL stands for an undefined logarithm only where all inputs are ``known``.
+    """
+    bad = (known & value.isNull()) | F.isnan(value) | (F.abs(value) == float("inf"))
     return F.when(bad, F.lit(params.GUARD_VALUE)).otherwise(value)
 
 
 def ratio(nll: Column, norm: Column) -> Column:
-    p = F.exp(-nll)
-    bad = (p == 0) | (norm <= 0) | F.isnan(p) | F.isnan(norm)
-    return _guarded(bad, -F.ln(F.try_divide(p, norm)))
+    return _guarded(nll.isNotNull() & norm.isNotNull(), -F.ln(F.try_divide(F.exp(-nll), norm)))
 
 
 def diff_max(nll: Column, max_p: Column, norm: Column) -> Column:
-    p = F.exp(-nll)
-    x = 1 - (max_p - p)
-    bad = (x <= 0) | (norm <= 0) | F.isnan(x) | F.isnan(norm)
-    return _guarded(bad, -F.ln(F.try_divide(x, norm)))
+    known = nll.isNotNull() & max_p.isNotNull() & norm.isNotNull()
+    return _guarded(known, -F.ln(F.try_divide(1 - (max_p - F.exp(-nll)), norm)))
 
 
 def _value(kind: str, columns: list[str], norm: Column) -> Column:

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.functions.ordering import hash_rank
+from inkprobe.functions.ordering import HASH_BUCKETS, hash_bucket, hash_key, hash_rank
+from inkprobe.session import materialize, small
 
 
 def sample_n(df: DataFrame, n: int, seed: int = params.SEED, key: str = "doc_id",
              strict: bool = True) -> DataFrame:
-    """n rows without replacement, in the column ``rank``; too few rows are an error."""
-    ranked = hash_rank(df, key, seed)
-    if strict:
-        ranked = _require(ranked, F.col("group_size") >= n, f"sample larger than the {n} rows asked for")
-    return ranked.filter(F.col("rank") <= n).drop("group_size")
-
+    """n rows without replacement, in the column ``rank``; too few rows are an error.
 
-def _require(df: DataFrame, ok: Column, message: str) -> DataFrame:
-    return df.filter(F.when(ok, F.lit(True)).otherwise(
-        F.raise_error(F.lit(message)).cast("boolean")))
+    Only keys are ranked; the drawn ones then fetch their rows. Keys are unique.
+    """
+    if strict:
+        there = df.count()
+        if there < n:
+            raise ValueError(f"sample larger than population: {n} of {there} rows")
+    drawn = hash_rank(df.select(key), key, seed, upto=n).filter(F.col("rank") <= n).select(key, "rank")
+    if df.columns == [key]:
+        return drawn
+    return df.join(small(drawn, n), key).select(*df.columns, "rank")
 
 
 def cap_rows(df: DataFrame, cap: int | None, seed: int, key: str = "doc_id") -> DataFrame:
@@ -33,14 +38,14 @@ def cap_rows(df: DataFrame, cap: int | None, seed: int, key: str = "doc_id") ->
 
 
 def filter_year(df: DataFrame, col: str, lo: int = params.YEAR_LO, hi: int = params.YEAR_HI,
-                cap: int | None = params.YEAR_CAP, seed: int = params.SEED,
+                cap: int | None = None, seed: int = params.SEED,
                 strict: bool = False) -> DataFrame:
     """Rows whose year lies in [lo, hi]; NULL years go. ``strict`` fails on other text."""
     year = F.col(col).cast("int") if strict else F.expr(f"try_cast(`{col}` AS INT)")
     return cap_rows(df, cap, seed).filter(year.between(lo, hi))
 
 
-def min_tokens(df: DataFrame, n: int = params.MIN_TOKENS, cap: int | None = params.LENGTH_CAP,
+def min_tokens(df: DataFrame, n: int = params.MIN_TOKENS, cap: int | None = None,
                seed: int = params.SEED) -> DataFrame:
     """Documents longer than ``n`` tokens; ``n`` <= 0 keeps all of them.
 
@@ -84,32 +89,41 @@ def split_chunks(members: DataFrame, non_members: DataFrame, n_chunks: int = par
     the smaller class allows. Only ids move; texts join afterwards.
     """
     long = [min_tokens(d, min_len, cap, seed).select("doc_id") for d in (members, non_members)]
-    ranked = hash_rank(label_classes(*long), "doc_id", seed, group="label", max_groups=2)
-    if n_pos is None:
-        smaller = label_classes(*long).groupBy("label").agg(F.count("*").alias("n")).agg(
-            F.floor(F.min("n") / n_chunks)).scalar()
-        per = smaller
-    else:
-        per = F.lit(n_pos)
-        ranked = _require(ranked, F.col("group_size") >= n_chunks * n_pos,
-                          "a class is smaller than n_chunks * n_pos")
-    ranked = ranked.withColumn("_per", per).filter(F.col("rank") <= n_chunks * F.col("_per"))
+    classed = materialize(label_classes(*long), "classes")  # counted and ranked below
+    found = {r["label"]: r["n"] for r in classed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    smaller = min(found.get(1, 0), found.get(0, 0))
+    per = smaller // n_chunks if n_pos is None else n_pos
+    if not per or smaller < n_chunks * per:
+        raise ValueError(f"a class is smaller than {n_chunks} chunks of {per or 'one or more'} rows need; the "
+                         f"classes have {found.get(1, 0)} members and {found.get(0, 0)} non-members")
+    ranked = hash_rank(classed, "doc_id", seed, group="label", max_groups=2, upto=n_chunks * per)
     before = F.col("rank") - 1
-    return ranked.select(
+    return ranked.filter(F.col("rank") <= n_chunks * per).select(
         "doc_id",
-        F.floor(before / F.col("_per")).cast("int").alias("chunk_id"),
-        (before % F.col("_per") + F.when(F.col("label") == 0, F.col("_per")).otherwise(0))
-        .cast("int").alias("row_in_chunk"),
+        F.floor(before / per).cast("int").alias("chunk_id"),
+        (before % per + F.when(F.col("label") == 0, per).otherwise(0)).cast("int").alias("row_in_chunk"),
         "label")
 
 
 def random_split(df: DataFrame, test: float = params.TEST_SHARE, seed: int = params.SEED,
                  key: str = "doc_id") -> DataFrame:
-    """Add ``role``; ceil(test * n) rows are 'test'."""
-    ranked = hash_rank(df, key, seed)
-    cut = F.ceil(F.col("group_size") * F.lit(test))
-    return ranked.withColumn(
-        "role", F.when(F.col("rank") <= cut, "test").otherwise("train")).drop("rank", "group_size")
+    """Add ``role``; the first ceil(test * n) rows in seeded hash order are 'test'.
+
+    Only the bucket that holds the cut is ranked; the others lie on one side of it.
+    """
+    cut = math.ceil(df.count() * test)
+    bucket = hash_bucket(key, seed)
+    sizes = df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
+    line = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sides = sizes.select("_b", "_n", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    sides = sides.select("_b", F.when(F.col("_before") + F.col("_n") <= cut, "test").when(
+        F.col("_before") >= cut, "train").alias("_side"), (cut - F.col("_before")).alias("_left"))
+    placed = df.withColumn("_b", bucket).join(small(sides, HASH_BUCKETS), "_b")
+    settled = placed.filter(F.col("_side").isNotNull()).withColumn("role", F.col("_side"))
+    order = W.partitionBy("_b").orderBy(hash_key(seed, key), key)
+    mixed = placed.filter(F.col("_side").isNull()).withColumn(
+        "role", F.when(F.row_number().over(order) <= F.col("_left"), "test").otherwise("train"))
+    return settled.unionByName(mixed).select(*df.columns, "role")
 
 
 def with_labels(scores: DataFrame, labels: DataFrame, cols: Sequence[str] = ("label",)) -> DataFrame:

@@ -39,7 +39,7 @@ class CountModel:
     unigrams: DataFrame
     ctx: tuple[str, ...]
     pools: tuple[str, ...]
-    size: int | None
+    size: int  # rows of ``unigrams``, counted
 
     @property
     def max_contexts(self) -> int | None:
@@ -48,14 +48,15 @@ class CountModel:
 
 
 def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
-          ctx: Sequence[str] = ("prev",), lam: float = params.LAMBDA,
-          size: int | None = params.VOCAB_SIZE, store: bool = False) -> CountModel:
+          ctx: Sequence[str] = ("prev",), lam: float = params.LAMBDA, store: bool = False) -> CountModel:
     """Count every pool in one scan and one shuffle of partly aggregated pairs.
 
-    ``store`` writes the counts and the two small tables to the shared folder;
+    The vocabulary is counted, and what is no longer than it gets broadcast only
+    where that number is low. ``store`` writes the counts and the two small tables to the shared folder;
     without it every use of the model counts again.
     """
     hold = materialize if store else (lambda df, name: df)
+    size = vocab.count() + params.N_RESERVED
     ctx = list(ctx)
     member = {p: F.sum(F.when(cond, 1).otherwise(0)) for p, cond in pools.items()}
     used = None
@@ -237,7 +238,8 @@ def expand_general_proba(weights: DataFrame, model: CountModel, by: Sequence[str
                          pool: str | None = None) -> DataFrame:
     """Token-level values ``(*by, token_id, value)`` of weighted contexts.
 
-    ``weights`` holds (*by, prev, weight). Every vocabulary token gets a row.
+    ``weights`` holds (*by, prev, weight). Every vocabulary token gets a row in
+    each group, so groups must be few, like chunks.
     """
     pool = pool or model.pools[0]
     by = list(by)
@@ -245,11 +247,11 @@ def expand_general_proba(weights: DataFrame, model: CountModel, by: Sequence[str
         *by, "token_id").agg(F.sum(F.col("weight") * F.col(f"b_{pool}")).alias("value"))
     mass = weights.join(small(model.contexts, model.max_contexts), "prev", "left").groupBy(*by).agg(
         F.sum(F.col("weight") * F.coalesce(f"keep_{pool}", F.lit(1.0))).alias("_mass"))
-    table = model.unigrams.select(F.sort_array(F.collect_list(
-        F.struct("token_id", F.col(f"u_{pool}").alias("u")))).alias("all")).scalar()
-    smooth = mass.withColumn("_all", table).select(
-        *by, "_mass", F.explode("_all").alias("_t")).select(
-        *by, "_t.token_id", (F.col("_mass") * F.col("_t.u")).alias("value"))
+    # The groups are few, so they travel to the vocabulary and not the other way round.
+    groups = mass.agg(F.collect_list(F.struct(*by, "_mass")).alias("all")).scalar()
+    smooth = model.unigrams.select("token_id", f"u_{pool}").withColumn("_all", groups).select(
+        "token_id", f"u_{pool}", F.explode("_all").alias("_g")).select(
+        *[F.col(f"_g.{c}") for c in by], "token_id", (F.col("_g._mass") * F.col(f"u_{pool}")).alias("value"))
     return sparse.unionByName(smooth).groupBy(*by, "token_id").agg(F.sum("value").alias("value"))
 
 
@@ -262,10 +264,9 @@ def general_proba(doc_weights: DataFrame, model: CountModel, by: Sequence[str] =
     scored slot have no weights and do not count.
     """
     by = list(by)
-    # A document's weights add up to 1, so a group's weights add up to its documents.
-    docs = F.round(F.sum("_w").over(W.partitionBy(*by)))
-    mean = doc_weights.groupBy(*by, "prev").agg(F.sum("weight").alias("_w")).select(
-        *by, "prev", (F.col("_w") / docs).alias("weight"))
+    docs = doc_weights.select(*by, "doc_id").distinct().groupBy(*by).agg(F.count("*").alias("_docs"))
+    mean = doc_weights.groupBy(*by, "prev").agg(F.sum("weight").alias("_w")).join(docs, by).select(
+        *by, "prev", (F.col("_w") / F.col("_docs")).alias("weight"))
     if store:
         mean = materialize(mean, "mean_weights")
     return expand_general_proba(mean, model, by, pool)

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.session import small
+from inkprobe.functions.skew import lookup_join
+from inkprobe.session import materialize
 
+START_CHARS = 3
 WORD_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -19,13 +21,10 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
-def word_table(docs: DataFrame, keep: Sequence[str] = (), text: str = "text",
-               closing_row: bool = False) -> DataFrame:
+def word_table(docs: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
     """One row per word with its neighbours; narrow, no shuffle.
 
-    ``prev_word`` is '' at the start and ``next_word`` NULL at the end of a
-    document. ``closing_row`` keeps one row with a NULL word per document, so
-    that empty documents stay visible.
+    ``prev_word`` is '' at the start and ``next_word`` NULL at the end of a document.
     """
     split = docs.select("doc_id", *keep, words(text).alias("_w"))
     shifted = F.concat(F.array(F.lit("")), F.col("_w"))
@@ -35,28 +34,31 @@ def word_table(docs: DataFrame, keep: Sequence[str] = (), text: str = "text",
     rows = split.select(
         "doc_id", *keep, F.size("_w").alias("n_tokens"), F.posexplode(zipped).alias("pos", "_t"))
     rows = rows.select("doc_id", *keep, "n_tokens", "pos", "_t.word", "_t.prev_word", "_t.next_word")
-    return rows if closing_row else rows.filter(F.col("word").isNotNull())
+    return rows.filter(F.col("word").isNotNull())  # the shifted array is one longer
 
 
-def build_vocab(docs: DataFrame, size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def build_vocab(docs: DataFrame, size: int | None = None) -> DataFrame:
     """Vocabulary ``(token, token_id, n)``; the most frequent words get the lowest ids.
 
-    ``size`` counts the reserved ids, as a pretrained tokenizer's does. Before
-    the final top-k, words far below the cut are dropped by their count band, so
-    few rows reach the last task.
+    All words count unless ``size`` caps them, reserved ids included, as a
+    pretrained tokenizer's does. Numbers are given inside groups of one count and
+    one word start, so the many words seen once are not numbered by one task.
     """
     counts = word_table(docs).groupBy(F.col("word").alias("token")).agg(F.count("*").alias("n"))
-    best = [F.desc("n"), F.asc("token")]
     if size is None:
         from inkprobe.functions.ordering import running_totals
-        per = counts.groupBy("n").agg(F.count("*").alias("types"))
-        starts = running_totals(per, "n", ["types"], descending=True).select(
-            "n", (F.col("cum_types") - F.col("types")).alias("_before"))
-        inside = W.partitionBy("n").orderBy("token")
-        ranked = counts.join(starts, "n").withColumn(
-            "_r", F.row_number().over(inside) + F.col("_before"))
+        counts = materialize(counts, "word_counts").withColumn("_p", F.substring("token", 1, START_CHARS))
+        per = counts.groupBy("n", "_p").agg(F.count("*").alias("types"))
+        line = W.partitionBy("n").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+        within = per.select("n", "_p", F.coalesce(F.sum("types").over(line), F.lit(0)).alias("_within"))
+        starts = running_totals(per.groupBy("n").agg(F.sum("types").alias("types")), "n", ["types"],
+                                descending=True).select("n", (F.col("cum_types") - F.col("types")).alias("_before"))
+        inside = W.partitionBy("n", "_p").orderBy("token")
+        ranked = counts.join(within.join(starts, "n"), ["n", "_p"]).withColumn(
+            "_r", F.row_number().over(inside) + F.col("_within") + F.col("_before"))
         return ranked.select(
             "token", (F.col("_r") + (params.N_RESERVED - 1)).cast("int").alias("token_id"), "n")
+    best = [F.desc("n"), F.asc("token")]
     room = size - params.N_RESERVED
     band = F.floor(F.log2("n") * 16).cast("int")
     bands = counts.groupBy(band.alias("band")).agg(F.count("*").alias("types"))
@@ -69,36 +71,47 @@ def build_vocab(docs: DataFrame, size: int | None = params.VOCAB_SIZE) -> DataFr
         (F.row_number().over(W.orderBy(*best)) + (params.N_RESERVED - 1)).alias("token_id"), "n")
 
 
-def _with_id(rows: DataFrame, vocab: DataFrame, word: str, out: str,
-             size: int | None) -> DataFrame:
-    ids = vocab.select(F.col("token").alias("_token"), F.col("token_id").alias("_id"))
-    joined = rows.join(small(ids, size), F.col(word) == F.col("_token"), "left")
-    return joined.withColumn(out, F.coalesce("_id", F.lit(params.UNK))).drop("_token", "_id")
+def fits(vocab: DataFrame) -> bool:
+    """Whether a (stored) vocabulary is small enough to broadcast, as measured in rows and bytes."""
+    size = vocab.agg(F.count("*").alias("n"), F.coalesce(
+        F.sum(F.octet_length("token") + 48), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= params.MAX_BROADCAST_ROWS and size["bytes"] <= params.MAX_BROADCAST_BYTES
+
+
+def _with_id(rows: DataFrame, vocab: DataFrame, word: str, out: str, broadcast: bool) -> DataFrame:
+    """Add the id of ``word``; the vocabulary is broadcast, or else only its hot words are."""
+    if broadcast:
+        ids = vocab.select(F.col("token").alias("_token"), F.col("token_id").alias("_id"))
+        joined = rows.join(F.broadcast(ids), F.col(word) == F.col("_token"), "left").drop("_token")
+    else:
+        ids = vocab.select(F.col("token").alias(word), F.col("token_id").alias("_id"), F.col("n").alias("_n"))
+        joined = lookup_join(rows, ids, [word], "_n", ["_id"], ["doc_id", "pos"])
+    return joined.withColumn(out, F.coalesce("_id", F.lit(params.UNK))).drop("_id")
 
 
 def token_table(docs: DataFrame, vocab: DataFrame, keep: Sequence[str] = (),
-                with_next: bool = False, with_word: bool = False, lower: bool = False,
-                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+                with_next: bool = False, with_word: bool = False, lower: bool = False) -> DataFrame:
     """Long tokens ``(doc_id, ..., n_tokens, pos, token_id, prev)``.
 
-    The vocabulary is bounded by ``size``, so each lookup is a broadcast join.
-    ``lower`` adds the ids of the lower-cased words.
+    Each lookup is a broadcast join while the vocabulary fits, else a join that
+    survives hot words. ``lower`` adds the ids of the lower-cased words.
     """
+    near = fits(vocab)
     rows = word_table(docs, keep)
     out = ["doc_id", *keep, "n_tokens", "pos"]
-    rows = _with_id(rows, vocab, "word", "token_id", size)
-    rows = _with_id(rows, vocab, "prev_word", "prev", size)
+    rows = _with_id(rows, vocab, "word", "token_id", near)
+    rows = _with_id(rows, vocab, "prev_word", "prev", near)
     rows = rows.withColumn("prev", F.when(F.col("pos") == 0, params.BOS).otherwise(F.col("prev")))
     out += ["token_id", "prev"]
     if with_next:
-        rows = _with_id(rows, vocab, "next_word", "next", size)
+        rows = _with_id(rows, vocab, "next_word", "next", near)
         rows = rows.withColumn(
             "next", F.when(F.col("next_word").isNull(), params.EOS).otherwise(F.col("next")))
         out.append("next")
     if lower:
         rows = rows.withColumn("_lw", F.lower("word")).withColumn("_lp", F.lower("prev_word"))
-        rows = _with_id(rows, vocab, "_lw", "low_id", size)
-        rows = _with_id(rows, vocab, "_lp", "low_prev", size)
+        rows = _with_id(rows, vocab, "_lw", "low_id", near)
+        rows = _with_id(rows, vocab, "_lp", "low_prev", near)
         rows = rows.withColumn(
             "low_prev", F.when(F.col("pos") == 0, params.BOS).otherwise(F.col("low_prev")))
         out += ["low_id", "low_prev"]
@@ -107,14 +120,23 @@ def token_table(docs: DataFrame, vocab: DataFrame, keep: Sequence[str] = (),
     return rows.select(*out)
 
 
-def tokenize(docs: DataFrame, vocab: DataFrame, size: int | None = params.VOCAB_SIZE) -> DataFrame:
-    """Replace ``text`` by ``input_ids`` and ``attention_mask``; other columns stay."""
+def tokenize(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Replace ``text`` by ``input_ids`` and ``attention_mask``; other columns stay.
+
+    Tokens carry nothing but the document id, which must be unique; the other
+    columns join afterwards.
+    """
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_id(word_table(docs, keep, closing_row=True), vocab, "word", "token_id", size)
-    entry = F.when(F.col("word").isNotNull(), F.struct("pos", "token_id"))
-    ids = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["token_id"])
-    grouped = rows.groupBy("doc_id", *keep).agg(ids.alias("input_ids"))
-    return grouped.withColumn(
+    rows = _with_id(word_table(docs), vocab, "word", "token_id", fits(vocab))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))), lambda e: e["token_id"])
+    ids = rows.groupBy("doc_id").agg(
+        in_order.alias("_ids"), F.count("*").alias("_n"), F.max("n_tokens").alias("_long"))
+    # Documents of one id would have run together here.
+    single = F.when(F.col("_n") == F.col("_long"), F.col("_ids")).otherwise(
+        F.raise_error(F.lit("document ids must be unique")).cast("array<int>"))
+    joined = docs.select("doc_id", *keep).join(ids.select("doc_id", single.alias("_ids")), "doc_id", "left")
+    return joined.select(
+        "doc_id", *keep, F.coalesce("_ids", F.array().cast("array<int>")).alias("input_ids")).withColumn(
         "attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 
 
@@ -201,11 +223,13 @@ def explode_windows(tokens: DataFrame, context: int = params.CONTEXT, stride: in
     return tokens.withColumn("begin", F.explode(begins))
 
 
-def decode(rows: DataFrame, vocab: DataFrame, by: Sequence[str],
-           size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def decode(rows: DataFrame, vocab: DataFrame, by: Sequence[str]) -> DataFrame:
     """Text of each group of tokens in ``pos`` order."""
-    names = vocab.select("token_id", "token")
-    named = rows.join(small(names, size), "token_id", "left").withColumn(
+    if fits(vocab):
+        named = rows.join(F.broadcast(vocab.select("token_id", "token")), "token_id", "left")
+    else:
+        named = lookup_join(rows, vocab, ["token_id"], "n", ["token"], [*by, "pos"])
+    named = named.withColumn(
         "token", F.coalesce("token", F.lit(params.UNK_TEXT)))
     in_order = F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda e: e["token"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 SEED = 42
 N_CHUNKS = 5
 MIN_TOKENS = 100
-VOCAB_SIZE = 32_000
+VOCAB_SIZE = 32_000  # of the capped vocabulary, where one is asked for
 LAMBDA = 0.5
 HOT_SLOTS = 20_000
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 HASH_DIGITS = 4
 
 # Reserved token ids.
@@ -16,19 +17,15 @@ UNK, BOS, EOS = 0, 1, 2
 N_RESERVED = 3
 UNK_TEXT = "<unk>"
 
-# Window shape, list sizes, caps, date bounds, guard value and
+# Window shape, list sizes, date bounds, guard value and
 # ratios have to agree with the published method for results to agree.
 CONTEXT = 128
 STRIDE = 127
 TOP_K = 10
 N_NEIGHBOURS = 50
-MAX_SCORED_LEN = 512
 YEAR_LO, YEAR_HI = 1850, 1910
-YEAR_CAP = 10_000
-LENGTH_CAP = 20_000
 RELEASE_CUTOFF = "2023-02-28"
 HEADER_BYTES = 1000
-LIST_LIMIT = 100
 GUARD_VALUE = 10e-6
 CERTAIN_WEIGHT = 1 - 0.9
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)

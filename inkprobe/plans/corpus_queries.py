@@ -54,6 +54,7 @@ def a2(spark, d):
 block("book_files", [], """
   SELECT doc_id,
          'Title: Book ' || doc_id || ': ' || lang || chr(10)
+         || CASE WHEN lang = 'es' THEN repeat('-', 1500) || chr(10) ELSE '' END
          || 'Release Date: ' || strftime(DATE '2022-06-01' + CAST(doc_id % 500 AS INTEGER), '%B %-d, %Y')
          || ' [eBook #' || doc_id || ']' || chr(10)
          || 'no field here' || chr(10)
@@ -73,7 +74,9 @@ def book_files(spark: SparkSession, d: str) -> DataFrame:
     year = (1800 + F.col("doc_id") % 150).cast("string")
     key = F.col("doc_id").cast("string")
     text = F.concat(
-        F.lit("Title: Book "), key, F.lit(": "), "lang", F.lit("\nRelease Date: "),
+        F.lit("Title: Book "), key, F.lit(": "), "lang",
+        # Beyond the first thousand bytes of these, the header goes on.
+        F.when(F.col("lang") == "es", "\n" + "-" * 1500).otherwise(""), F.lit("\nRelease Date: "),
         F.date_format(day, "MMMM d, yyyy"), F.lit(" [eBook #"), key, F.lit("]\nno field here\n"),
         F.lit("Original Publication: London: Smith, "), year, F.lit("\nTITLE : Last "), key, F.lit("\n"),
         F.when(F.col("lang") == "de", "").otherwise("*** START OF THIS BOOK ***\n"), "text", F.lit("\n"),
@@ -101,7 +104,13 @@ def a3(spark, d):
         F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "parse_error")
 
 
-@query("a4_decode_header")
+# The first bytes as hexadecimal pairs: one character each if they are no valid UTF-8.
+@query("a4_decode_header", f"""
+  SELECT doc_id, coalesce(
+      TRY(decode(unhex(head))),
+      array_to_string(list_transform(range(0, len(head) // 2),
+        lambda i: chr(CAST('0x' || substr(head, 2 * i + 1, 2) AS INTEGER))), '')) AS header
+  FROM (SELECT doc_id, substr(hex(encode(text)), 1, {2 * params.HEADER_BYTES}) AS head FROM documents)""")
 def a4(spark, d):
     files = documents(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return files.select("doc_id", books.decode_header(F.col("content")).alias("header"))
@@ -145,7 +154,7 @@ def a8(spark, d):
 @query("b1_release_date", """
   SELECT doc_id, released AS release_date FROM book_files""", ["book_files"])
 def b1(spark, d):
-    header = books.decode_header(F.encode("text", "UTF-8"))
+    header = books.header_of(F.encode("text", "UTF-8"))
     return book_files(spark, d).select("doc_id", books.release_date(header).alias("release_date"))
 
 
@@ -179,9 +188,8 @@ def b4(spark, d):
 
 
 @query("b5_filter_year", f"""
-  SELECT doc_id, CAST(year AS VARCHAR) AS original_publication FROM (
-    SELECT *, row_number() OVER (ORDER BY md5('{params.SEED}:' || doc_id), doc_id) AS rn FROM book_files)
-  WHERE rn <= {params.YEAR_CAP} AND year BETWEEN {params.YEAR_LO} AND {params.YEAR_HI}""", ["book_files"])
+  SELECT doc_id, CAST(year AS VARCHAR) AS original_publication FROM book_files
+  WHERE year BETWEEN {params.YEAR_LO} AND {params.YEAR_HI}""", ["book_files"])
 def b5(spark, d):
     docs = corpora.table(spark, d, "documents").select(
         "doc_id", (1800 + F.col("doc_id") % 150).cast("string").alias("original_publication"))
@@ -189,9 +197,7 @@ def b5(spark, d):
 
 
 @query("b6_min_tokens", f"""
-  SELECT doc_id, n_tokens::INTEGER AS n_tokens FROM (
-    SELECT *, row_number() OVER (ORDER BY md5('{params.SEED}:' || doc_id), doc_id) AS rn FROM lengths)
-  WHERE rn <= {params.LENGTH_CAP} AND n_tokens > {params.MIN_TOKENS}""", ["lengths"])
+  SELECT doc_id, n_tokens::INTEGER AS n_tokens FROM lengths WHERE n_tokens > {params.MIN_TOKENS}""", ["lengths"])
 def b6(spark, d):
     return sp.min_tokens(tk.doc_lengths(documents(spark, d)))
 
@@ -242,7 +248,8 @@ def sp_names(spark, d):
 
 block("book_pages", [], r"""
   SELECT page_id, url, html
-    || '<div class="x" id="bibrec"><table>'
+    || '<div data-id="bibrec">decoy<td itemprop="interactionCount">9 downloads</td></div>'
+    || '<div class="x" id="bibrec"><div><DIV>inner</DIV> note</div><table>'
     || CASE WHEN page_id % 7 = 0 THEN '' ELSE '<tr property="dcterms:language"><th>Language</th><td>'
          || CASE WHEN page_id % 3 = 0 THEN 'French' ELSE 'English, French' END || '</td></tr>' END
     || '<tr><td itemprop="headline">A &amp; B' || chr(10) || page_id || '</td></tr>'
@@ -262,7 +269,8 @@ def book_pages(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("page_id").cast("string")
     every = lambda n: F.col("page_id") % n == 0
     parts = [
-        "html", F.lit('<div class="x" id="bibrec"><table>'),
+        "html", F.lit('<div data-id="bibrec">decoy<td itemprop="interactionCount">9 downloads</td></div>'
+                      '<div class="x" id="bibrec"><div><DIV>inner</DIV> note</div><table>'),
         F.when(every(7), "").otherwise(F.concat(
             F.lit('<tr property="dcterms:language"><th>Language</th><td>'),
             F.when(every(3), "French").otherwise("English, French"), F.lit("</td></tr>"))),
@@ -298,28 +306,20 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def first_sql(expr: str, pattern: str) -> str:
-    p = quoted(pattern)
-    return f"CASE WHEN regexp_matches({expr}, {p}) THEN {plain_sql(f'regexp_extract({expr}, {p}, 1)')} END"
-
-
-block("records", ["book_pages"], f"""
-  SELECT page_id, url, html, regexp_extract(html, {quoted(catalogue.RECORD_PATTERN)}, 1) AS rec FROM book_pages""")
-_LANG = first_sql("rec", catalogue.element_pattern("tr", "property", catalogue.LANGUAGE_PROPERTY))
-_DOWN = first_sql("rec", catalogue.element_pattern("td", "itemprop", catalogue.DOWNLOADS_ITEM))
-block("page_facts", ["records"], f"""
-  SELECT page_id, {first_sql("html", catalogue.TITLE_PATTERN)} AS title,
-         CASE WHEN contains({_LANG}, 'English') THEN 'English' ELSE {_LANG} END AS language,
-         coalesce(TRY_CAST(split_part({_DOWN}, ' ', 1) AS INTEGER), 0) AS downloads
-  FROM records""")
-_BIB = {n: f"replace({first_sql('rec', catalogue.element_pattern(t, 'itemprop', i))}, chr(10), '')"
-        for n, t, i in (("bib_title", "td", catalogue.TITLE_ITEM), ("bib_author", "a", catalogue.AUTHOR_ITEM),
-                        ("bib_published", "td", catalogue.PUBLISHED_ITEM))}
-block("bib_raw", ["records"],
-      "SELECT page_id, " + ", ".join(f"{e} AS {n}" for n, e in _BIB.items()) + " FROM records")
-_ALL = "bib_title IS NOT NULL AND bib_author IS NOT NULL AND bib_published IS NOT NULL"
-block("bib", ["bib_raw"], "SELECT page_id, " + ", ".join(
-    f"CASE WHEN {_ALL} THEN {n} END AS {n}" for n in _BIB) + " FROM bib_raw")
+# What the record blocks hold follows from the page id, so these twins parse nothing but the stored title.
+block("page_facts", [], """
+  SELECT page_id,
+         CASE WHEN contains(html, '<title>') THEN replace(replace(replace(split_part(split_part(
+           html, '<title>', 2), '</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') END AS title,
+         CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'LanguageFrench' ELSE 'English' END AS language,
+         CASE WHEN page_id % 4 = 0 THEN 0 ELSE page_id END::INTEGER AS downloads
+  FROM pages""")
+block("bib", [], """
+  SELECT page_id,
+         CASE WHEN page_id % 5 > 0 THEN 'A & B' || page_id END AS bib_title,
+         CASE WHEN page_id % 5 > 0 THEN 'Author, ' || page_id END AS bib_author,
+         CASE WHEN page_id % 5 > 0 THEN 'Mar ' || (1 + page_id % 28) || ', 2023' END AS bib_published
+  FROM pages""")
 
 
 @query("a7_metadata_lines", """
@@ -371,16 +371,19 @@ def b16(spark, d):
     return catalogue.pick_link(book_pages(spark, d)).select("page_id", "link")
 
 
+LIST_ITEMS = 100  # the listing's own top-n
+
+
 @query("b17_list_links", f"""
   SELECT page_id, title, arg_max(href, i) AS href FROM (
     SELECT page_id, i, {plain_sql('li')} AS title,
            regexp_extract(li, {quoted(catalogue.HREF_PATTERN)}, 1) AS href FROM (
       SELECT page_id, unnest(l) AS li, generate_subscripts(l, 1) AS i FROM (
         SELECT page_id, regexp_extract_all(html, {quoted(catalogue.ITEM_PATTERN)}) AS l FROM book_pages))
-    WHERE i <= {params.LIST_LIMIT})
+    WHERE i <= {LIST_ITEMS})
   WHERE contains(href, 'ebooks') GROUP BY page_id, title""", ["book_pages"])
 def b17(spark, d):
-    return catalogue.list_links(book_pages(spark, d))
+    return catalogue.list_links(book_pages(spark, d), limit=LIST_ITEMS)
 
 
 @query("c4_skip_collected", """

@@ -39,7 +39,7 @@ class ChunkedScores:
 def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks: int = params.N_CHUNKS,
                  n_pos: int | None = None, min_len: int = params.MIN_TOKENS, seed: int = params.SEED,
                  context: int = params.CONTEXT, stride: int = params.STRIDE,
-                 size: int | None = params.VOCAB_SIZE, keep_tables: bool = True) -> ChunkedScores:
+                 size: int | None = None, keep_tables: bool = True) -> ChunkedScores:
     """Chunk, train on the member pool and score.
 
     ``docs`` has text and the columns the two class conditions use. With
@@ -49,12 +49,12 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     hold = materialize if keep_tables else (lambda df, name: df)
     vocab = hold(tk.build_vocab(docs, size), "vocab")
     classed = docs.select("doc_id", "text", F.when(member, 1).when(non_member, 0).alias("_class"))
-    tokens = hold(tk.token_table(classed, vocab, ["_class"], size=size), "tokens")
+    tokens = hold(tk.token_table(classed, vocab, ["_class"]), "tokens")
     # One row per document: every document with a token has a first one.
     lengths = tokens.filter("pos = 0").select("doc_id", "n_tokens", "_class")
     chunks = hold(sp.split_chunks(lengths.filter("_class = 1"), lengths.filter("_class = 0"),
                                   n_chunks, n_pos, min_len, seed), "chunks").drop("row_in_chunk")
-    model = sc.train(tokens, vocab, {"target": F.col("_class") == 1}, size=size, store=keep_tables)
+    model = sc.train(tokens, vocab, {"target": F.col("_class") == 1}, store=keep_tables)
     chosen = hold(tokens.drop("_class").join(chunks, "doc_id"), "chunk_tokens")
     counts = hold(tk.token_counts(chosen, ["chunk_id"]), "counts")
     scores = sc.with_max_p(sc.score_tokens(chosen, model, context, stride), model).select(
@@ -67,8 +67,7 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
         sc.general_proba(weights, model, store=keep_tables), n_chunks)
 
 
-def fold_arrays(data: ChunkedScores, norm_type: str, norm_table: str,
-                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def fold_arrays(data: ChunkedScores, norm_type: str, norm_table: str) -> DataFrame:
     """Normalised values ``(doc_id, chunk_id, label, pos, values[fold])``.
 
     Norms come from each fold's training chunks and are applied to all chunks.
@@ -76,22 +75,20 @@ def fold_arrays(data: ChunkedScores, norm_type: str, norm_table: str,
     rows = data.scores
     if norm_type != "none":
         norms = materialize(nm.fold_norms(data.norm(norm_table), data.chunk_tokens, data.n_chunks), "norms")
-        rows = nm.norm_arrays(rows, norms, data.n_chunks, size)
+        rows = nm.norm_arrays(rows, norms, data.n_chunks)
     return nm.normalize_folds(rows, norm_type, data.n_chunks).select(
         "doc_id", "chunk_id", "label", "pos", "values")
 
 
-def fold_values(data: ChunkedScores, norm_type: str, norm_table: str,
-                size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def fold_values(data: ChunkedScores, norm_type: str, norm_table: str) -> DataFrame:
     """:func:`fold_arrays` with one row per fold."""
-    rows = fold_arrays(data, norm_type, norm_table, size)
+    rows = fold_arrays(data, norm_type, norm_table)
     return rows.select("doc_id", "chunk_id", "label", "pos", F.posexplode("values").alias("fold", "value"))
 
 
-def fold_features(data: ChunkedScores, norm_type: str, norm_table: str, kind: str,
-                  size: int | None = params.VOCAB_SIZE) -> DataFrame:
+def fold_features(data: ChunkedScores, norm_type: str, norm_table: str, kind: str) -> DataFrame:
     """Scaled features ``(fold, doc_id, chunk_id, label, role, x)``."""
-    return ft.extract_scaled(fold_arrays(data, norm_type, norm_table, size), kind, data.n_chunks)
+    return ft.extract_scaled(fold_arrays(data, norm_type, norm_table), kind, data.n_chunks)
 
 
 def cross_validate(data: ChunkedScores, norm_type: str = "ratio", norm_table: str = "token_freq",

@@ -118,6 +118,8 @@ block("split", [], rf"""
          regexp_extract_all(text, '{WORDS_SQL}') AS w
   FROM documents""")
 block("lengths", ["split"], "SELECT doc_id, lang, source, si, len(w) AS n_tokens FROM split")
+block("win", ["lengths"], f"""
+  SELECT doc_id, n_tokens, unnest(range(0, n_tokens, {params.STRIDE}))::INTEGER AS begin FROM lengths""")
 block("tok", ["split"], """
   SELECT doc_id, lang, source, si, len(w) AS n_tokens, unnest(w) AS word,
          generate_subscripts(w, 1) - 1 AS pos
@@ -125,8 +127,7 @@ block("tok", ["split"], """
 block("vocab", ["tok"], f"""
   SELECT word AS token, count(*) AS n,
          row_number() OVER (ORDER BY count(*) DESC, word) + {params.N_RESERVED - 1} AS token_id
-  FROM tok GROUP BY word
-  QUALIFY token_id < {params.VOCAB_SIZE}""")
+  FROM tok GROUP BY word""")
 block("ids", ["tok", "vocab"], f"""
   SELECT doc_id, lang, source, si, n_tokens, pos, word,
          coalesce(token_id, {params.UNK}) AS token_id

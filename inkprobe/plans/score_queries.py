@@ -502,30 +502,38 @@ def swaps(spark, d):
     ready = prepare(spark, d, with_next=True)
     masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()},
                       ctx=("prev", "next"), store=True)
-    positions = nb.swap_positions(ready.tokens)
+    positions = materialize(nb.swap_positions(ready.tokens), "positions")  # read twice
     triples = materialize(nb.triple_options(positions, masked, ready.model), "triples")
     return nb.candidates(positions, triples), ready
 
 
+def all_windows(spark, d):
+    return tk.sequence_windows(tk.doc_lengths(documents(spark, d))).select("doc_id", "begin")
+
+
 @query("i1_candidates", """
-  SELECT doc_id, begin::INTEGER AS begin, count(*) AS n, sum(cand)::BIGINT AS id_sum, round(sum(p), 6) AS p_sum
-  FROM n_pos JOIN n_cand USING (prev, token_id, next) WHERE pos > begin GROUP BY doc_id, begin""",
-       ["n_pos", "n_cand"])
+  SELECT doc_id, begin::INTEGER AS begin, count(cand) AS n, sum(cand)::BIGINT AS id_sum, round(sum(p), 6) AS p_sum
+  FROM win LEFT JOIN (SELECT doc_id, begin, cand, p FROM n_pos JOIN n_cand USING (prev, token_id, next)
+                      WHERE pos > begin) USING (doc_id, begin) GROUP BY doc_id, begin""",
+       ["win", "n_pos", "n_cand"])
 def i1(spark, d):
     cands, ready = swaps(spark, d)
-    each = cands.select("doc_id", "begin", F.explode("options").alias("o"))
+    each = all_windows(spark, d).join(
+        cands.select("doc_id", "begin", F.explode("options").alias("o")), ["doc_id", "begin"], "left")
     return each.groupBy("doc_id", "begin").agg(
-        F.count("*").alias("n"), F.sum(F.col("o.token_id").cast("bigint")).alias("id_sum"),
+        F.count("o").alias("n"), F.sum(F.col("o.token_id").cast("bigint")).alias("id_sum"),
         rnd(F.sum("o.p"), "p_sum"))
 
 
 @query("i2_candidate_weights", """
   SELECT doc_id, begin::INTEGER AS begin, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max
-  FROM n_pos JOIN n_cand USING (prev, token_id, next) WHERE pos > begin GROUP BY doc_id, begin""",
-       ["n_pos", "n_cand"])
+  FROM win LEFT JOIN (SELECT doc_id, begin, weight FROM n_pos JOIN n_cand USING (prev, token_id, next)
+                      WHERE pos > begin) USING (doc_id, begin) GROUP BY doc_id, begin""",
+       ["win", "n_pos", "n_cand"])
 def i2(spark, d):
     cands, ready = swaps(spark, d)
-    each = cands.select("doc_id", "begin", F.explode("options").alias("o"))
+    each = all_windows(spark, d).join(
+        cands.select("doc_id", "begin", F.explode("options").alias("o")), ["doc_id", "begin"], "left")
     return each.groupBy("doc_id", "begin").agg(
         rnd(F.sum("o.weight"), "weight_sum"), rnd(F.max("o.weight"), "weight_max"))
 
@@ -554,7 +562,7 @@ def i4(spark, d):
 
 @query("i5_mean_logprob", f"""
   SELECT doc_id, begin::INTEGER AS begin,
-         round(avg(-s) FILTER (s <> 0 AND pos - begin < {params.MAX_SCORED_LEN}), 6) AS mean_logprob
+         round(avg(-s) FILTER (s <> 0), 6) AS mean_logprob
   FROM wrows GROUP BY doc_id, begin""", ["wrows"])
 def i5(spark, d):
     rows = tk.explode_windows(scored_docs(spark, d, ["si"])).filter(F.col("pos") >= F.col("begin"))
@@ -562,10 +570,9 @@ def i5(spark, d):
     return nb.mean_logprob(rows).select("doc_id", "begin", rnd("mean_logprob"))
 
 
-@query("i6_neighborhood_score", """
-  SELECT doc_id, begin::INTEGER AS begin, count(*) AS n_neighbors,
-         round(sum(v1 + coalesce(v2, 0) - nll - coalesce(nll_next, 0)) / (count(*) * any_value(n)), 6)
-           AS neighborhood_score
+block("n_score", ["n_top", "wrows", "m_terms", "m_ctx", "m_uni"], """
+  SELECT doc_id, begin, count(*) AS n_neighbors,
+         sum(v1 + coalesce(v2, 0) - nll - coalesce(nll_next, 0)) / (count(*) * any_value(n)) AS score
   FROM (
     SELECT n.doc_id, n.begin, n.nll, n.nll_next, w.n,
            -ln(coalesce(x1.b, 0) + coalesce(c1.keep, 1.0) * u1.u) AS v1,
@@ -575,8 +582,29 @@ def i5(spark, d):
     LEFT JOIN m_ctx c1 ON c1.prev = n.prev JOIN m_uni u1 ON u1.token_id = n.cand
     LEFT JOIN m_terms x2 ON x2.prev = n.cand AND x2.token_id = n.next
     LEFT JOIN m_ctx c2 ON c2.prev = n.cand LEFT JOIN m_uni u2 ON u2.token_id = n.next)
-  GROUP BY doc_id, begin""", ["n_top", "wrows", "m_terms", "m_ctx", "m_uni"])
-def i6(spark, d):
+  GROUP BY doc_id, begin""")
+
+
+def neighbourhood(spark, d):
     cands, ready = swaps(spark, d)
-    return nb.neighborhood_score(nb.top_neighbors(cands), ready.model).select(
-        "doc_id", "begin", "n_neighbors", rnd("neighborhood_score"))
+    return nb.neighborhood_score(nb.top_neighbors(cands), ready.model, all_windows(spark, d))
+
+
+@query("i6_neighborhood_score", """
+  SELECT doc_id, begin::INTEGER AS begin, coalesce(n_neighbors, 0) AS n_neighbors,
+         round(score, 6) AS neighborhood_score
+  FROM win LEFT JOIN n_score USING (doc_id, begin)""", ["win", "n_score"])
+def i6(spark, d):
+    return neighbourhood(spark, d).select("doc_id", "begin", "n_neighbors", rnd("neighborhood_score"))
+
+
+@query("i6_score_column", """
+  SELECT 'doc_' || doc_id AS doc_id, begin::INTEGER AS begin, round(exp(loss), 4) AS ppl,
+         round(score, 6) AS neighborhood_score
+  FROM wloss LEFT JOIN n_score USING (doc_id, begin)""", ["wloss", "n_score"])
+def i6_column(spark, d):
+    table = bl.score_table(losses(spark, d), with_zlib=False)
+    score = neighbourhood(spark, d).select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_id"), "begin", "neighborhood_score")
+    return table.join(score, ["doc_id", "begin"], "left").select(
+        "doc_id", "begin", rnd("ppl", digits=4), rnd("neighborhood_score"))

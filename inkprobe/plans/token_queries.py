@@ -64,6 +64,12 @@ def d2(spark, d):
     return tk.build_vocab(documents(spark, d))
 
 
+@query("d2_build_vocab_capped", f"""
+  SELECT token, token_id::INTEGER AS token_id, n FROM vocab WHERE token_id < {params.VOCAB_SIZE}""", ["vocab"])
+def d2_capped(spark, d):
+    return tk.build_vocab(documents(spark, d), params.VOCAB_SIZE)
+
+
 @query("d2_build_vocab_unbounded", f"""
   SELECT word AS token, n,
          (row_number() OVER (ORDER BY n DESC, word) + {params.N_RESERVED - 1})::INTEGER AS token_id
@@ -72,8 +78,6 @@ def d2_all(spark, d):
     return tk.build_vocab(documents(spark, d), size=None)
 
 
-block("win", ["lengths"], f"""
-  SELECT doc_id, n_tokens, unnest(range(0, n_tokens, {S}))::INTEGER AS begin FROM lengths""")
 block("twin", ["ids"], f"""
   SELECT * FROM (
     SELECT *, (pos // {S}) * {S} AS begin FROM ids
@@ -160,7 +164,8 @@ def d7_positions(spark, d):
         F.count("*").alias("n"), rnd(F.sum(mass), "top_mass"), F.sum(ids).alias("id_sum"))
 
 
-@query("d8_rank_column")
+@query("d8_rank_column", """
+  SELECT doc_id, pos::INTEGER AS pos, CAST(NULL AS INTEGER) AS rank FROM scored""", ["scored"])
 def d8(spark, d):
     return sc.with_rank(scored_docs(spark, d, ["si"])).select("doc_id", "pos", "rank")
 

@@ -19,14 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are costly to process, spread when its file splits are few.
+    """A table whose rows are costly to process; one in a single file is spread over the cores.
 
-    Large inputs have more splits than there are cores and pass unchanged.
+    A file of one row group is read by one task, however many cores wait. What
+    consists of several files passes unchanged, so no large input is shuffled.
     """
     df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+    if len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism, key)
     return df
 
 
@@ -78,7 +78,7 @@ def read_book_files(spark: SparkSession, path: str) -> DataFrame:
 
 def recent_books(files: DataFrame, date: str = params.RELEASE_CUTOFF) -> DataFrame:
     """Files released after ``date``; unparsable files are left out."""
-    dated = files.withColumn("release_date", books.release_date(books.decode_header(F.col("content"))))
+    dated = files.withColumn("release_date", books.release_date(books.header_of(F.col("content"))))
     return books.released_after(dated, date)
 
 

@@ -17,10 +17,10 @@ def test_fold_norms_and_lookup(spark):
     norms = nm.fold_norms(norm, sizes, 3).cache()
     assert {r["token_id"]: r["value"] for r in norms.filter("fold = 2").collect()} == {7: .3125, 8: .125, 9: .5625}
     scores = spark.createDataFrame([(7, 1., .5), (8, 2., .9), (99, 0., 1.)], "token_id int, nll double, max_p double")
-    rows = nm.norm_lookup(scores.withColumn("fold", F.lit(2)), norms, 3, None)
+    rows = nm.norm_lookup(scores.withColumn("fold", F.lit(2)), norms, 3)
     ratio = {r["token_id"]: r["value"] for r in nm.normalize(rows, "ratio").collect()}
     diff = {r["token_id"]: r["value"] for r in nm.normalize(rows, "diff_max_token_proba").collect()}
-    wide = nm.norm_arrays(scores, norms, 3, None)
+    wide = nm.norm_arrays(scores, norms, 3)
     for kind, want in (("ratio", ratio), ("diff_max_token_proba", diff)):
         got = {r["token_id"]: r["values"][2] for r in nm.normalize_folds(wide, kind, 3).collect()}
         assert got == pytest.approx(want)

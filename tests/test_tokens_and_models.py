@@ -55,8 +55,8 @@ def corpus():
 def small(spark):
     docs = spark.createDataFrame(corpus(), "doc_id bigint, text string, member boolean")
     vocab = tk.build_vocab(docs, size=11).cache()  # 8 words: the rest is unknown
-    tokens = tk.token_table(docs, vocab, ["member"], with_next=True, size=11).cache()
-    model = sc.train(tokens, vocab, {"target": F.col("member")}, size=11)
+    tokens = tk.token_table(docs, vocab, ["member"], with_next=True).cache()
+    model = sc.train(tokens, vocab, {"target": F.col("member")})
     return docs, vocab, tokens, model
 
 
@@ -83,13 +83,13 @@ def brute(vocab_ids, tokens, member_only=True):
 
 def test_tokenize_and_vocab(small):
     docs, vocab, tokens, _ = small
-    rows = {r["doc_id"]: r for r in tk.tokenize(docs, vocab, 11).collect()}
+    rows = {r["doc_id"]: r for r in tk.tokenize(docs, vocab).collect()}
     ids = {r["token"]: r["token_id"] for r in vocab.collect()}
     assert sorted(ids.values()) == list(range(3, 11))
     for i, text, member in corpus():
         assert rows[i]["input_ids"] == [ids.get(w, 0) for w in text.split()]
         assert rows[i]["attention_mask"] == [1] * len(text.split()) and rows[i]["member"] == member
-    long = tk.explode_ids(tk.tokenize(docs, vocab, 11)).select("doc_id", "pos", "token_id", "prev")
+    long = tk.explode_ids(tk.tokenize(docs, vocab)).select("doc_id", "pos", "token_id", "prev")
     assert sorted(long.collect()) == sorted(tokens.select("doc_id", "pos", "token_id", "prev").collect())
     whole = tk.build_vocab(docs, size=None).collect()
     best = sorted(Counter(w for _, t, _ in corpus() for w in t.split()).items(), key=lambda x: (-x[1], x[0]))
@@ -138,7 +138,7 @@ def test_general_proba_is_the_mean_distribution(small):
 def test_neighbourhood_matches_full_scoring(small):
     _, vocab, tokens, model = small
     seqs, types, p = brute([r["token_id"] for r in vocab.collect()], tokens)
-    masked = sc.train(tokens, vocab, {"target": F.col("member")}, ctx=("prev", "next"), size=11)
+    masked = sc.train(tokens, vocab, {"target": F.col("member")}, ctx=("prev", "next"))
     pos = nb.swap_positions(tokens, 5, 4)
     cands = nb.candidates(pos, nb.triple_options(pos, masked, model, k=3)).cache()
     tops = nb.top_neighbors(cands, 6).cache()
