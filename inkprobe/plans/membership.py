@@ -17,6 +17,7 @@ from inkprobe.operators import sampling as sp
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
 from inkprobe.session import materialize
+from inkprobe.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,21 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
         sc.general_proba(weights, model, store=keep_tables), n_chunks)
 
 
+def chunks_from_scores(scores: DataFrame, chunks: DataFrame, chunk_tokens: DataFrame, token_freq: DataFrame,
+                       general_proba: DataFrame | None = None, n_chunks: int = params.N_CHUNKS) -> ChunkedScores:
+    """What :func:`score_chunks` gives, from token scores made elsewhere.
+
+    ``scores`` as :func:`~inkprobe.operators.scoring.from_token_scores` takes them, ``chunks`` with
+    doc_id, chunk_id and label. The highest probability comes from ``top``. Scores of
+    documents in no chunk are left out.
+    """
+    rows = sc.from_token_scores(scores).join(chunks.select("doc_id", "chunk_id", "label"), "doc_id")
+    best = F.col("max_p") if "max_p" in rows.columns else F.array_max(F.map_values("top"))
+    rows = rows.select("doc_id", "chunk_id", "label", "pos", "token_id", "nll", best.alias("max_p"))
+    return ChunkedScores(rows, chunk_tokens.select("chunk_id", "tokens"), token_freq,
+                         token_freq if general_proba is None else general_proba, n_chunks)
+
+
 def fold_arrays(data: ChunkedScores, norm_type: str, norm_table: str) -> DataFrame:
     """Normalised values ``(doc_id, chunk_id, label, pos, values[fold])``.
 
@@ -96,7 +112,8 @@ def cross_validate(data: ChunkedScores, norm_type: str = "ratio", norm_table: st
                    trees: int = ev.FOREST_TREES) -> tuple[DataFrame, DataFrame]:
     """Leave one chunk out; returns (fold metrics, predictions)."""
     rows = materialize(fold_features(data, norm_type, norm_table, kind), "fold_features", ["fold"])
-    predictions = ev.fit_validate(rows, models, data.n_chunks, seed, trees)
+    # Stored once: accuracy, AUC and ROC points all read them.
+    predictions = materialize(ev.fit_validate(rows, models, data.n_chunks, seed, trees), "predictions")
     return ev.fold_metrics(predictions), predictions
 
 
@@ -113,3 +130,20 @@ def run_grid(data: ChunkedScores, specs: Mapping[str, tuple[str, str, str]] = pa
 
 def roc_points(predictions: DataFrame, by: tuple[str, ...] = ("model", "fold")) -> DataFrame:
     return ev.roc_curve(predictions.filter("role = 'test'"), "proba", by=list(by))
+
+
+def run_experiment(data: ChunkedScores, name: str, path: str, models: str = ev.DEFAULT_MODELS,
+                   seed: int = params.SEED, trees: int = ev.FOREST_TREES) -> DataFrame:
+    """Cross-validate one of the experiments and store the whole run below ``path``.
+
+    Written are its settings, the metrics and ROC points of each fold and all
+    predictions; returns the metrics.
+    """
+    norm_type, norm_table, kind = params.EXPERIMENTS[name]
+    metrics, predictions = cross_validate(data, norm_type, norm_table, kind, models, seed, trees)
+    settings = {"norm_type": norm_type, "norm_table": norm_table, "features": kind, "models": models,
+                "seed": seed, "trees": trees, "n_chunks": data.n_chunks}
+    spark = predictions.sparkSession
+    sinks.write_run(spark, name, settings, {
+        "metrics": metrics, "roc_points": roc_points(predictions), "predictions": predictions}, path)
+    return sinks.read_run(spark, "metrics", path, name)

@@ -25,10 +25,12 @@ from inkprobe.plans.registry import (
     rounded_sql,
     scored_docs,
 )
-from inkprobe.session import materialize
+from inkprobe.session import materialize, run_folder
+from inkprobe.sources import sinks
 
 
 K = params.HIST_BINS
+QUERY_TREES = 20  # of the forests in the grid query; the library's default is that of single runs
 AGG = list(params.AGG_FEATURES)
 FOLD_KEYS = ["fold", "doc_id", "chunk_id", "label"]
 
@@ -175,6 +177,19 @@ def edge_sql(i):
     return f"CASE WHEN {i} = {K} THEN hi ELSE lo + ({i}) * ((hi - lo) / {K}) END"
 
 
+# The scores go through the intake, as those of any other model would.
+@query("f1_given_scores", f"""
+  SELECT fold, doc_id, chunk_id, label, {rounded_sql(AGG)} FROM f_agg""", ["f_agg"])
+def f1_given(spark, d):
+    own = chunked(spark, d)
+    given = own.scores.select("doc_id", "pos", "token_id", "nll", F.create_map(
+        F.lit(0), F.col("max_p")).alias("top"))
+    chunks = own.scores.select("doc_id", "chunk_id", "label").distinct()
+    data = mb.chunks_from_scores(given, chunks, own.chunk_tokens, own.token_freq, n_chunks=own.n_chunks)
+    rows = ft.agg_features_folds(mb.fold_arrays(data, "ratio", "token_freq"), FOLD_KEYS[1:], params.N_CHUNKS)
+    return rows.select(*FOLD_KEYS, *[rnd(c) for c in AGG])
+
+
 @query("f2_hist_edges", f"""
   SELECT fold, i::INTEGER AS i, round({edge_sql('i')}, 6) AS edge
   FROM f_edges, (SELECT unnest(range({K + 1})) AS i)""", ["f_edges"])
@@ -331,6 +346,51 @@ def g4(spark, d):
     return ev.fold_metrics(_predictions(spark, d, ev.DEFAULT_MODELS, norm_table="general_proba"))
 
 
+# What SQL can say of fitted models: every row is predicted once by each, as a
+# probability on the right side of the prediction. It doesn't say how good they are.
+@query("g8_prediction_keys", """
+  SELECT model, fold, doc_id, label, role, true AS valid
+  FROM f_agg, (SELECT unnest(['logistic_regression', 'random_forest']) AS model)""", ["f_agg"])
+def g8_keys(spark, d):
+    rows = _predictions(spark, d, ev.DEFAULT_MODELS, trees=QUERY_TREES)
+    sided = (F.col("proba") > 0.5) == (F.col("prediction") == 1)
+    return rows.select("model", "fold", "doc_id", "label", "role", (
+        F.col("proba").between(0, 1) & (sided | (F.col("proba") == 0.5))).alias("valid"))
+
+
+# A fitted intercept makes the training residuals of each fold add up to nothing.
+@query("g1_residuals", """
+  SELECT fold, count(*) AS n, true AS balanced FROM f_agg WHERE role = 'train' GROUP BY fold""", ["f_agg"])
+def g1_residuals(spark, d):
+    rows = _predictions(spark, d, "logistic_regression").filter("role = 'train'")
+    return rows.groupBy("fold").agg(
+        F.count("*").alias("n"), (F.abs(F.avg(F.col("proba") - F.col("label"))) < 1e-3).alias("balanced"))
+
+
+# Metrics of a stored run against the same figures from its stored predictions.
+@query("a6_write_experiment", """
+  SELECT 'token_freq_norm_agg' AS experiment_name, 'logistic_regression' AS model, fold,
+         count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
+         true AS same_accuracy, true AS has_roc, '42' AS seed
+  FROM f_agg GROUP BY fold""", ["f_agg"])
+def a6_experiment(spark, d):
+    path, name = run_folder(spark, "runs"), "token_freq_norm_agg"
+    mb.run_experiment(chunked(spark, d), name, path, "logistic_regression")
+    stored = lambda table: sinks.read_run(spark, table, path, name)
+    side = lambda r: F.col("role") == r
+    hit = (F.col("proba") > 0.5).cast("int") == F.col("label")
+    again = stored("predictions").groupBy("experiment_name", "model", "fold").agg(
+        F.count(F.when(side("train"), 1)).alias("n_train"), F.count(F.when(side("test"), 1)).alias("n_test"),
+        F.avg(F.when(side("test"), hit.cast("double"))).alias("again"))
+    ends = stored("roc_points").groupBy("model", "fold").agg(
+        ((F.max("fpr") == 1) & (F.max("tpr") == 1) & (F.min("fpr") == 0)).alias("has_roc"))
+    seed = stored("run_params").filter("key = 'seed'").select("value").scalar()
+    return again.join(stored("metrics").select("model", "fold", "test_acc"), ["model", "fold"]).join(
+        ends, ["model", "fold"]).select(
+        "experiment_name", "model", "fold", "n_train", "n_test",
+        (F.abs(F.col("again") - F.col("test_acc")) < 1e-9).alias("same_accuracy"), "has_roc", seed.alias("seed"))
+
+
 @query("g8_predictions")
 def g8(spark, d):
     rows = _predictions(spark, d, "logistic_regression", kind=f"hist_{params.GRID_BINS}")
@@ -355,8 +415,7 @@ def g9(spark, d):
 @query("g10_experiment_grid")
 def g10(spark, d):
     data = chunked(spark, d)
-    return ev.fold_metrics(mb.run_grid(data, models="logistic_regression"),
-                           ["experiment_name", "model", "fold"])
+    return ev.fold_metrics(mb.run_grid(data, trees=QUERY_TREES), ["experiment_name", "model", "fold"])
 
 
 # ---------------------------------------------------------------- baselines
