@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,14 @@ from inkprobe import params
 from inkprobe.session import materialize, small
 
 N_SPLITS = 256
+MAX_SPLITS = 4_096
+
+
+def n_splits(spark: SparkSession) -> int:
+    """Number of ordered buckets: it follows the session's shuffle partitions."""
+    named = [spark.conf.get(k, None) for k in (
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions")]
+    return min(MAX_SPLITS, max(N_SPLITS, *[int(n) for n in named if n]))
 
 
 def hash_key(seed: int, key: str) -> Column:
@@ -64,8 +72,9 @@ def ordered_buckets(df: DataFrame, order: str, group: Sequence[str] = ()) -> Dat
     Split points are approximate quantiles; that only affects how even the
     buckets are, never the order, so results built on them stay exact.
     """
-    shares = [i / N_SPLITS for i in range(1, N_SPLITS)]
-    points = F.percentile_approx(order, shares, 10_000).alias("_splits")
+    n = n_splits(df.sparkSession)
+    shares = [i / n for i in range(1, n)]
+    points = F.percentile_approx(order, shares, 10 * MAX_SPLITS).alias("_splits")
     if group:
         df = df.join(df.groupBy(*group).agg(points), list(group))
         splits = F.col("_splits")

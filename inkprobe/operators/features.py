@@ -121,15 +121,13 @@ def dense_vectors(hist: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def scatter(bins: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for b, v in zip(bins, values):
-            row = np.zeros(k)
-            if len(b):
-                row[np.asarray(b, dtype=int)] = v
-            else:
-                row[:] = np.nan
-            out.append(row)
-        return pd.Series(out)
+        lengths = np.fromiter(map(len, bins), np.int64, len(bins))
+        out = np.zeros((len(bins), k))
+        if lengths.any():
+            row = np.repeat(np.arange(len(bins)), lengths)
+            out[row, np.concatenate(bins.to_numpy()).astype(np.int64)] = np.concatenate(values.to_numpy())
+        out[lengths == 0] = np.nan
+        return pd.Series(list(out))
 
     packed = F.sort_array(F.collect_list(
         F.when(F.col("bin").isNotNull(), F.struct("bin", "density"))))

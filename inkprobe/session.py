@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 from inkprobe import params
 
 
-def build_session(app: str = "inkprobe", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC times and last-wins maps."""
+PARTITION_BYTES = 128 << 20
+
+
+def build_session(app: str = "inkprobe", master: str | None = None, input_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
+    """A session with adaptive execution, UTC times and last-wins maps.
+
+    Adaptive execution merges small shuffle partitions but doesn't split those of
+    an aggregation, so a large input should be named: shuffles then start from
+    one partition for each ``PARTITION_BYTES`` of ``input_bytes``.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -23,6 +32,9 @@ def build_session(app: str = "inkprobe", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     }
+    if input_bytes:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
+            max(200, -(-input_bytes // PARTITION_BYTES)))
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
