@@ -42,7 +42,7 @@ from inkprobe.session import materialize, run_folder, shared_dir
 BLOCK_IDS = 8_192
 PERCENTILE = 95
 END_ID = 2
-MEMO_PARTS = 400_000
+MEMO_PARTS = 400_000  # of each of two generations
 MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIBI")  # ids, smallest, width, exceptions
 _FOOT = struct.Struct("<QQQQQ8s")  # blocks, documents, ids, index offset, counts offset, magic
@@ -188,10 +188,13 @@ class Encoder:
         blank = [i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]
         self.opens = np.zeros(self.model.get_vocab_size(), bool)
         self.opens[blank] = True
+        self.dtype = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
+        # Parts used since the last turn, and those used in the turn before it.
         self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of " " + part for new parts; None where cutting there isn't safe."""
@@ -210,18 +213,21 @@ class Encoder:
                     self.memo[p] = own.tobytes()
                 continue
             data = ids.tobytes()
-            ends = (4 * np.append(cuts[1:], len(ids))).tolist()
-            for p, a, b in zip(some, (4 * cuts).tolist(), ends):
+            size = ids.itemsize
+            ends = (size * np.append(cuts[1:], len(ids))).tolist()
+            for p, a, b in zip(some, (size * cuts).tolist(), ends):
                 self.memo[p] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
         needed = set().union(*(s[1:] for s in split))
+        if len(self.memo) > MEMO_PARTS:
+            self.memo, self.older = {}, self.memo
         new = needed - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_PARTS:
-            self.memo.clear()
-            new = needed
-        self._learn(list(new))
+        known = new & self.older.keys()
+        for part in known:
+            self.memo[part] = self.older[part]
+        self._learn(list(new - known))
         firsts = self.whole([s[0] for s in split])
         get = self.memo.__getitem__
         out: list[np.ndarray | None] = []
@@ -230,17 +236,30 @@ class Encoder:
             if len(s) == 1:
                 out.append(head)
                 continue
-            rest = list(map(get, s[1:]))
-            if None in rest or not s[0] or s[0][-1].isspace():
+            try:
+                rest = None if not s[0] or s[0][-1].isspace() else b"".join(map(get, s[1:]))
+            except TypeError:  # a part that isn't safe
+                rest = None
+            if rest is None:
                 out.append(None)
                 odd.append(i)
             else:
-                out.append(np.concatenate([head, np.frombuffer(b"".join(rest), np.uint32)]))
+                out.append(np.concatenate([head, np.frombuffer(rest, self.dtype)]))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
             out[i] = ids
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder; what it has learned serves later tasks as well."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 # ------------------------------------------------------------------- on Spark
 
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -270,7 +289,7 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         n_docs = n_ids = 0
         for batch in slices(batches):
             if encoder is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_of(tokenizer_path)
                 out, keys_out = system.open_output_stream(name), system.open_output_stream(keys_name)
                 writer, keys_file = FileWriter(out), pa.ipc.new_stream(keys_out, batch.select([0]).schema)
             for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
