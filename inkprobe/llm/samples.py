@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 
 def per_class(rows: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows of each label in seeded hash order.
 
-    Spark keeps the first ``most`` of each task before it shuffles, so a label
-    that holds most rows moves no more than that. ``rows`` should be narrow.
+    Labels are first cut in ``SALTS`` parts of their own, so that one that holds
+    most rows is not ranked by one task; Spark also keeps no more than the first
+    ``most`` of each task before it shuffles. ``rows`` should be narrow.
     """
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    place = F.xxhash64(F.lit(seed), key)
+    for by in ([label, F.pmod(place, F.lit(SALTS))], [label]):
+        order = W.partitionBy(*by).orderBy(place, key)
+        rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    return rows
