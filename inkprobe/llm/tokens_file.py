@@ -42,6 +42,7 @@ from inkprobe.session import materialize, run_folder, shared_dir
 BLOCK_IDS = 8_192
 PERCENTILE = 95
 END_ID = 2
+MAX_READERS = 10_000
 MEMO_PARTS = 400_000  # of each of two generations
 MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIBI")  # ids, smallest, width, exceptions
@@ -219,8 +220,9 @@ class Encoder:
                 self.memo[p] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        needed = set().union(*(s[1:] for s in split))
+        cut = [t.partition(" ") for t in texts]
+        parts = [rest.split(" ") if blank else [] for _, blank, rest in cut]
+        needed = set().union(*parts)
         if len(self.memo) > MEMO_PARTS:
             self.memo, self.older = {}, self.memo
         new = needed - self.memo.keys()
@@ -228,23 +230,23 @@ class Encoder:
         for part in known:
             self.memo[part] = self.older[part]
         self._learn(list(new - known))
-        firsts = self.whole([s[0] for s in split])
+        heads = self.whole([head for head, _, _ in cut])
         get = self.memo.__getitem__
         out: list[np.ndarray | None] = []
         odd = []
-        for i, (s, head) in enumerate(zip(split, firsts)):
-            if len(s) == 1:
-                out.append(head)
+        for i, ((head, blank, _), own, ids) in enumerate(zip(cut, parts, heads)):
+            if not blank:
+                out.append(ids)
                 continue
             try:
-                rest = None if not s[0] or s[0][-1].isspace() else b"".join(map(get, s[1:]))
+                rest = None if not head or head[-1].isspace() else b"".join(map(get, own))
             except TypeError:  # a part that isn't safe
                 rest = None
             if rest is None:
                 out.append(None)
                 odd.append(i)
             else:
-                out.append(np.concatenate([head, np.frombuffer(rest, self.dtype)]))
+                out.append(np.concatenate([ids, np.frombuffer(rest, self.dtype)]))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
             out[i] = ids
         return out
@@ -340,6 +342,7 @@ def read(manifest: DataFrame, key: str = "doc_id", key_type: str = "bigint") ->
                              pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("part", "path", "keys_path", "base")
-    spread = files.repartition(F.col("part"))
+    # A fixed number keeps adaptive execution from merging the few manifest rows into one task.
+    spread = files.repartition(max(1, min(manifest.count(), MAX_READERS)), "part")
     return spread.mapInArrow(
         run, f"key {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("key", key)
