@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkprobe.llm.text import as_bytes, slices, words
 from inkprobe.session import materialize
@@ -137,8 +138,8 @@ def _scan(docs: DataFrame, pieces: list[tuple[int | None, bytes]], window: int)
                  pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)],
                 names=["row", "n_words", "n_hit", "items", "spans"])
 
-    row = docs.schema["row"].dataType.simpleString()
-    return docs.select("row", "text").mapInArrow(run, f"row {row}, {FOUND}")
+    out = T.StructType([T.StructField("row", docs.schema["row"].dataType), *T.StructType.fromDDL(FOUND)])
+    return docs.select("row", "text").mapInArrow(run, out)
 
 
 def _overlay(parts: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkprobe.llm.samples import per_class
 from inkprobe.llm.text import slices
@@ -230,9 +231,9 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["key", "lang_pred", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return named.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    out = T.StructType().add("key", named.schema["key"].dataType).add("lang_pred", "string").add("score", "double")
+    return named.mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -117,8 +117,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
                          radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, whose key names their component.
 
-    Of several rows with that key and fingerprint, all stay; a component whose keys are all null stays whole.
+    Rows that share a key stay or go together, and stay if one of them names a component; a component whose
+    keys are all null stays whole.
     """
     found = near_duplicates(docs, key, text, shingle, radius)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    found = materialize(found.select(F.col(key).alias("_gone"), "component_id"), "near-duplicates")  # read twice
+    heads = found.filter("_gone = component_id").select("_gone").distinct()
+    gone = found.filter("_gone <> component_id").select("_gone").distinct().join(heads, "_gone", "left_anti")
     return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")

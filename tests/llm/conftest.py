@@ -22,7 +22,7 @@ def docs(spark):
     extra = spark.createDataFrame(rows, schema)
     for name in ("key", "fp", "digest", "bucket", "number", "n", "words", "_maybe", "rec"):
         extra = extra.selectExpr("*", f"row AS {name}")
-    return extra
+    return extra.selectExpr("*", "row AS `an odd, name`")
 
 
 @pytest.fixture(scope="session")

@@ -144,6 +144,12 @@ def test_texts_without_words_link_and_repeated_rows_stay(docs):
     assert any(r.doc_id is None for r in kept)
 
 
+def test_a_key_that_names_a_component_stays_whole(spark):
+    a, b = "one text of its own here", "another text with other words in it"
+    rows = spark.createDataFrame([(3, b), (7, a), (7, b)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == [3, 7, 7]
+
+
 def test_chain_settles(spark):
     chain = spark.range(1, 200).selectExpr("id AS hi", "id - 1 AS lo")
     got = components.components(chain)
