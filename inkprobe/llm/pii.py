@@ -1,18 +1,27 @@
 """Personal data: base patterns, and terms that reveal them by corpus co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.
-Each distinct value is a protected entity e. The corpus, cut into blocks of
-``BLOCK_WORDS`` consecutive words, tells how strongly a term t reveals it:
+Each distinct value is a protected entity e. The corpus tells how strongly a term t
+that stands near it reveals it:
 
     disclosure(t, e) = PMI(t; e) / IC(e),  IC(e) = ln(N / n(e)),
-    PMI(t; e) = ln(N n(t, e) / (n(t) n(e)))
+    PMI(t; e) = ln(N n(t, e) / (n(t) n(e))) = ln(P(e | t) / P(e)),  P(e | t) = n(t, e) / n(t)
 
-with n in blocks: the share of what there is to know about e that t gives away.
-Terms at or above ``GENERALISE`` are replaced by a class mark, those at or above
-``REMOVE`` are taken out, wherever they stand in a block with the entity. At least
-``SUPPORT`` different blocks must hold the pair, so copies of one text prove nothing.
+the share of what there is to know about e that t gives away. All counts are of
+places: a first occurrence and those that begin within ``WINDOW_WORDS`` words of it are
+one, so they do not depend on what stands before. A term is near a mention if it
+is one of the ``WINDOW_WORDS`` words on either side. N is the number of places that
+the corpus has room for, one in each ``WINDOW_WORDS`` words begun.
 
-Block counts cover every document; pair counts only arise where an entity stands.
+Small counts are shrunk and not cut off: P(e | t) is estimated as d / (m + d + ``UNSEEN``)
+with d different surroundings that hold the pair (copies of one count once), m places
+of t without e, and ``UNSEEN`` more in which t is taken to stand without e. So a pair
+seen once has at most half a chance, which reveals an entity where IC(e) is large
+and none where it is small. Terms whose estimate is at or above ``GENERALISE`` are
+replaced by a class mark, those at or above ``REMOVE`` are taken out, wherever they
+stand near the entity. Numbers outside base spans are terms like others.
+
+Term counts cover every document; pair counts only arise where an entity stands.
 
 Defined results: null and empty texts have no spans; repeated rows are rows of
 their own and all count; spans are in code points, end exclusive; other columns
@@ -21,19 +30,23 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprobe.llm.skewed import join_groups
 from inkprobe.llm.text import as_bytes, slices, words
 from inkprobe.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-BLOCK_WORDS = 32
-SUPPORT = 3
+WINDOW_WORDS = 32
+UNSEEN = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 HELD_TERMS = 200_000
@@ -104,37 +117,39 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each block with an entity: the entity, the block's hash and its terms outside base spans."""
+    """For each place of an entity: the entity, a hash of all words around and the terms near it outside base spans."""
     if not spans:
         return []
     found = [m.span() for m in _WORD.finditer(text)]
-    out, at = [], 0
-    for first in range(0, len(found), BLOCK_WORDS):
-        block = found[first:first + BLOCK_WORDS]
-        end = block[-1][1]
-        # A span belongs to the block in which it starts.
-        here = []
-        while at < len(spans) and spans[at][0] < end:
-            here.append(spans[at])
-            at += 1
-        if not here:
-            continue
-        near = [s for s in spans[max(0, at - len(here) - 2):at + 1]]
-        terms = {}
-        for lo, hi in block:
-            term = text[lo:hi].lower()
-            if not any(lo < s[2] and hi > s[0] for s in near) and not term.isdigit():
-                terms.setdefault(term, []).append((lo, hi))
-        rows = [{"term": t, "lo": lo, "hi": hi} for t, places in terms.items() for lo, hi in places]
-        for value in sorted({f"{KINDS[k]}:{text[lo:hi]}" for lo, k, hi in here}):
-            out.append({"entity": value, "words": " ".join(text[lo:hi].lower() for lo, hi in block), "terms": rows})
+    starts, ends = [lo for lo, _ in found], [hi for _, hi in found]
+    covered = bytearray(len(found))
+    places: dict[str, list[list[tuple[int, int]]]] = {}
+    for lo, k, hi in spans:
+        first, stop = bisect_right(ends, lo), bisect_left(starts, hi)
+        covered[first:stop] = b"\1" * (stop - first)
+        own = places.setdefault(f"{KINDS[k]}:{text[lo:hi]}", [])
+        if not own or first - own[-1][0][0] > WINDOW_WORDS:
+            own.append([])
+        own[-1].append((first, stop))
+    out = []
+    for value in sorted(places):
+        for mentions in places[value]:
+            around: set[int] = set()
+            for first, stop in mentions:
+                around.update(range(max(0, first - WINDOW_WORDS), first), range(stop, min(len(found), stop + WINDOW_WORDS)))
+            near = sorted(around)
+            lowered = {i: text[starts[i]:ends[i]].lower() for i in near}
+            out.append({
+                "entity": value,
+                "around": xxhash.xxh64_intdigest(" ".join(lowered[i] for i in near).encode()) - (1 << 63),
+                "terms": [{"term": lowered[i], "lo": starts[i], "hi": ends[i]} for i in near if not covered[i]]})
     return out
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_CONTEXT = pa.struct([("entity", pa.string()), ("words", pa.string()), ("terms", pa.list_(
+_CONTEXT = pa.struct([("entity", pa.string()), ("around", pa.int64()), ("terms", pa.list_(
     pa.struct([("term", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])))])
-_FOUND = ("spans array<struct<start: int, kind: int, end: int>>, contexts array<struct<entity: string, words: string, "
+_FOUND = ("spans array<struct<start: int, kind: int, end: int>>, contexts array<struct<entity: string, around: bigint, "
           "terms: array<struct<term: string, lo: int, hi: int>>>>")
 
 
@@ -156,28 +171,36 @@ def base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return materialize(found.select(F.monotonically_increasing_id().alias("row"), "*"), "pii-base")
 
 
-def block_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): in how many blocks of the corpus each term stands; the null term counts all blocks."""
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): the places of each term in the corpus; the null term counts those there is room for."""
     def run(batches):
         counts: Counter[bytes] = Counter()
-        blocks = 0
+        room = 0
 
         def flush():
-            nonlocal blocks
-            terms = [t.decode("utf-8", "replace").lower() for t in counts]
+            nonlocal room
+            terms = [t.decode("utf-8", "replace") for t in counts]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([None, *terms], pa.string()), pa.array([blocks, *counts.values()], pa.int64())],
+                [pa.array([None, *terms], pa.string()), pa.array([room, *counts.values()], pa.int64())],
                 names=["term", "n"])
             counts.clear()
-            blocks = 0
+            room = 0
             return out
 
         for batch in slices(batches):
             for data in as_bytes(batch.column(0)):
                 split = words(data)
-                for i in range(0, len(split), BLOCK_WORDS):
-                    counts.update(set(split[i:i + BLOCK_WORDS]))
-                    blocks += 1
+                if data and not data.isascii():
+                    split = [w if w.isascii() else w.decode("utf-8", "replace").lower().encode() for w in split]
+                room += -(-len(split) // WINDOW_WORDS)
+                begun: dict[bytes, int] = {}
+                again = []
+                for at, term in enumerate(split):
+                    if at - begun.setdefault(term, at) > WINDOW_WORDS:
+                        begun[term] = at
+                        again.append(term)
+                counts.update(begun.keys())
+                counts.update(again)
             if len(counts) > HELD_TERMS:
                 yield flush()
         yield flush()
@@ -187,42 +210,54 @@ def block_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text", threshold: float = GENERALISE,
-               support: int = SUPPORT) -> DataFrame:
-    """Stored (entity, term, disclosure) of all pairs at or above ``threshold``."""
+               unseen: float = UNSEEN) -> DataFrame:
+    """Stored (entity, term, n_te, disclosure, estimate) of all pairs whose estimate is at or above ``threshold``."""
     held = found.select(F.explode("contexts").alias("c")).select(
-        F.col("c.entity").alias("entity"), F.xxhash64("c.words").alias("block"),
+        F.col("c.entity").alias("entity"), F.col("c.around").alias("around"),
         F.array_distinct(F.col("c.terms.term")).alias("terms"))
-    blocks = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (
-        held.select("entity", "block", F.explode("terms").alias("term"))
-        .groupBy("entity", "term", "block").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.count("*").alias("different"), F.sum("n").alias("n_te"))
-        .filter(F.col("different") >= support))
-    counts = materialize(block_counts(docs, text), "block-counts")
-    total = counts.filter("term IS NULL").agg(F.sum("n")).first()[0] or 1
-    ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = (
-        pairs.join(counts.filter("term IS NOT NULL").withColumnRenamed("n", "n_t"), "term").join(blocks, "entity")
-        .select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("disclosure"))
-        .filter(F.col("disclosure") >= threshold))
+    entities = materialize(held.groupBy("entity").agg(
+        F.count("*").alias("n_e"), F.sum(F.size("terms")).alias("listed")), "pii-entities")
+    pairs = materialize(
+        held.select("entity", "around", F.explode("terms").alias("term"))
+        .groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
+        .groupBy("entity", "term").agg(F.count("*").alias("d"), F.sum("n").alias("n_te")), "pii-pairs")
+    counts = materialize(term_counts(docs, text), "term-counts")
+    total = float(counts.filter("term IS NULL").agg(F.sum("n")).first()[0] or 1)
+    # Only terms near entities are looked up; a term near many of them stays where it is.
+    near = pairs.groupBy("term").agg(F.count("*").alias("n_pairs"))
+    near = materialize(near.join(counts.withColumnRenamed("n", "n_t"), "term"), "pii-near")
+    rows = join_groups(pairs, near, "term", "n_pairs")
+    # A term between two places of its entity is near both.
+    n_te = F.least("n_te", "n_t")
+    chance = F.col("d") / (F.col("n_t") - n_te + F.col("d") + F.lit(unseen))
+    rows = rows.select("entity", "term", n_te.alias("n_te"), "n_t", F.log(chance).alias("ln_chance"))
+    # What can't reach the threshold even with an entity of one place needs no further look.
+    rows = materialize(rows.filter(F.col("ln_chance") >= (threshold - 1) * math.log(total) - 1e-6), "pii-rare")
+    rows = join_groups(rows, entities, "entity", "listed")
+    ic = F.log(F.lit(total) / F.col("n_e"))
+    pmi = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    share = lambda value: F.when(ic > 0, value / ic).otherwise(F.lit(0.0))
+    scored = rows.select("entity", "term", "n_te", share(pmi).alias("disclosure"),
+                         share(F.col("ln_chance") + ic).alias("estimate")).filter(F.col("estimate") >= threshold)
     return materialize(scored, "disclosing")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = GENERALISE,
-         support: int = SUPPORT) -> DataFrame:
+         unseen: float = UNSEEN) -> DataFrame:
     """``key``, base (spans), spans (all, with terms) and removed (starts of terms to take out)."""
     found = base(docs, key, text)
-    strong = disclosing(found, docs, text, threshold, support)
+    strong = disclosing(found, docs, text, threshold, unseen).select(
+        F.struct("entity", "term").alias("pair"), "n_te", "estimate")
     placed = found.select("row", F.explode("contexts").alias("c")).select(
         "row", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("t")).select(
-        "row", "entity", F.col("t.term").alias("term"), F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"))
-    marks = placed.join(strong, ["entity", "term"]).groupBy("row", "lo", "hi").agg(
-        F.max("disclosure").alias("disclosure"))
+        "row", F.struct("entity", F.col("t.term").alias("term")).alias("pair"),
+        F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"))
+    marks = join_groups(placed, strong, "pair", "n_te").groupBy("row", "lo", "hi").agg(
+        F.max("estimate").alias("estimate"))
     marks = marks.groupBy("row").agg(
         F.collect_list(F.struct(F.col("lo").alias("start"), F.lit(KINDS.index("term")).alias("kind"),
                                 F.col("hi").alias("end"))).alias("terms"),
-        F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.col("lo"))).alias("removed"))
+        F.collect_list(F.when(F.col("estimate") >= REMOVE, F.col("lo"))).alias("removed"))
     marked = found.select("row", "key", "spans").join(materialize(marks, "pii-terms"), "row", "left")
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     return marked.select(

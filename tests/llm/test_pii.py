@@ -106,3 +106,24 @@ def test_odd_rows(docs, no_docs):
     assert len(got) == 12 and all(r.spans == [] for r in got)
     assert pii.find(no_docs).count() == 0
     assert pii.redacted("abcdef", [(1, 0, 3), (2, 4, 5)], {2}) == "a[EMAIL]f"
+
+
+def _with_filler(spark, texts, n=400):
+    rows = [(1000 + i, f"plain words of every day stand in this text too {i}") for i in range(n)]
+    return spark.createDataFrame([*enumerate(texts), *rows], "doc_id bigint, text string")
+
+
+def _terms(docs):
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    return {i: {texts[i][s.start:s.end] for s in r.spans if pii.KINDS[s.kind] == "term"} for i, r in found.items()}
+
+
+def test_entities_of_one_or_two_places_have_terms(spark):
+    got = _terms(_with_filler(spark, [
+        "plain words of Quillon eve@corp.example in this text", "this day Quillon wrote as eve@corp.example too",
+        "plain words of staff 48213 zed@corp.example in this text", *["plain Copied sam@corp.example words"] * 3]))
+    assert "Quillon" in got[0] and "Quillon" in got[1]
+    assert got[2] == {"staff", "48213"}
+    assert got[3] == got[4] == got[5] == {"Copied"}
+    assert not any(terms & {"plain", "words", "text"} for terms in got.values())
