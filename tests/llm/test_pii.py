@@ -127,3 +127,13 @@ def test_entities_of_one_or_two_places_have_terms(spark):
     assert got[2] == {"staff", "48213"}
     assert got[3] == got[4] == got[5] == {"Copied"}
     assert not any(terms & {"plain", "words", "text"} for terms in got.values())
+
+
+def test_terms_do_not_depend_on_what_stands_before(spark):
+    word = "plain words of every day stand in this text too".split()
+    near = [" ".join([*(word * 5)[:31 + shift], "Quillon", *(word * 4)[:gap], "eve@corp.example", *(word * 4)[:gap], "Zorvex"])
+            for shift in range(0, 33, 4) for gap in (0, 1, 15, 31)]
+    far = " ".join(["Distantly", *(word * 4)[:32], "eve@corp.example"])
+    got = _terms(_with_filler(spark, [*near, far], 4_000))
+    assert all(got[i] == {"Quillon", "Zorvex"} for i in range(len(near)))
+    assert got[len(near)] == set()
