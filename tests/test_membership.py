@@ -66,3 +66,28 @@ def test_run_is_stored_whole(spark, data, tmp_path):
     assert settings["norm_type"] == "none" and settings["seed"] == "42"
     assert sinks.read_run(spark, "predictions", str(tmp_path), "base").count() == 180
     assert sinks.read_run(spark, "roc_points", str(tmp_path), "base").count() >= 6
+
+
+def test_grid_queries_fit_both_models_with_all_trees(spark, monkeypatch):
+    import inspect
+
+    from inkprobe import params
+    from inkprobe.operators import evaluate as ev
+    from inkprobe.plans import membership, score_queries
+
+    names = inspect.signature(membership.run_grid)
+    asked = []
+
+    def grid(*args, **named):
+        bound = names.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+
+    monkeypatch.setattr(score_queries, "chunked", lambda spark, d: None)
+    monkeypatch.setattr(membership, "run_grid", grid)
+    monkeypatch.setattr(ev, "fold_metrics", lambda rows, by: rows)
+    score_queries.g10(spark, "")
+    score_queries.g10_default(spark, "")
+    assert list(asked[0]["specs"]) == list(params.EXPERIMENTS) and len(asked[0]["specs"]) == 10
+    assert all(ev.model_list(a["models"]) == ev.model_list(ev.DEFAULT_MODELS) for a in asked)
+    assert all(a["trees"] == ev.FOREST_TREES for a in asked)
