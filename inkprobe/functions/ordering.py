@@ -20,10 +20,13 @@ MAX_SPLITS = 4_096
 
 
 def n_splits(spark: SparkSession) -> int:
-    """Number of ordered buckets: it follows the session's shuffle partitions."""
-    named = [spark.conf.get(k, None) for k in (
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions")]
-    return min(MAX_SPLITS, max(N_SPLITS, *[int(n) for n in named if n]))
+    """Number of ordered buckets: it follows the session's shuffle partitions.
+
+    Neither number need be set: the first has no default, the second has Spark's own.
+    """
+    named = [spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None),
+             spark.conf.get("spark.sql.shuffle.partitions")]
+    return min(MAX_SPLITS, max([N_SPLITS, *[int(n) for n in named if n]]))
 
 
 def hash_key(seed: int, key: str) -> Column:
