@@ -14,11 +14,14 @@ from inkprobe.llm import (
     language,
     licenses,
     pii,
+    quantised,
     sentencepieces,
     shards,
     simhash,
     tokens_file,
     toxicity,
+    whitening,
+    zonemaps,
 )
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -105,6 +108,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.listed().alias("spans"), "matches")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model) if model else None
+    return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error).cast("double"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.assign(zonemaps.fit(_table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,11 +132,44 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_decontamination, op2_sharding, op3_token_ids, op4_exact_dedup, op5_simhash, op6_language,
-        op7_sentencepiece, op8_toxicity, op9_pii, op10_licenses, pipeline)
+        op7_sentencepiece, op8_toxicity, op9_pii, op10_licenses, op11_whitening, op12_embedding_dedup,
+        op13_centroids, pipeline)
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _centroid_sql() -> str:
+    """All rounds over (row, axis, value), one pair of table expressions a round."""
+    width, k = zonemaps.WIDTH, zonemaps.CENTROIDS
+    parts = [f"""v AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: floor({zonemaps.FACTOR} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"x AS MATERIALIZED (SELECT vec_id, unnest(range({width})) AS i, unnest(e) AS x FROM v)",
+             f"""c0 AS MATERIALIZED (
+        SELECT c, unnest(range({width})) AS i, unnest(e) AS y FROM (
+          SELECT row_number() OVER (ORDER BY sha256('{zonemaps.SEED}:' || vec_id)) - 1 AS c, e FROM v)
+        WHERE c < {k})"""]
+    for r in range(zonemaps.ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+        SELECT vec_id, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (
+          SELECT vec_id, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY vec_id, c)
+        GROUP BY vec_id)""")
+        if r < zonemaps.ROUNDS:
+            # The remainder is made positive first, so that the division has no rest.
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+        SELECT o.c, o.i, coalesce((s - ((s % n) + n) % n) // n, o.y)::BIGINT AS y FROM c{r} o LEFT JOIN (
+          SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY c, i) m
+        ON m.c = o.c AND m.i = o.i)""")
+    last = zonemaps.ROUNDS
+    return f"""
+      WITH {", ".join(parts)}
+      SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+             (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+      FROM a{last} JOIN (SELECT c, sha256(string_agg(y, ',' ORDER BY i)) AS h FROM c{last} GROUP BY c) USING (c)"""
+
+
 TWINS: dict[str, str] = {
     "op1_decontamination": rf"""
       WITH d AS (SELECT doc_id, regexp_extract_all(
@@ -150,4 +201,19 @@ TWINS: dict[str, str] = {
       SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
              doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
       FROM d WINDOW g AS (PARTITION BY h)""",
+    "op12_embedding_dedup": f"""
+      WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      link AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= {quantised.THRESHOLD}),
+      reach AS (
+        SELECT vec_id AS x, vec_id AS y FROM embeddings
+        UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+      SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+      FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+      LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM link GROUP BY x) USING (vec_id)""",
+    "op13_centroids": _centroid_sql(),
 }
