@@ -1,4 +1,4 @@
-"""Left lookup join that survives hot keys."""
+"""Left lookup joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -10,29 +10,42 @@ from pyspark.sql import functions as F
 from inkprobe import params
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
-                values: Sequence[str], spread: Sequence[str],
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str],
+                spread: Sequence[str], probes: DataFrame | None = None, weight: str = "n",
                 slots: int = params.HOT_SLOTS) -> DataFrame:
     """Left join on ``keys``, the first a non-negative integer or a text without NUL; hot keys by broadcast.
 
-    A key is hot when it holds at least 1/slots of all ``weight``. By counting,
-    at most ``slots`` keys can be hot, which bounds the broadcast side at any
-    data size. Rows settled by it are scattered over the shuffle of the other
-    keys; heavy keys that ``right`` does not know about are left to AQE.
+    ``right`` is unique on the keys. ``probes`` says how many rows of ``left`` hold
+    each key, in ``weight``; without it they are counted. A key is hot when it holds
+    at least 1/slots of them: by counting, at most ``slots`` keys can be, whether
+    ``right`` knows them or not, which bounds the broadcast at any data size. Rows
+    settled by it, and rows without a key, are scattered over the shuffle of the others.
     """
-    total = right.agg(F.sum(weight)).scalar()
-    hot_test = F.col(weight) * F.lit(slots) >= total
-    tagged = right.withColumn("_is_hot", hot_test)
-    hot = tagged.filter("_is_hot").select(*keys, F.struct(*values).alias("_hot"))
-    text = right.schema[keys[0]].dataType.typeName() == "string"
-    kind = "string" if text else "bigint"
-    cold = tagged.filter("NOT _is_hot").select(
-        F.col(keys[0]).cast(kind).alias("_k0"), *keys[1:], F.struct(*values).alias("_cold"))
+    keys, values = list(keys), list(values)
+    if probes is None:
+        probes = left.groupBy(*keys).agg(F.count("*").alias(weight))
+    total = probes.agg(F.sum(weight)).scalar()
+    hot_keys = probes.filter(F.col(weight) * F.lit(slots) >= total).select(*keys)
+    found = right.select(*keys, F.struct(*values).alias("_found"))
+    known = found.join(F.broadcast(hot_keys), keys)
+    # Hot keys that ``right`` lacks are settled as well, with nothing found.
+    hot = hot_keys.join(F.broadcast(known), keys, "left").select(*keys, F.struct("_found").alias("_hot"))
+    kind = "string" if left.schema[keys[0]].dataType.typeName() == "string" else "bigint"
+    cold = found.select(F.col(keys[0]).cast(kind).alias("_k0"), *keys[1:], F.col("_found").alias("_cold"))
     place = F.pmod(F.xxhash64(*spread), F.lit(1 << 20))
-    scattered = F.concat(F.lit("\0"), place.cast("string")) if text else -1 - place
-    settled = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_k0", F.when(F.col("_hot").isNull(), F.col(keys[0]).cast(kind)).otherwise(scattered.cast(kind)))
+    scattered = F.concat(F.lit("\0"), place.cast("string")) if kind == "string" else -1 - place
+    stays = F.col("_hot").isNull() & F.col(keys[0]).isNotNull()
+    settled = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_k0", F.when(stays, F.col(keys[0]).cast(kind)).otherwise(scattered.cast(kind)))
     joined = settled.join(cold, ["_k0", *keys[1:]], "left")
     return joined.select(
-        *left.columns,
-        *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
+        *left.columns, *[F.coalesce(F.col(f"_hot._found.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], spread: Sequence[str],
+           max_rows: int | None, probes: DataFrame | None = None, weight: str = "n", row_bytes: int = 64) -> DataFrame:
+    """:func:`lookup_join`, or a plain broadcast where the bound on ``right``'s rows and bytes is known and low."""
+    if max_rows is not None and max_rows <= params.MAX_BROADCAST_ROWS and (
+            max_rows * row_bytes <= params.MAX_BROADCAST_BYTES):
+        return left.join(F.broadcast(right.select(*keys, *values)), list(keys), "left").select(*left.columns, *values)
+    return lookup_join(left, right, keys, values, spread, probes, weight)

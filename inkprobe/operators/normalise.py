@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprobe import params
-from inkprobe.session import small
+from inkprobe.functions.skew import lookup
+from inkprobe.session import materialize, small
 
 KINDS = ("none", "ratio", "diff_max_token_proba")
 
@@ -32,7 +33,7 @@ def norm_lookup(scores: DataFrame, norms: DataFrame, n_folds: int = params.N_CHU
     """Add each token's ``norm`` in its fold; unseen tokens get half the fold's minimum."""
     floor = norms.groupBy("fold").agg((F.min("value") / 2).alias("_floor"))
     table = norms.select("fold", "token_id", F.col("value").alias("_value"))
-    rows = scores.join(small(table, norms.count()), ["fold", "token_id"], "left")
+    rows = lookup(scores, table, ["token_id", "fold"], ["_value"], ["doc_id", "pos"], norms.count())
     return rows.join(small(floor, n_folds), "fold").withColumn(
         "norm", F.coalesce("_value", "_floor")).drop("_value", "_floor")
 
@@ -40,14 +41,17 @@ def norm_lookup(scores: DataFrame, norms: DataFrame, n_folds: int = params.N_CHU
 def norm_arrays(scores: DataFrame, norms: DataFrame, n_folds: int) -> DataFrame:
     """Add ``norms``, the norm of each fold as an array, without multiplying rows.
 
-    The norm table is counted, and broadcast only where that number is low.
+    The table of tokens is counted, and broadcast only where it is small; else hot
+    tokens are, by their number of scores.
     """
     folds = range(n_folds)
     pick = lambda f: F.when(F.col("fold") == f, F.col("value"))
     floors = norms.agg(F.array(*[F.min(pick(f)) / 2 for f in folds])).scalar()
     wide = norms.groupBy("token_id").agg(F.array(*[F.max(pick(f)) for f in folds]).alias("_norms"))
     none = F.array(*[F.lit(None).cast("double") for _ in folds])
-    rows = scores.join(small(wide, norms.count()), "token_id", "left").withColumn("_floors", floors)
+    wide = materialize(wide, "wide_norms")
+    rows = lookup(scores, wide, ["token_id"], ["_norms"], ["doc_id", "pos"], wide.count(),
+                  row_bytes=48 + 8 * n_folds).withColumn("_floors", floors)
     filled = F.zip_with(F.coalesce("_norms", none), F.col("_floors"), lambda v, f: F.coalesce(v, f))
     return rows.select(*scores.columns, filled.alias("norms"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprobe import params
-from inkprobe.functions.skew import lookup_join
+from inkprobe.functions.skew import lookup, lookup_join
 from inkprobe.operators import tokens as tk
 from inkprobe.session import materialize, small
 
@@ -30,7 +30,7 @@ class CountModel:
     """p(t | ctx) = b(ctx, t) + keep(ctx) * u(t), one set of columns per training pool.
 
     ``terms``     (*ctx, token_id, n, b_<pool>): pairs seen in training
-    ``contexts``  (*ctx, keep_<pool>): contexts seen in training
+    ``contexts``  (*ctx, keep_<pool>, pairs): contexts seen in training, and how many terms each has
     ``unigrams``  (token_id, u_<pool>): the whole vocabulary and the unknown id
     """
 
@@ -66,16 +66,17 @@ def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
         *[m.alias(f"n_{p}") for p, m in member.items()]), "pairs")
 
     contexts = hold(pairs.groupBy(*ctx).agg(
-        *[F.sum(f"n_{p}").alias(f"c_{p}") for p in pools]), "contexts")
+        *[F.sum(f"n_{p}").alias(f"c_{p}") for p in pools], F.count("*").alias("pairs")), "contexts")
     seen = lambda p: F.col(f"c_{p}") > 0
     bound = size if len(ctx) == 1 else None
-    terms = pairs.join(small(contexts, bound), ctx).select(
+    summed = lookup(pairs, contexts, ctx, [f"c_{p}" for p in pools], ["token_id"], bound, contexts, "pairs")
+    terms = summed.select(
         *ctx, "token_id",
         F.greatest(*[F.col(f"n_{p}") for p in pools], F.lit(0)).alias("n"),
         *[F.when(seen(p), lam * F.col(f"n_{p}") / F.col(f"c_{p}")).otherwise(F.lit(0.0)).alias(f"b_{p}")
           for p in pools])
     contexts = contexts.select(
-        *ctx, *[F.when(seen(p), F.lit(1 - lam)).otherwise(F.lit(1.0)).alias(f"keep_{p}") for p in pools])
+        *ctx, *[F.when(seen(p), F.lit(1 - lam)).otherwise(F.lit(1.0)).alias(f"keep_{p}") for p in pools], "pairs")
 
     counts = pairs.groupBy("token_id").agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in pools])
     every = vocab.select("token_id").union(
@@ -93,29 +94,47 @@ def train(tokens: DataFrame, vocab: DataFrame, pools: Mapping[str, Column],
 
 
 def attach_nll(rows: DataFrame, model: CountModel, spread: Sequence[str],
-               names: Mapping[str, str] | None = None) -> DataFrame:
-    """Add the loss of ``token_id`` after the row's context, one column per pool."""
+               names: Mapping[str, str] | None = None, extra: DataFrame | None = None,
+               value: str = "") -> DataFrame:
+    """Add the loss of ``token_id`` after the row's context, one column per pool.
+
+    The model meets each distinct pair once, and the rows then look up their
+    pair, whose number of rows is known by then: so no join meets a hot token or
+    context. ``extra`` (*ctx, ``value``) is looked up on the way.
+    """
     names = names or {model.pools[0]: "nll"}
-    cols = rows.columns
-    rows = lookup_join(rows, model.terms, [*model.ctx, "token_id"], "n",
-                       [f"b_{p}" for p in names], spread)
-    rows = rows.join(small(model.contexts, model.max_contexts), list(model.ctx), "left")
-    rows = rows.join(small(model.unigrams, model.size), "token_id", "left")
-    return rows.select(*cols, *[
+    ctx = list(model.ctx)
+    keys = [*ctx, "token_id"]
+    pairs = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "asked_pairs")
+    met = pairs.join(model.terms.select(*keys, *[f"b_{p}" for p in names]), keys, "left")
+    met = lookup(met, model.contexts, ctx, [f"keep_{p}" for p in names], ["token_id"], model.max_contexts)
+    met = lookup(met, model.unigrams, ["token_id"], [f"u_{p}" for p in names], ctx, model.size)
+    values = list(names.values())
+    if extra is not None:
+        met = lookup(met, extra, ctx, [value], ["token_id"], model.max_contexts)
+        values.append(value)
+    scored = materialize(met.select(*keys, "_n", *[
         (-F.ln(F.coalesce(f"b_{p}", F.lit(0.0))
                + F.coalesce(f"keep_{p}", F.lit(1.0)) * F.col(f"u_{p}"))).alias(out)
-        for p, out in names.items()])
+        for p, out in names.items()], *([value] if extra is not None else [])), "pair_scores")
+    return lookup_join(rows, scored, keys, values, spread, scored, "_n")
 
 
 def score_tokens(tokens: DataFrame, model: CountModel, context: int = params.CONTEXT,
-                 stride: int = params.STRIDE) -> DataFrame:
+                 stride: int = params.STRIDE, max_p: bool = False) -> DataFrame:
     """Loss of every position some window scores; the last window counts.
 
+    ``max_p`` adds the highest next-token probability (:func:`max_probs`).
+
     The window that counts follows from the position alone, so no overlap has to
     be resolved by a shuffle.
     """
     scored = tokens.filter(tk.scoring_begin(context, stride).isNotNull())
-    return attach_nll(scored, model, ["doc_id", "pos"])
+    if not max_p:
+        return attach_nll(scored, model, ["doc_id", "pos"])
+    best, floor = max_probs(model)
+    rows = attach_nll(scored, model, ["doc_id", "pos"], extra=best, value="max_p")
+    return rows.withColumn("max_p", F.coalesce("max_p", floor))
 
 
 def resolve_overlaps(window_scores: DataFrame, value: str = "nll") -> DataFrame:
@@ -145,25 +164,35 @@ def top_unigrams(model: CountModel, k: int, pool: str | None = None) -> Column:
         t["token_id"].alias("token_id"), (-t["neg"]).alias("p")))).scalar()
 
 
-def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None) -> DataFrame:
+def _next_probs(model: CountModel, pool: str, terms: DataFrame | None = None) -> DataFrame:
+    """(*ctx, token_id, keep, p) of the pairs seen in training."""
+    ctx = list(model.ctx)
+    terms = (model.terms if terms is None else terms).select(*ctx, "token_id", f"b_{pool}")
+    seen = lookup(terms, model.unigrams, ["token_id"], [f"u_{pool}"], ctx, model.size)
+    seen = lookup(seen, model.contexts, ctx, [f"keep_{pool}"], ["token_id"], model.max_contexts,
+                  model.contexts if terms is None else None, "pairs")
+    return seen.select(*ctx, "token_id", F.col(f"keep_{pool}").alias("keep"), (
+        F.col(f"b_{pool}") + F.col(f"keep_{pool}") * F.col(f"u_{pool}")).alias("p"))
+
+
+def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None,
+              asked: DataFrame | None = None) -> DataFrame:
     """The k likeliest next tokens of every seen context, as one array ``top`` of (token_id, p).
 
     Seen tokens are cut to their k best first. Tokens unseen after a context keep
     their unigram order, so the k best unigrams complete the list exactly, and
-    no context x vocabulary product is formed.
+    no context x vocabulary product is formed. ``asked`` (distinct contexts) limits
+    the work to these.
     """
     pool = pool or model.pools[0]
     ctx = list(model.ctx)
-    seen = model.terms.select(*ctx, "token_id", f"b_{pool}").join(
-        small(model.unigrams.select("token_id", f"u_{pool}"), model.size), "token_id").join(
-        small(model.contexts.select(*ctx, F.col(f"keep_{pool}").alias("_keep")), model.max_contexts), ctx)
-    scored = seen.select(*ctx, "token_id", "_keep", (
-        F.col(f"b_{pool}") + F.col("_keep") * F.col(f"u_{pool}")).alias("p"))
+    terms = None if asked is None else model.terms.join(asked.select(*ctx), ctx, "left_semi")
+    scored = _next_probs(model, pool, terms)
     order = W.partitionBy(*ctx).orderBy(F.desc("p"), "token_id")
     cut = scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     packed = cut.groupBy(*ctx).agg(
         F.collect_list(F.struct((-F.col("p")).alias("neg"), "token_id")).alias("_s"),
-        F.max("_keep").alias("_keep")).withColumn("_best", top_unigrams(model, k, pool))
+        F.max("keep").alias("_keep")).withColumn("_best", top_unigrams(model, k, pool))
     known = F.transform("_s", lambda e: e["token_id"])
     packed = packed.withColumn("_known", known)
     filler = F.transform(
@@ -184,30 +213,30 @@ def top_candidates(model: CountModel, k: int = params.TOP_K, pool: str | None =
 def with_top_probs(scores: DataFrame, model: CountModel, k: int = params.TOP_K,
                    pool: str | None = None) -> DataFrame:
     """Add the map ``top`` of the k likeliest tokens at each position."""
-    joined = scores.join(small(top_lists(model, k, pool), model.max_contexts), list(model.ctx), "left")
+    lists = materialize(top_lists(model, k, pool), "top_lists")
+    joined = lookup(scores, lists, list(model.ctx), ["top"], ["doc_id", "pos"], model.max_contexts, row_bytes=32 * k)
     filled = joined.withColumn("top", F.coalesce("top", top_unigrams(model, k, pool)))
     return filled.withColumn("top", F.map_from_entries("top"))
 
 
-def with_max_p(scores: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
-    """Add ``max_p``, the highest next-token probability at each position.
+def max_probs(model: CountModel, pool: str | None = None) -> tuple[DataFrame, Column]:
+    """(*ctx, max_p) of the seen contexts, stored, and the value of all others.
 
-    It belongs to a seen token or to the likeliest unigram.
+    The highest next-token probability belongs to a seen token or to the likeliest unigram.
     """
     pool = pool or model.pools[0]
-    ctx = list(model.ctx)
     top_u = model.unigrams.agg(F.max(f"u_{pool}")).scalar()
-    seen = model.terms.select(*ctx, "token_id", f"b_{pool}").join(
-        small(model.unigrams.select("token_id", f"u_{pool}"), model.size), "token_id").join(
-        small(model.contexts.select(*ctx, f"keep_{pool}"), model.max_contexts), ctx)
-    best = seen.groupBy(*ctx).agg(
-        F.max(F.col(f"b_{pool}") + F.col(f"keep_{pool}") * F.col(f"u_{pool}")).alias("_seen"),
-        F.max(f"keep_{pool}").alias("_keep"))
-    joined = scores.join(small(best, model.max_contexts), ctx, "left")
-    cap = F.col("_top_u")
-    return joined.withColumn("_top_u", top_u).withColumn(
-        "max_p", F.coalesce(F.greatest("_seen", F.col("_keep") * cap), cap)).drop(
-        "_seen", "_keep", "_top_u")
+    best = _next_probs(model, pool).groupBy(*model.ctx).agg(F.max("p").alias("_seen"), F.max("keep").alias("_keep"))
+    best = best.withColumn("_top_u", top_u).select(
+        *model.ctx, F.greatest("_seen", F.col("_keep") * F.col("_top_u")).alias("max_p"))
+    return materialize(best, "max_probs"), top_u
+
+
+def with_max_p(scores: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
+    """Add ``max_p``, the highest next-token probability at each position."""
+    best, floor = max_probs(model, pool)
+    rows = lookup(scores, best, list(model.ctx), ["max_p"], ["doc_id", "pos"], model.max_contexts)
+    return rows.withColumn("max_p", F.coalesce("max_p", floor))
 
 
 # ---------------------------------------------------- general probability
@@ -230,7 +259,7 @@ def doc_general_proba(tokens: DataFrame, by: Sequence[str] = (), context: int =
 def doc_background(weights: DataFrame, model: CountModel, pool: str | None = None) -> DataFrame:
     """Mass of each document's mean distribution that follows the unigram table."""
     keep = F.coalesce(f"keep_{pool or model.pools[0]}", F.lit(1.0))
-    rows = weights.join(small(model.contexts, model.max_contexts), "prev", "left")
+    rows = lookup(weights, model.contexts, ["prev"], [f"keep_{pool or model.pools[0]}"], ["doc_id"], model.max_contexts)
     return rows.groupBy("doc_id").agg(F.sum(F.col("weight") * keep).alias("background"))
 
 
@@ -243,9 +272,12 @@ def expand_general_proba(weights: DataFrame, model: CountModel, by: Sequence[str
     """
     pool = pool or model.pools[0]
     by = list(by)
-    sparse = weights.join(model.terms.select("prev", "token_id", f"b_{pool}"), "prev").groupBy(
-        *by, "token_id").agg(F.sum(F.col("weight") * F.col(f"b_{pool}")).alias("value"))
-    mass = weights.join(small(model.contexts, model.max_contexts), "prev", "left").groupBy(*by).agg(
+    # One row a context, with the few groups that use it, meets the pairs of the model.
+    packed = weights.groupBy("prev").agg(F.collect_list(F.struct(*by, "weight")).alias("_used"))
+    met = lookup_join(model.terms.select("prev", "token_id", f"b_{pool}"), packed, ["prev"], ["_used"], ["token_id"])
+    each = met.select("token_id", f"b_{pool}", F.explode("_used").alias("_g")).select("token_id", f"b_{pool}", "_g.*")
+    sparse = each.groupBy(*by, "token_id").agg(F.sum(F.col("weight") * F.col(f"b_{pool}")).alias("value"))
+    mass = lookup(weights, model.contexts, ["prev"], [f"keep_{pool}"], by, model.max_contexts).groupBy(*by).agg(
         F.sum(F.col("weight") * F.coalesce(f"keep_{pool}", F.lit(1.0))).alias("_mass"))
     # The groups are few, so they travel to the vocabulary and not the other way round.
     groups = mass.agg(F.collect_list(F.struct(*by, "_mass")).alias("all")).scalar()

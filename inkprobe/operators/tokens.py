@@ -78,14 +78,23 @@ def fits(vocab: DataFrame) -> bool:
     return size["n"] <= params.MAX_BROADCAST_ROWS and size["bytes"] <= params.MAX_BROADCAST_BYTES
 
 
-def _with_id(rows: DataFrame, vocab: DataFrame, word: str, out: str, broadcast: bool) -> DataFrame:
-    """Add the id of ``word``; the vocabulary is broadcast, or else only its hot words are."""
-    if broadcast:
-        ids = vocab.select(F.col("token").alias("_token"), F.col("token_id").alias("_id"))
-        joined = rows.join(F.broadcast(ids), F.col(word) == F.col("_token"), "left").drop("_token")
+def _word_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame | None:
+    """How often each word stands in ``docs``, stored; None where the vocabulary is broadcast anyway."""
+    if fits(vocab):
+        return None
+    return materialize(word_table(docs).groupBy("word").agg(F.count("*").alias("n")), "asked_words")
+
+
+def _with_id(rows: DataFrame, vocab: DataFrame, word: str, out: str, counts: DataFrame | None) -> DataFrame:
+    """Add the id of ``word``; the vocabulary is broadcast, or else only the words hot in ``rows`` are."""
+    ids = vocab.select(F.col("token").alias(word), F.col("token_id").alias("_id"))
+    if counts is None:
+        joined = rows.join(F.broadcast(ids), word, "left").select(*rows.columns, "_id")
     else:
-        ids = vocab.select(F.col("token").alias(word), F.col("token_id").alias("_id"), F.col("n").alias("_n"))
-        joined = lookup_join(rows, ids, [word], "_n", ["_id"], ["doc_id", "pos"])
+        # Neighbours are as frequent as words, but for the ends of texts.
+        form = F.lower("word") if word in ("_lw", "_lp") else F.col("word")
+        probes = counts.groupBy(form.alias(word)).agg(F.sum("n").alias("n"))
+        joined = lookup_join(rows, ids, [word], ["_id"], ["doc_id", "pos"], probes)
     return joined.withColumn(out, F.coalesce("_id", F.lit(params.UNK))).drop("_id")
 
 
@@ -96,22 +105,22 @@ def token_table(docs: DataFrame, vocab: DataFrame, keep: Sequence[str] = (),
     Each lookup is a broadcast join while the vocabulary fits, else a join that
     survives hot words. ``lower`` adds the ids of the lower-cased words.
     """
-    near = fits(vocab)
+    counts = _word_counts(docs, vocab)
     rows = word_table(docs, keep)
     out = ["doc_id", *keep, "n_tokens", "pos"]
-    rows = _with_id(rows, vocab, "word", "token_id", near)
-    rows = _with_id(rows, vocab, "prev_word", "prev", near)
+    rows = _with_id(rows, vocab, "word", "token_id", counts)
+    rows = _with_id(rows, vocab, "prev_word", "prev", counts)
     rows = rows.withColumn("prev", F.when(F.col("pos") == 0, params.BOS).otherwise(F.col("prev")))
     out += ["token_id", "prev"]
     if with_next:
-        rows = _with_id(rows, vocab, "next_word", "next", near)
+        rows = _with_id(rows, vocab, "next_word", "next", counts)
         rows = rows.withColumn(
             "next", F.when(F.col("next_word").isNull(), params.EOS).otherwise(F.col("next")))
         out.append("next")
     if lower:
         rows = rows.withColumn("_lw", F.lower("word")).withColumn("_lp", F.lower("prev_word"))
-        rows = _with_id(rows, vocab, "_lw", "low_id", near)
-        rows = _with_id(rows, vocab, "_lp", "low_prev", near)
+        rows = _with_id(rows, vocab, "_lw", "low_id", counts)
+        rows = _with_id(rows, vocab, "_lp", "low_prev", counts)
         rows = rows.withColumn(
             "low_prev", F.when(F.col("pos") == 0, params.BOS).otherwise(F.col("low_prev")))
         out += ["low_id", "low_prev"]
@@ -127,7 +136,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     columns join afterwards.
     """
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_id(word_table(docs), vocab, "word", "token_id", fits(vocab))
+    rows = _with_id(word_table(docs), vocab, "word", "token_id", _word_counts(docs, vocab))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))), lambda e: e["token_id"])
     ids = rows.groupBy("doc_id").agg(
         in_order.alias("_ids"), F.count("*").alias("_n"), F.max("n_tokens").alias("_long"))
@@ -228,7 +237,7 @@ def decode(rows: DataFrame, vocab: DataFrame, by: Sequence[str]) -> DataFrame:
     if fits(vocab):
         named = rows.join(F.broadcast(vocab.select("token_id", "token")), "token_id", "left")
     else:
-        named = lookup_join(rows, vocab, ["token_id"], "n", ["token"], [*by, "pos"])
+        named = lookup_join(rows, vocab, ["token_id"], ["token"], [*by, "pos"])
     named = named.withColumn(
         "token", F.coalesce("token", F.lit(params.UNK_TEXT)))
     in_order = F.transform(

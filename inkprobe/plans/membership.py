@@ -58,7 +58,7 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     model = sc.train(tokens, vocab, {"target": F.col("_class") == 1}, store=keep_tables)
     chosen = hold(tokens.drop("_class").join(chunks, "doc_id"), "chunk_tokens")
     counts = hold(tk.token_counts(chosen, ["chunk_id"]), "counts")
-    scores = sc.with_max_p(sc.score_tokens(chosen, model, context, stride), model).select(
+    scores = sc.score_tokens(chosen, model, context, stride, max_p=True).select(
         "doc_id", "chunk_id", "label", "pos", "token_id", "nll", "max_p")
     weights = sc.doc_general_proba(chosen, ["chunk_id"], context, stride)
     return ChunkedScores(

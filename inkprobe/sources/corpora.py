@@ -12,6 +12,7 @@ from inkprobe import params
 from inkprobe.operators import books
 
 JSONL_FIELDS = ("meta", "text")
+FEW_TASKS = 8
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,14 +20,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are costly to process; one in a single file is spread over the cores.
+    """A table whose rows are costly to process; one of a few scan tasks is spread over the cores.
 
-    A file of one row group is read by one task, however many cores wait. What
-    consists of several files passes unchanged, so no large input is shuffled.
+    A row group is read by one task, however many cores wait. Only scans of fewer
+    than ``FEW_TASKS`` tasks are dealt anew, so what is shuffled never exceeds so
+    many file splits, whatever the cluster.
     """
     df = table(spark, folder, name)
-    if len(df.inputFiles()) == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism, key)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < min(cores, FEW_TASKS):
+        return df.repartition(cores, key)
     return df
 
 

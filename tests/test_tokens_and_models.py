@@ -158,10 +158,64 @@ def test_lookup_join_with_hot_keys(spark):
     left = spark.createDataFrame([(i, 0 if i % 3 else i % 7, i % 2) for i in range(300)], "id int, a int, b int")
     right = spark.createDataFrame([(a, b, 1000 if a == 0 else 1, a * 10 + b) for a in range(6) for b in range(2)],
                                   "a int, b int, n int, v int")
-    got = sorted(lookup_join(left, right, ["a", "b"], "n", ["v"], ["id"], slots=4).collect())
+    got = sorted(lookup_join(left, right, ["a", "b"], ["v"], ["id"], slots=4).collect())
     assert got == sorted(left.join(right.drop("n"), ["a", "b"], "left").select("id", "a", "b", "v").collect())
 
 
+def test_lookup_join_settles_hot_keys_that_the_right_side_lacks(spark):
+    """Rows without a match or a key spread over the shuffle like those of hot keys."""
+    left = spark.range(3_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS a")
+    right = spark.range(0, 3_000, 5).selectExpr("id AS a", "id * 2 AS v").filter("a <> 7")
+    got = lookup_join(left, right, ["a"], ["v"], ["id"], slots=10)
+    want = left.join(right, "a", "left").select("id", "a", "v")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def _sorted_joins(df):
+    """Keys of the sort-merge joins in the plan, without adaptive execution's choices."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "SortMergeJoin" in line]
+
+
+def test_no_plain_join_on_hot_tokens_beyond_the_broadcast_bound(spark, small, monkeypatch):
+    """With a vocabulary too large to broadcast, every join of scoring and norms scatters what is hot."""
+    from inkprobe import params
+    from inkprobe.operators import normalise as nm
+
+    docs, vocab, tokens, model = small
+    want = sorted(map(str, sc.score_tokens(tokens, model, max_p=True).collect()))
+    norms = spark.range(12).selectExpr("0 AS fold", "cast(id AS int) AS token_id", "(id + 1) / 100.0D AS value")
+    scored = sc.score_tokens(tokens, model)
+    want_norms = sorted(map(str, nm.norm_arrays(scored, norms, 1).collect()))
+    plain_tokens = sorted(map(str, tk.token_table(docs, vocab, with_next=True, lower=True).collect()))
+    lists = sorted(map(str, sc.with_top_probs(tokens, model).collect()))
+    mass = sorted((r["token_id"], round(r["value"], 12)) for r in sc.general_proba(
+        sc.doc_general_proba(tokens.withColumn("chunk_id", F.lit(0)), ["chunk_id"]), model).collect())
+
+    monkeypatch.setattr(params, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(params, "MAX_BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        far = sc.score_tokens(tokens, model, max_p=True)
+        assert sorted(map(str, far.collect())) == want
+        # The one shuffle of all tokens goes by the scattered first key and by the whole pair.
+        joins = _sorted_joins(far)
+        assert joins and all("_k0" in j for j in joins), joins
+        norm_rows = nm.norm_arrays(sc.score_tokens(tokens, model), norms, 1)
+        assert sorted(map(str, norm_rows.collect())) == want_norms
+        assert all("_k0" in j for j in _sorted_joins(norm_rows))
+        table = tk.token_table(docs, vocab, with_next=True, lower=True)
+        assert sorted(map(str, table.collect())) == plain_tokens
+        assert all("_k0" in j for j in _sorted_joins(table))
+        assert sorted(map(str, sc.with_top_probs(tokens, model).collect())) == lists
+        assert sorted((r["token_id"], round(r["value"], 12)) for r in sc.general_proba(
+            sc.doc_general_proba(tokens.withColumn("chunk_id", F.lit(0)), ["chunk_id"]), model).collect()) == mass
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_min_k(spark):
     logp = [-.1, -3., -.5, -2., -1., -4., -.2, -.3, -1.5, -2.5]
     df = spark.createDataFrame([(sorted(logp),)], "l array<double>")
