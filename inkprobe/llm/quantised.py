@@ -123,11 +123,14 @@ def tiles(classes: DataFrame) -> DataFrame:
     """Stored tiles of at most ``TILE`` classes of one label and width, in curve order."""
     def place(batches):
         for batch in batches:
-            keys = []
-            for data in batch.column(2).to_pylist():
-                u = unit(np.frombuffer(data).reshape(1, -1))
+            data = batch.column(2).to_pylist()
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            keys = np.empty(len(data), object)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                u = unit(np.frombuffer(b"".join(data[i] for i in at.tolist())).reshape(len(at), -1))
                 cells = np.floor((u * np.sqrt(u.shape[1]) / 4 + 0.5) * (1 << CURVE_BITS))
-                keys += hilbert_keys(np.clip(cells, 0, (1 << CURVE_BITS) - 1), CURVE_BITS)
+                keys[at] = hilbert_keys(np.clip(cells, 0, (1 << CURVE_BITS) - 1), CURVE_BITS)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(keys, pa.binary())], names=["node", "label", "x", "n", "place"])
 
