@@ -3,6 +3,12 @@
 
 def all_queries():
     """(queries, SQL twins) by name."""
-    from inkprobe.plans import corpus_queries, registry, score_queries, token_queries  # noqa: F401
+    from inkprobe.plans import (  # noqa: F401
+        corpus_queries,
+        ngram_queries,
+        registry,
+        score_queries,
+        token_queries,
+    )
 
     return dict(registry.QUERIES), dict(registry.TWINS)
