@@ -6,22 +6,21 @@ from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.wrapper import JavaModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprobe import params
 from inkprobe.functions.ordering import running_totals
+from inkprobe.operators import grouped_fits as gf
 
 # Settings of the classifiers.
-LR_STRENGTH, LR_ITERATIONS = 1.0, 100
+LR_STRENGTH = 1.0
 FOREST_TREES, FOREST_DEPTH, FOREST_LEAF = 500, 5, 3
-MLP_HIDDEN = 100
+
+FOREST_MEMORY_MB = 1_024  # of histograms at a time, so that all trees grow in few passes
 
 DEFAULT_MODELS = "logistic_regression,random_forest"
 
@@ -72,19 +71,21 @@ def roc_curve(df: DataFrame, score: str, label: str = "label", by: Sequence[str]
     return points.unionByName(start)
 
 
-def _classifier(name: str, n_rows: int, width: int, seed: int, trees: int):
-    common = {"featuresCol": "features", "labelCol": "label"}
-    if name == "logistic_regression":
-        return LogisticRegression(
-            maxIter=LR_ITERATIONS, regParam=1.0 / (LR_STRENGTH * n_rows), elasticNetParam=0.0,
-            standardization=False, **common)
-    if name == "random_forest":
-        return RandomForestClassifier(
-            numTrees=trees, maxDepth=FOREST_DEPTH, minInstancesPerNode=FOREST_LEAF,
-            featureSubsetStrategy="sqrt", seed=seed, **common)
-    if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[width, MLP_HIDDEN, 2], seed=seed, **common)
-    raise ValueError(f"no such model: {name!r}")
+class _ForestModel(JavaModel):
+    """A fitted forest that only predicts."""
+
+
+class _Forest(RandomForestClassifier):
+    """Spark's forest without a Python object for each tree, whose making takes longer than the fit."""
+
+    def _create_model(self, java_model):
+        return _ForestModel(java_model)
+
+
+def _forest(seed: int, trees: int) -> _Forest:
+    return _Forest(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=FOREST_DEPTH,
+                   minInstancesPerNode=FOREST_LEAF, featureSubsetStrategy="sqrt", seed=seed,
+                   maxMemoryInMB=FOREST_MEMORY_MB)
 
 
 MODEL_NAMES = ("logistic_regression", "random_forest", "mlp")
@@ -105,36 +106,39 @@ def as_vectors(features: DataFrame) -> DataFrame:
         "label", F.col("label").cast("double")).drop("x")
 
 
-def fit_validate(features: DataFrame, models: str = DEFAULT_MODELS, n_folds: int = params.N_CHUNKS,
-                 seed: int = params.SEED, trees: int = FOREST_TREES, parallelism: int = 4) -> DataFrame:
-    """Fit every model in every fold; returns the predictions of all rows.
+def fit_validate(features: DataFrame, models: str = DEFAULT_MODELS, by: Sequence[str] = ("fold",),
+                 seed: int = params.SEED, trees: int = FOREST_TREES, parallelism: int = 8) -> DataFrame:
+    """Fit every model in every group, a fold for instance; returns the predictions of all rows.
 
-    ``features``: (fold, doc_id, chunk_id, label, role, x), read once per fit, so
-    pass a materialised table. Only fitted models reach the driver. Output:
-    (model, fold, doc_id, label, role, proba, prediction).
+    ``features``: (*by, doc_id, label, role, x), read once a step, so pass a
+    stored table, best partitioned by ``by``. Logistic regression and the network fit all
+    groups at once (:mod:`~inkprobe.operators.grouped_fits`), forests one after the other, some side
+    by side. Only models and gradients reach the driver. Output:
+    (model, *by, doc_id, label, role, proba, prediction).
     """
     names = model_list(models)
-    data = as_vectors(features)
-    facts = features.filter("role = 'train'").groupBy("fold").agg(
-        F.count("*").alias("n"), F.max(F.size("x")).alias("width"))
-    sizes = {r["fold"]: (r["n"], r["width"]) for r in facts.collect()}  # one row per fold
-
-    def run(job: tuple[str, int]) -> DataFrame:
-        name, fold = job
-        rows = data.filter(F.col("fold") == fold)
-        clf = _classifier(name, *sizes[fold], seed, trees)
-        fitted = clf.fit(rows.filter("role = 'train'"))
-        return fitted.transform(rows).select(
-            F.lit(name).alias("model"), "fold", "doc_id", F.col("label").cast("int").alias("label"),
-            "role", vector_to_array("probability")[1].alias("proba"),
-            F.col("prediction").cast("int").alias("prediction"))
-
-    jobs = [(name, fold) for name in names for fold in range(n_folds) if fold in sizes]
-    pool = ThreadPool(min(parallelism, len(jobs)))
-    try:
-        parts = pool.map(run, jobs)
-    finally:
-        pool.close()
+    groups = gf.groups_of(features, by)
+    keep = ["doc_id", "label", "role"]
+    parts = []
+    if "logistic_regression" in names:
+        parts.append(gf.predict(groups, gf.fit_logistic(groups, LR_STRENGTH), "logistic_regression", keep))
+    if "mlp" in names:
+        parts.append(gf.predict(groups, gf.fit_network(groups, seed=seed), "mlp", keep))
+    if "random_forest" in names:
+        def run(g: int) -> DataFrame:
+            rows = as_vectors(groups.numbered([g], training=False))
+            train = rows.filter("role = 'train'")
+            fitted = _forest(seed, trees).fit(train)
+            return fitted.transform(rows).select(
+                F.lit("random_forest").alias("model"), *by, "doc_id", F.col("label").cast("int").alias("label"),
+                "role", vector_to_array("probability")[1].alias("proba"),
+                F.col("prediction").cast("int").alias("prediction"))
+
+        pool = ThreadPool(max(1, min(parallelism, len(groups.keys))))
+        try:
+            parts += pool.map(run, range(len(groups.keys)))
+        finally:
+            pool.close()
     return reduce(DataFrame.unionByName, parts)
 
 

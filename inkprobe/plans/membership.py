@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from inkprobe.operators import normalise as nm
 from inkprobe.operators import sampling as sp
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
-from inkprobe.session import materialize
+from inkprobe.session import materialize, run_folder
 from inkprobe.sources import sinks
 
 
@@ -113,19 +113,45 @@ def cross_validate(data: ChunkedScores, norm_type: str = "ratio", norm_table: st
     """Leave one chunk out; returns (fold metrics, predictions)."""
     rows = materialize(fold_features(data, norm_type, norm_table, kind), "fold_features", ["fold"])
     # Stored once: accuracy, AUC and ROC points all read them.
-    predictions = materialize(ev.fit_validate(rows, models, data.n_chunks, seed, trees), "predictions")
+    predictions = materialize(ev.fit_validate(rows, models, ("fold",), seed, trees), "predictions")
     return ev.fold_metrics(predictions), predictions
 
 
+def grid_features(data: ChunkedScores, specs: Mapping[str, tuple[str, str, str]] = params.EXPERIMENTS,
+                  parallelism: int = 4) -> DataFrame:
+    """Scaled features of all experiments in one stored table, with ``experiment_name``.
+
+    Experiments that share a normalisation share its values; some are made side by side.
+    """
+    shared = {}
+    for norm_type, norm_table, _ in specs.values():
+        if (norm_type, norm_table) not in shared:
+            shared[norm_type, norm_table] = materialize(
+                fold_arrays(data, norm_type, norm_table).drop("pos"), "fold_values")
+    path = run_folder(data.scores.sparkSession, "grid_features")
+
+    def write(name: str) -> None:
+        norm_type, norm_table, kind = specs[name]
+        rows = ft.extract_scaled(shared[norm_type, norm_table], kind, data.n_chunks)
+        rows.write.partitionBy("fold").parquet(f"{path}/experiment_name={name}")
+
+    pool = ThreadPool(max(1, min(parallelism, len(specs))))
+    try:
+        pool.map(write, specs)
+    finally:
+        pool.close()
+    return data.scores.sparkSession.read.parquet(path)
+
+
 def run_grid(data: ChunkedScores, specs: Mapping[str, tuple[str, str, str]] = params.EXPERIMENTS,
              models: str = ev.DEFAULT_MODELS, seed: int = params.SEED,
              trees: int = ev.FOREST_TREES) -> DataFrame:
-    """Predictions of every experiment over shared scores, with ``experiment_name``."""
-    runs = []
-    for name, (norm_type, norm_table, kind) in specs.items():
-        _, predictions = cross_validate(data, norm_type, norm_table, kind, models, seed, trees)
-        runs.append(predictions.withColumn("experiment_name", F.lit(name)))
-    return reduce(DataFrame.unionByName, runs)
+    """Predictions of every experiment over shared scores, stored, with ``experiment_name``.
+
+    All experiments and folds are groups of the same fits.
+    """
+    features = grid_features(data, specs)
+    return materialize(ev.fit_validate(features, models, ("experiment_name", "fold"), seed, trees), "grid")
 
 
 def roc_points(predictions: DataFrame, by: tuple[str, ...] = ("model", "fold")) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprobe import params
 from inkprobe.operators import baselines as bl
 from inkprobe.operators import evaluate as ev
 from inkprobe.operators import features as ft
+from inkprobe.operators import grouped_fits as gf
 from inkprobe.operators import neighbours as nb
 from inkprobe.operators import normalise as nm
 from inkprobe.operators import scoring as sc
@@ -30,7 +32,6 @@ from inkprobe.sources import sinks
 
 
 K = params.HIST_BINS
-QUERY_TREES = 20  # of the forests of which only keys and ranges are compared
 AGG = list(params.AGG_FEATURES)
 FOLD_KEYS = ["fold", "doc_id", "chunk_id", "label"]
 
@@ -352,7 +353,7 @@ def g4(spark, d):
   SELECT model, fold, doc_id, label, role, true AS valid
   FROM f_agg, (SELECT unnest(['logistic_regression', 'random_forest']) AS model)""", ["f_agg"])
 def g8_keys(spark, d):
-    rows = _predictions(spark, d, ev.DEFAULT_MODELS, trees=QUERY_TREES)
+    rows = _predictions(spark, d, ev.DEFAULT_MODELS)
     sided = (F.col("proba") > 0.5) == (F.col("prediction") == 1)
     return rows.select("model", "fold", "doc_id", "label", "role", (
         F.col("proba").between(0, 1) & (sided | (F.col("proba") == 0.5))).alias("valid"))
@@ -367,6 +368,29 @@ def g1_residuals(spark, d):
         F.count("*").alias("n"), (F.abs(F.avg(F.col("proba") - F.col("label"))) < 1e-3).alias("balanced"))
 
 
+# The loss of a penalised regression has one lowest point: where its slope in every
+# weight is nothing. The weights follow from the stored scores, so each slope is
+# worked out anew from features and probabilities alone.
+@query("g1_gradient", """
+  SELECT fold, feature, true AS flat FROM (SELECT DISTINCT fold FROM f_agg),
+         (SELECT unnest(range(%d))::INTEGER AS feature)""" % (len(AGG) + 1), ["f_agg"])
+def g1_gradient(spark, d):
+    rows = materialize(mb.fold_features(chunked(spark, d), "ratio", "token_freq", "simple_agg"), "features", ["fold"])
+    groups = gf.groups_of(rows, ["fold"])
+    weights = gf.fit_logistic(groups)
+    held = spark.createDataFrame(
+        [(*groups.keys[g], i, float(w)) for g, ws in weights.items() for i, w in enumerate(ws)],
+        "fold int, feature int, w double")
+    scored = gf.predict(groups, weights, "logistic_regression", ["doc_id", "label", "role"])
+    one = F.transform(F.concat("x", F.array(F.lit(1.0))), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    slopes = scored.filter("role = 'train'").join(rows.select("fold", "doc_id", "x"), ["fold", "doc_id"]).select(
+        "fold", F.posexplode(one).alias("feature", "v"), (F.col("proba") - F.col("label")).alias("rest")).groupBy(
+        "fold", "feature").agg(F.sum(F.col("v") * F.col("rest")).alias("slope"))
+    penalty = F.when(F.col("feature") < len(AGG), F.col("w") / ev.LR_STRENGTH).otherwise(F.lit(0.0))
+    return slopes.join(F.broadcast(held), ["fold", "feature"]).select(
+        "fold", "feature", (F.abs(F.col("slope") + penalty) < 1e-6).alias("flat"))
+
+
 # Metrics of a stored run against the same figures from its stored predictions.
 @query("a6_write_experiment", """
   SELECT 'token_freq_norm_agg' AS experiment_name, 'logistic_regression' AS model, fold,
@@ -412,12 +436,58 @@ def g9(spark, d):
     return metrics
 
 
-@query("g10_experiment_grid")
+# The curves of all folds, and what holds of any curve: it starts at no and ends at all
+# rows, never falls, and the area below it is the fold's AUC.
+@query("g9_roc_points", """
+  SELECT model, fold, true AS whole, true AS rising, true AS same_area
+  FROM (SELECT DISTINCT fold FROM f_agg), (SELECT unnest(['logistic_regression', 'random_forest']) AS model)""",
+       ["f_agg"])
+def g9_roc(spark, d):
+    metrics, predictions = mb.cross_validate(chunked(spark, d), models=ev.DEFAULT_MODELS)
+    points = materialize(mb.roc_points(predictions), "roc_points")
+    # Points of a curve are few: collinear ones were left out.
+    line = W.partitionBy("model", "fold").orderBy(F.desc("threshold"))
+    steps = points.select("model", "fold", "fpr", "tpr", (F.col("fpr") - F.lag("fpr").over(line)).alias("right"),
+                          (F.col("tpr") - F.lag("tpr").over(line)).alias("up"))
+    area = F.sum(F.col("right") * (F.col("tpr") - F.col("up") / 2))
+    per = steps.groupBy("model", "fold").agg(
+        ((F.min("fpr") == 0) & (F.min("tpr") == 0) & (F.max("fpr") == 1) & (F.max("tpr") == 1)).alias("whole"),
+        ((F.min("right") >= 0) & (F.min("up") >= 0)).alias("rising"), area.alias("area"))
+    return per.join(metrics, ["model", "fold"]).select(
+        "model", "fold", "whole", "rising", (F.abs(F.col("area") - F.col("test_auc")) < 1e-9).alias("same_area"))
+
+
+# Every experiment, model and fold predicts each chunked document once, on the right
+# side of a probability, and the metrics are those of the stored predictions.
+_GRID = ", ".join(f"('{name}')" for name in params.EXPERIMENTS)
+
+
+@query("g10_experiment_grid", f"""
+  SELECT experiment_name, model, fold, count(*) FILTER (chunk_id <> fold) AS n_train,
+         count(*) FILTER (chunk_id = fold) AS n_test, true AS valid, true AS same_metrics
+  FROM chunks, folds, (SELECT unnest(['logistic_regression', 'random_forest']) AS model),
+       (VALUES {_GRID}) e(experiment_name)
+  GROUP BY experiment_name, model, fold""", ["chunks", "folds"])
 def g10(spark, d):
-    return ev.fold_metrics(mb.run_grid(chunked(spark, d)), ["experiment_name", "model", "fold"])
+    by = ["experiment_name", "model", "fold"]
+    rows = mb.run_grid(chunked(spark, d))
+    metrics = ev.fold_metrics(rows, by)
+    side = lambda r: F.col("role") == r
+    hit = ((F.col("proba") > 0.5).cast("int") == F.col("label")).cast("double")
+    sided = (F.col("proba") > 0.5) == (F.col("prediction") == 1)
+    again = rows.groupBy(*by).agg(
+        F.count(F.when(side("train"), 1)).alias("n_train"), F.count(F.when(side("test"), 1)).alias("n_test"),
+        F.bool_and(F.col("proba").between(0, 1) & (sided | (F.col("proba") == 0.5))).alias("valid"),
+        F.avg(F.when(side("train"), hit)).alias("train"), F.avg(F.when(side("test"), hit)).alias("test"))
+    # A tie at one half goes either way in a forest.
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.05
+    inside = lambda c: F.col(c).between(0, 1)
+    return again.join(metrics, by).select(
+        *by, "n_train", "n_test", "valid", (near("train", "train_acc") & near("test", "test_acc")
+                                            & inside("train_auc") & inside("test_auc")).alias("same_metrics"))
 
 
-# The two experiments of the grid that need the fewest features, for a quick look.
+# Two experiments of the grid with their metrics.
 @query("g10_default_models")
 def g10_default(spark, d):
     specs = {name: params.EXPERIMENTS[name] for name in ("base", "token_freq_norm_agg")}

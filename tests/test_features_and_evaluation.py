@@ -122,7 +122,7 @@ def test_fit_validate(spark):
     rows = [(f, d, d % 2, d % 2, "test" if d % 4 == f else "train", [rng.random() + d % 2, rng.random()])
             for f in (0, 1) for d in range(40)]
     df = spark.createDataFrame(rows, "fold int, doc_id int, chunk_id int, label int, role string, x array<double>")
-    pred = ev.fit_validate(df, "logistic_regression,random_forest,mlp", 2, trees=5)
+    pred = ev.fit_validate(df, "logistic_regression,random_forest,mlp", trees=5)
     assert pred.count() == 3 * len(rows)
     metrics = ev.fold_metrics(pred).collect()
     assert len(metrics) == 6 and all(r["train_auc"] > 0.9 for r in metrics)

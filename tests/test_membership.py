@@ -68,26 +68,21 @@ def test_run_is_stored_whole(spark, data, tmp_path):
     assert sinks.read_run(spark, "roc_points", str(tmp_path), "base").count() >= 6
 
 
-def test_grid_queries_fit_both_models_with_all_trees(spark, monkeypatch):
-    import inspect
-
+def test_grid_fits_every_experiment_and_fold_as_alone(data):
+    """All ten experiments in one run of the grid; regression probabilities equal those of a run of its own."""
     from inkprobe import params
     from inkprobe.operators import evaluate as ev
-    from inkprobe.plans import membership, score_queries
-
-    names = inspect.signature(membership.run_grid)
-    asked = []
-
-    def grid(*args, **named):
-        bound = names.bind(*args, **named)
-        bound.apply_defaults()
-        asked.append(bound.arguments)
-
-    monkeypatch.setattr(score_queries, "chunked", lambda spark, d: None)
-    monkeypatch.setattr(membership, "run_grid", grid)
-    monkeypatch.setattr(ev, "fold_metrics", lambda rows, by: rows)
-    score_queries.g10(spark, "")
-    score_queries.g10_default(spark, "")
-    assert list(asked[0]["specs"]) == list(params.EXPERIMENTS) and len(asked[0]["specs"]) == 10
-    assert all(ev.model_list(a["models"]) == ev.model_list(ev.DEFAULT_MODELS) for a in asked)
-    assert all(a["trees"] == ev.FOREST_TREES for a in asked)
+
+    grid = mb.run_grid(data, trees=3)
+    counts = {(r["experiment_name"], r["model"]): r["n"] for r in grid.groupBy(
+        "experiment_name", "model").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(name, model): 180 for name in params.EXPERIMENTS for model in ev.model_list(ev.DEFAULT_MODELS)}
+    for name in ("token_freq_norm_agg", "general_proba_diff_max_hist"):
+        alone = mb.cross_validate(data, *params.EXPERIMENTS[name], models="logistic_regression")[1]
+        key = lambda r: (r["fold"], r["doc_id"], r["role"])
+        want = {key(r): r["proba"] for r in alone.collect()}
+        got = {key(r): r["proba"] for r in grid.filter(
+            (F.col("experiment_name") == name) & (F.col("model") == "logistic_regression")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    metrics = ev.fold_metrics(grid, ["experiment_name", "model", "fold"])
+    assert metrics.count() == 10 * 2 * 3
