@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkprobe import params
 from inkprobe.functions.ordering import running_totals
 from inkprobe.operators import grouped_fits as gf
+from inkprobe.session import run_folder
 
 # Settings of the classifiers.
 LR_STRENGTH = 1.0
@@ -125,20 +126,23 @@ def fit_validate(features: DataFrame, models: str = DEFAULT_MODELS, by: Sequence
     if "mlp" in names:
         parts.append(gf.predict(groups, gf.fit_network(groups, seed=seed), "mlp", keep))
     if "random_forest" in names:
-        def run(g: int) -> DataFrame:
+        path = run_folder(features.sparkSession, "forests")
+
+        def run(g: int) -> None:
+            # Written by itself, so that no task has to load the forests of other groups.
             rows = as_vectors(groups.numbered([g], training=False))
-            train = rows.filter("role = 'train'")
-            fitted = _forest(seed, trees).fit(train)
-            return fitted.transform(rows).select(
+            fitted = _forest(seed, trees).fit(rows.filter("role = 'train'"))
+            fitted.transform(rows).select(
                 F.lit("random_forest").alias("model"), *by, "doc_id", F.col("label").cast("int").alias("label"),
                 "role", vector_to_array("probability")[1].alias("proba"),
-                F.col("prediction").cast("int").alias("prediction"))
+                F.col("prediction").cast("int").alias("prediction")).write.parquet(f"{path}/forest={g}")
 
         pool = ThreadPool(max(1, min(parallelism, len(groups.keys))))
         try:
-            parts += pool.map(run, range(len(groups.keys)))
+            pool.map(run, range(len(groups.keys)))
         finally:
             pool.close()
+        parts.append(features.sparkSession.read.parquet(path).drop("forest"))
     return reduce(DataFrame.unionByName, parts)
 
 
