@@ -5,8 +5,9 @@ as bitmaps, the cells touched at least twice. Pass 2 tests each row: only where
 all its cells are such, its text may be repeated. These rows alone shuffle to be
 grouped; every other row is unique for certain and passes straight through.
 
-The filter has a fixed size at most, which bounds its broadcast. Larger inputs
-run in slices of the hash range, each with a filter of its own.
+The filter grows with the rows, two bytes for each. While it is small it is
+broadcast; beyond that every row meets the one bitmap it needs in a shuffle, in
+which rows of hot bitmaps stay scattered. Either way texts are read twice, whatever their number.
 
 Texts are equal when identical after each run of white space (0x20, 0x09-0x0D)
 becomes one space; equality is that of the SHA-256 of that text.
@@ -22,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprobe.functions.skew import lookup
 from inkprobe.llm.skewed import join_groups
 from inkprobe.session import materialize
 
 CELLS_PER_BITMAP = 32_768
 BITS_PER_ROW = 16
 PROBES = 3
-MAX_BITMAPS = 4_096  # 16 MB of filter
+BITMAP_BYTES = 3 * (CELLS_PER_BITMAP // 8)  # of a bitmap in a broadcast table, with room to spare
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -65,60 +67,50 @@ def _bit(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
 
 
-def maybe_repeated(rows: DataFrame, digest: str, cells: DataFrame, n_bitmaps: int) -> DataFrame:
-    """Pass 2: add ``_maybe``; false only for rows that are unique for certain."""
-    tagged = rows.withColumn("_cells", _cells(digest, n_bitmaps)).withColumn(
-        "_bitmap", F.expr(f"_cells[0] div {CELLS_PER_BITMAP}"))
-    held = F.broadcast(cells.select(F.col("bitmap").alias("_bitmap"), F.col("bits").alias("_bits")))
-    all_set = _bit(F.col("_bits"), F.col("_cells")[0] % CELLS_PER_BITMAP)
-    for i in range(1, PROBES):
-        all_set = all_set & _bit(F.col("_bits"), F.col("_cells")[i] % CELLS_PER_BITMAP)
-    return tagged.join(held, "_bitmap", "left").withColumn(
-        "_maybe", F.coalesce(all_set, F.lit(False))).drop("_bitmap", "_bits", "_cells")
-
+def maybe_repeated(rows: DataFrame, digest: str, cells: DataFrame, n_bitmaps: int,
+                   keys: DataFrame | None = None) -> DataFrame:
+    """Pass 2: add ``_maybe``; false only for rows that are unique for certain.
 
-def filter_plan(n_rows: int) -> tuple[int, int]:
-    """(slices of the hash range, bitmaps of each slice's filter)."""
-    wanted = max(1, -(-n_rows * BITS_PER_ROW // CELLS_PER_BITMAP))
-    n_slices = -(-wanted // MAX_BITMAPS)
-    return n_slices, -(-wanted // n_slices)
+    ``keys`` holds the digests of ``rows`` where these are costly to make again.
+    """
+    tagged = rows.withColumn("_number", F.monotonically_increasing_id()).withColumn(
+        "_cells", _cells(digest, n_bitmaps)).withColumn("bitmap", F.expr(f"_cells[0] div {CELLS_PER_BITMAP}"))
+    # How many rows ask for each bitmap follows from the digests alone.
+    asked = (rows if keys is None else keys).groupBy(F.pmod(F.xxhash64(digest), F.lit(n_bitmaps)).alias("bitmap")).agg(F.count("*").alias("n"))
+    met = lookup(tagged, cells, ["bitmap"], ["bits"], ["_number"], n_bitmaps, asked, row_bytes=BITMAP_BYTES)
+    all_set = _bit(F.col("bits"), F.col("_cells")[0] % CELLS_PER_BITMAP)
+    for i in range(1, PROBES):
+        all_set = all_set & _bit(F.col("bits"), F.col("_cells")[i] % CELLS_PER_BITMAP)
+    return met.withColumn("_maybe", F.coalesce(all_set, F.lit(False))).select(*rows.columns, "_maybe")
 
 
-def _slice(digest: str, n_slices: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("slice"), digest), F.lit(n_slices)).cast("int")
+def filter_size(n_rows: int) -> int:
+    """Bitmaps of the filter."""
+    return max(1, -(-n_rows * BITS_PER_ROW // CELLS_PER_BITMAP))
 
 
-def _filters(keys: DataFrame) -> tuple[list[DataFrame], int]:
-    """Stored filter of each slice of ``keys`` (digest), and their bitmaps."""
-    n_slices, n_bitmaps = filter_plan(keys.count())
-    made = []
-    for i in range(n_slices):
-        part = keys if n_slices == 1 else keys.filter(_slice("digest", n_slices) == i)
-        made.append(materialize(repeated_cells(part, "digest", n_bitmaps), "bloom"))
-    return made, n_bitmaps
+def _filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The stored filter of ``keys`` (digest), and its bitmaps."""
+    n_bitmaps = filter_size(keys.count())
+    return materialize(repeated_cells(keys, "digest", n_bitmaps), "bloom"), n_bitmaps
 
 
 def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``key``, keep_id, group_size, kept, text_sha256."""
     keys = materialize(docs.select(F.col(key).alias("id"), text_sha256(text).alias("digest")), "digests")
-    filters, n_bitmaps = _filters(keys.select("digest"))
-    out = None
-    for i, cells in enumerate(filters):
-        part = keys if len(filters) == 1 else keys.filter(_slice("digest", len(filters)) == i)
-        tested = maybe_repeated(part, "digest", cells, n_bitmaps)
-        alone = tested.filter(~F.col("_maybe")).select(
-            "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-            F.lit(True).alias("kept"), "digest")
-        rows = materialize(tested.filter("_maybe").groupBy("digest", "id").agg(F.count("*").alias("n")), "candidates")
-        groups = materialize(rows.groupBy("digest").agg(
-            F.min("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
-        # Rows equal in key and text come back one by one; the first of the smallest key stays.
-        shared = join_groups(rows, groups, "digest", "group_size").select(
-            "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")).select(
-            "id", "keep_id", "group_size",
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
-        part_out = alone.unionByName(shared)
-        out = part_out if out is None else out.unionByName(part_out)
+    tested = maybe_repeated(keys, "digest", *_filter(keys.select("digest")))
+    alone = tested.filter(~F.col("_maybe")).select(
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
+        F.lit(True).alias("kept"), "digest")
+    rows = materialize(tested.filter("_maybe").groupBy("digest", "id").agg(F.count("*").alias("n")), "candidates")
+    groups = materialize(rows.groupBy("digest").agg(
+        F.min("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
+    # Rows equal in key and text come back one by one; the first of the smallest key stays.
+    shared = join_groups(rows, groups, "digest", "group_size").select(
+        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")).select(
+        "id", "keep_id", "group_size",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
+    out = alone.unionByName(shared)
     return out.select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
@@ -128,14 +120,10 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = docs.select(row.alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"),
                         text_sha256(text).alias("digest"))
     keys = materialize(whole.select("digest"), "digests")
-    filters, n_bitmaps = _filters(keys)
-    out = None
-    for i, cells in enumerate(filters):
-        part = whole if len(filters) == 1 else whole.filter(_slice("digest", len(filters)) == i)
-        tested = maybe_repeated(part, "digest", cells, n_bitmaps)
-        alone = tested.filter(~F.col("_maybe")).select("row")
-        first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "text")).alias("row")
-        kept = tested.filter("_maybe").groupBy("digest").agg(first).select("row")
-        part_out = alone.unionByName(kept)
-        out = part_out if out is None else out.unionByName(part_out)
-    return out.select("row.*")
+    n_bitmaps = filter_size(keys.count())
+    cells = materialize(repeated_cells(keys, "digest", n_bitmaps), "bloom")
+    tested = maybe_repeated(whole, "digest", cells, n_bitmaps, keys)
+    alone = tested.filter(~F.col("_maybe")).select("row")
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "text")).alias("row")
+    kept = tested.filter("_maybe").groupBy("digest").agg(first).select("row")
+    return alone.unionByName(kept).select("row.*")

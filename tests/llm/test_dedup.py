@@ -44,20 +44,39 @@ def test_empty_table(no_docs):
 def test_only_repeated_hashes_pass_the_filter(spark):
     keys = spark.range(5_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     twice = keys.unionByName(keys.limit(50))
-    n_slices, n_bitmaps = exact_dedup.filter_plan(5_050)
+    n_bitmaps = exact_dedup.filter_size(5_050)
     cells = exact_dedup.repeated_cells(twice, "digest", n_bitmaps)
     tested = exact_dedup.maybe_repeated(twice, "digest", cells, n_bitmaps)
     maybe = tested.filter("_maybe")
-    assert n_slices == 1
     assert maybe.groupBy("digest").count().filter("count > 1").count() == 50  # none is missed
     assert maybe.count() < 100 + 250  # few others
 
 
-def test_slices_of_the_hash_range_give_the_same(spark, docs, monkeypatch):
-    whole = sorted(map(str, exact_dedup.mark_duplicates(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "filter_plan", lambda n: (3, 1))
-    assert sorted(map(str, exact_dedup.mark_duplicates(docs).collect())) == whole
-    assert exact_dedup.drop_duplicates(docs).count() == 8
+def test_a_filter_too_large_to_broadcast_gives_the_same_with_two_scans(spark, docs, monkeypatch, tmp_path):
+    """Beyond the broadcast bound bitmaps meet rows in a shuffle; texts are still scanned twice."""
+    from inkprobe import params
+
+    copies = docs.unionByName(docs.filter("doc_id = 6").crossJoin(spark.range(40)).drop("id"))
+    copies.write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    whole = sorted(map(str, exact_dedup.mark_duplicates(table).collect()))
+    monkeypatch.setattr(params, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "filter_size", lambda n: 7)
+    assert sorted(map(str, exact_dedup.mark_duplicates(table).collect())) == whole
+    scans = []
+    stored = exact_dedup.materialize
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("text#"))
+        return stored(df, name)
+
+    monkeypatch.setattr(exact_dedup, "materialize", counted)
+    out = exact_dedup.drop_duplicates(table)
+    assert out.count() == 8
+    # One stage table reads texts (their digests); the result reads them once for either kind of row.
+    assert sum(n > 0 for n in scans) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(str(tmp_path / "docs")) + plan.count("Relation [doc_id") <= 2
 
 
 def test_hot_group_join(spark):
