@@ -45,7 +45,14 @@ PER_LANGUAGE = 400
 RIDGE = 1e-3
 SEED = 42
 SLICE_CHARS = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")  # letters, and signs of numbers such as a half
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter; signs of numbers are none."""
+    return any(m.group().isalpha() for m in _MAYBE.finditer(text)) if text else False
+
+
 _LUT = 1 << 16
 
 
@@ -119,7 +126,7 @@ def _kernel(held: np.ndarray, model_landmarks: np.ndarray, model_sizes: np.ndarr
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
     """A model of (language, text window) rows; None without rows."""
-    rows = [(lang, text) for lang, text in rows if text and _LETTER.search(text)]
+    rows = [(lang, text) for lang, text in rows if has_letter(text)]
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -166,7 +173,7 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if model is None:
         return names, scores
-    at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    at = [i for i, t in enumerate(texts) if has_letter(t)]
     start = 0
     while start < len(at):  # pieces of bounded size; a longer text is cut at windows below
         stop, size = start, 0
@@ -202,18 +209,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def window(batches):
         for batch in slices(batches):
-            langs, cut = [], []
-            for k, t, name in zip(*(c.to_pylist() for c in batch.columns)):
+            cut = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = -(-len(t or "") // WINDOW)
                 at = (zlib.crc32(str(k).encode()) % n) * WINDOW if n else 0
-                langs.append(name)
                 cut.append((t or "")[at:at + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cut, pa.string())],
-                                             names=["lang", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(cut, pa.string())], names=["key", "lang", "text"])
 
-    picked = F.broadcast(sample.select("key", "lang").distinct())  # per_language rows a language
+    picked = F.broadcast(sample)  # per_language keys a language
     rows = named.join(picked, ["key", "lang"]).select("key", "text", "lang")
-    found = rows.mapInArrow(window, "lang string, text string").collect()
+    kind = named.schema["key"].dataType.simpleString()
+    # One window of a key and language, however many rows repeat them.
+    found = rows.mapInArrow(window, f"key {kind}, lang string, text string").groupBy("key", "lang").agg(
+        F.min("text").alias("text")).collect()
     most: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["text"])):
         most.setdefault(r["lang"], []).append(r["text"])
@@ -237,6 +246,11 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; texts without a letter go."""
+    """The rows of ``docs``, all columns, whose language can be told; texts without a letter go.
+
+    Without a model, as where no row has a language to learn from, those with a letter stay.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    if model is None:
+        return whole.filter(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}"))).select("row.*")
     return identify(whole, model, "row").filter(F.col("lang_pred") != UNDETERMINED).select("row.*")

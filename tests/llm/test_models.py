@@ -128,3 +128,47 @@ def test_toxicity_of_odd_rows(spark, docs, no_docs):
 def test_folds_follow_the_checksum_of_the_key(spark):
     got = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", queries._fold(5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
+
+
+def test_number_signs_are_no_letters(spark):
+    assert not any(map(language.has_letter, (None, "", "½ ²", "Ⅷ ① 12", "__ 3_4")))
+    assert language.has_letter("½ x") and language.has_letter("日") and language.has_letter("3é")
+    rows = spark.createDataFrame([(1, "plain words here", "en"), (2, "½ ²", "en"), (3, "autres mots", "fr")],
+                                 "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(rows, language.train(rows)).collect()}
+    assert got[2] == "und" and got[1] == "en" and got[3] == "fr"
+
+
+def test_without_labels_the_language_stage_keeps_documents_with_letters(spark):
+    rows = spark.createDataFrame([(1, "some text", None), (2, "½ 12 !", None), (3, None, None), (4, "日本", None)],
+                                 "doc_id bigint, text string, lang string")
+    model = language.train(rows)
+    assert model is None
+    assert sorted(r.doc_id for r in language.keep_identified(rows, model).collect()) == [1, 4]
+
+
+def test_sample_takes_each_key_once_and_the_smallest_hashes(spark):
+    from inkprobe.llm.samples import per_class
+
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 0, id) AS key", "if(id % 100 = 0, 'rare', 'often') AS label")
+    got = per_class(rows, "key", "label", 50, 1).collect()
+    assert len(got) == len(set(got)) == 100
+    place = F.xxhash64(F.lit(1), "key")
+    want = {r.key for r in rows.filter("label = 'often'").distinct().orderBy(place).limit(50).collect()}
+    assert {r.key for r in got if r.label == "often"} == want
+
+
+def test_long_labelled_texts_are_learned_from_in_windows(spark):
+    rows = np.arange(4 * 30_000, dtype=np.uint32).reshape(-1, 4)
+    cut = toxicity.windowed(rows)
+    assert len(cut) == toxicity.MOST_WORDS and (cut[0] == rows[0]).all() and (cut[-1] == rows[-1]).all()
+    assert toxicity.windowed(rows[:2_000]) is not None and len(toxicity.windowed(rows[:2_000])) == 2_000
+    # Every labelled text is long, and one key is repeated.
+    texts = [(i, " ".join(["vile", "wicked", "nasty"][(i + j) % 3] if i % 2 and j % 3 == 0 else f"plain{(i * j) % 50}"
+                          for j in range(2_600))) for i in range(24)]
+    docs = spark.createDataFrame(texts + texts[:1] * 30, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id bigint, toxic int")
+    net = toxicity.train(docs, labels, None)
+    assert net is not None
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net, None).collect()}
+    assert min(got[i] for i in range(1, 24, 2)) > max(got[i] for i in range(0, 24, 2))
