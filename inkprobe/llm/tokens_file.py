@@ -24,26 +24,29 @@ table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkprobe.llm.text import slices
 from inkprobe.session import materialize, run_folder, shared_dir
 
 BLOCK_IDS = 8_192
 PERCENTILE = 95
 END_ID = 2
 MAX_READERS = 10_000
-MEMO_PARTS = 400_000  # of each of two generations
+MEMO_PARTS = 1_200_000  # parts that a worker remembers
+PIECE_BYTES = 8 << 20  # of text encoded at a time
 MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIBI")  # ids, smallest, width, exceptions
 _FOOT = struct.Struct("<QQQQQ8s")  # blocks, documents, ids, index offset, counts offset, magic
@@ -176,90 +179,137 @@ def read_document(source, number: int) -> np.ndarray:
 # ---------------------------------------------------------------- tokenizing
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, each distinct part encoded once."""
+    """Byte-level BPE ids of whole texts; each distinct part is encoded once and then copied by columns."""
 
-    def __init__(self, path: str):
+    def __init__(self, definition: bytes):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_str(definition.decode("utf-8"))
         self.model.encode_special_tokens = True
         blank = [i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]
         self.opens = np.zeros(self.model.get_vocab_size(), bool)
         self.opens[blank] = True
         self.dtype = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        # Parts used since the last turn, and those used in the turn before it.
-        self.memo: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Place of each part, after a blank or at the start of a text, in the arrays below.
+        self.places: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.n = self.used = 0
+        self.lengths = np.zeros(1 << 16, np.int64)  # -1: cutting there isn't safe
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, self.dtype)
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add parts of the given lengths, whose ids follow each other."""
+        while self.n + len(lengths) > len(self.lengths):
+            self.lengths, self.starts = np.resize(self.lengths, 2 * self.n), np.resize(self.starts, 2 * self.n)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        sizes = np.maximum(lengths, 0)
+        self.lengths[self.n:self.n + len(lengths)] = lengths
+        self.starts[self.n:self.n + len(lengths)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(lengths), self.used + len(ids)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Ids of " " + part for new parts; None where cutting there isn't safe."""
-        safe = []
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                self.memo[p] = None
-            else:
-                safe.append(p)
-        for i in range(0, len(safe), 1_000):
-            some = safe[i:i + 1_000]
+        """Ids of " " + part for new parts, or that cutting there isn't safe."""
+        unsafe = [p for p in parts if not p or p[0].isspace() or p[-1].isspace()]
+        if unsafe:
+            bad = set(unsafe)
+            parts = [p for p in parts if p not in bad]
+            self.places.update(zip(unsafe, range(self.n, self.n + len(unsafe))))
+            self._store(np.zeros(0, self.dtype), np.full(len(unsafe), -1))
+        for i in range(0, len(parts), 1_000):
+            some = parts[i:i + 1_000]
             ids = self.whole([" " + " ".join(some)])[0]
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some):  # a part holds an unusual blank: take these one by one
-                for p, own in zip(some, self.whole([" " + p for p in some])):
-                    self.memo[p] = own.tobytes()
-                continue
-            data = ids.tobytes()
-            size = ids.itemsize
-            ends = (size * np.append(cuts[1:], len(ids))).tolist()
-            for p, a, b in zip(some, (size * cuts).tolist(), ends):
-                self.memo[p] = data[a:b]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.partition(" ") for t in texts]
-        parts = [rest.split(" ") if blank else [] for _, blank, rest in cut]
-        needed = set().union(*parts)
-        if len(self.memo) > MEMO_PARTS:
-            self.memo, self.older = {}, self.memo
-        new = needed - self.memo.keys()
-        known = new & self.older.keys()
-        for part in known:
-            self.memo[part] = self.older[part]
-        self._learn(list(new - known))
-        heads = self.whole([head for head, _, _ in cut])
-        get = self.memo.__getitem__
-        out: list[np.ndarray | None] = []
-        odd = []
-        for i, ((head, blank, _), own, ids) in enumerate(zip(cut, parts, heads)):
-            if not blank:
-                out.append(ids)
-                continue
-            try:
-                rest = None if not head or head[-1].isspace() else b"".join(map(get, own))
-            except TypeError:  # a part that isn't safe
-                rest = None
-            if rest is None:
-                out.append(None)
-                odd.append(i)
-            else:
-                out.append(np.concatenate([ids, np.frombuffer(rest, self.dtype)]))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
+            if len(cuts) == len(some):
+                lengths = np.diff(np.append(cuts, len(ids)))
+            else:  # a part holds an unusual blank: take these one by one
+                each = self.whole([" " + p for p in some])
+                ids, lengths = np.concatenate(each), np.array([len(e) for e in each])
+            self.places.update(zip(some, range(self.n, self.n + len(some))))
+            self._store(ids, lengths)
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        each = self.whole(heads)
+        self.heads.update(zip(heads, range(self.n, self.n + len(heads))))
+        self._store(np.concatenate(each) if each else np.zeros(0, self.dtype),
+                    np.array([len(e) for e in each], np.int64))
+
+    def _looked_up(self, column: pa.Array, known: dict[str, int], learn) -> np.ndarray:
+        """Place of every part, by way of the distinct ones."""
+        coded = column.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            unknown = [distinct[i] for i in new.tolist()]
+            learn(unknown)
+            places[new] = [known[p] for p in unknown]
+        return places[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        if self.n > MEMO_PARTS:
+            self._forget()
+        split = pc.split_pattern(texts, " ")
+        parts, counts = split.flatten(), split.value_lengths().to_numpy()
+        ends = np.cumsum(counts)
+        first = ends - counts
+        places = self._looked_up(parts, self.places, self._learn)
+        single = counts == 1
+        heads = parts.take(pa.array(first))
+        head_places = self._looked_up(heads, self.heads, self._learn_heads)
+        # A first part that ends in a blank, or is one, joins what follows.
+        bad_head = (self.lengths[places[first]] < 0) & ~single
+        places[first] = head_places
+        lengths = self.lengths[places]
+        odd = (np.minimum.reduceat(lengths, first) < 0) | bad_head
+        sizes = np.maximum(lengths, 0)
+        stops = np.cumsum(sizes)
+        # One gather copies the ids of all parts one after the other.
+        at = np.repeat(self.starts[places] - (stops - sizes), sizes)
+        at += np.arange(len(at))
+        flat = self.ids[at]
+        stops = stops[ends - 1]
+        out = [flat[a:b] for a, b in zip(np.append(0, stops[:-1]).tolist(), stops.tolist())]
+        some = np.flatnonzero(odd).tolist()
+        for i, ids in zip(some, self.whole(texts.take(pa.array(some)).to_pylist()) if some else ()):
             out[i] = ids
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(definition: bytes) -> Encoder:
     """This worker's encoder; what it has learned serves later tasks as well."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    name = hashlib.sha256(definition).digest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(definition)
+    return _ENCODERS[name]
+
+
+def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches (key, text) into pieces of about ``most`` bytes of text; a longer text is one by itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
 
 
 # ------------------------------------------------------------------- on Spark
@@ -273,11 +323,14 @@ def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
 
 def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text",
           end_id: int = END_ID) -> DataFrame:
-    """Write id files in ascending key order; the stored manifest: part, path, n_docs, n_ids, base.
+    """Write id files in ascending key order; the stored manifest: part, path, n_docs, n_ids, base, key.
 
-    ``base`` counts the ids of all files before.
+    ``base`` counts the ids of all files before; ``key`` is null and carries the keys' type.
+    The tokenizer's file is read here and its content sent along.
     """
     folder = run_folder(docs.sparkSession, "ids")
+    with open(tokenizer_path, "rb") as source:
+        definition = docs.sparkSession.sparkContext.broadcast(source.read())
 
     def run(batches):
         from pyspark import TaskContext
@@ -289,12 +342,12 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         keys_name = name.replace(".bin", ".keys")
         encoder = None
         n_docs = n_ids = 0
-        for batch in slices(batches):
+        for batch in pieces(batches):
             if encoder is None:
-                encoder = encoder_of(tokenizer_path)
+                encoder = encoder_of(definition.value)
                 out, keys_out = system.open_output_stream(name), system.open_output_stream(keys_name)
                 writer, keys_file = FileWriter(out), pa.ipc.new_stream(keys_out, batch.select([0]).schema)
-            for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
+            for ids in encoder.encode(pc.fill_null(batch.column(1), "")):
                 writer.document(np.append(ids, np.uint32(end_id)).astype(np.uint32))
             keys_file.write_batch(batch.select([0]))
             n_docs += batch.num_rows
@@ -307,19 +360,21 @@ def write(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_pylist(
                 [{"part": part, "path": name, "keys_path": keys_name, "n_docs": n_docs, "n_ids": n_ids}])
 
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     # The text's hash lets equal keys spread over partitions.
     ordered = named.withColumn("_h", F.xxhash64("text")).repartitionByRange("key", "_h").sortWithinPartitions(
         "key", "_h").select("key", "text")
     made = materialize(ordered.mapInArrow(
         run, "part bigint, path string, keys_path string, n_docs bigint, n_ids bigint"), "id-manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
-    return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn(
+        "key", F.lit(None).cast(docs.select(F.col(f"`{key}`")).schema[0].dataType))
 
 
-def read(manifest: DataFrame, key: str = "doc_id", key_type: str = "bigint") -> DataFrame:
+def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read the files back: ``key``, start, n_tokens, ids_crc32 (ids as little-endian uint32)."""
     folder = shared_dir(manifest.sparkSession)
+    key_type = manifest.schema["key"].dataType.simpleString()
 
     def run(batches):
         system, _ = _file_system(folder)

@@ -123,7 +123,7 @@ def test_file_round_trip_and_random_access():
 
 
 def test_parts_give_the_ids_of_whole_texts(small_docs):
-    coder = tokens_file.Encoder(queries.BYTE_BPE)
+    coder = tokens_file.Encoder(open(queries.BYTE_BPE, "rb").read())
     texts = ODD + [r.text for r in small_docs.collect()]
     for part, whole in zip(coder.encode(texts), coder.whole(texts), strict=True):
         assert part.tolist() == whole.tolist()
@@ -132,7 +132,7 @@ def test_parts_give_the_ids_of_whole_texts(small_docs):
 def test_ids_on_spark_equal_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    coder = tokens_file.Encoder(queries.BYTE_BPE)
+    coder = tokens_file.Encoder(open(queries.BYTE_BPE, "rb").read())
     start = 0
     want = {}
     for k in sorted(docs):
@@ -154,6 +154,34 @@ def test_ids_of_odd_rows(docs, no_docs):
     assert tokens_file.read(tokens_file.write(no_docs, queries.BYTE_BPE)).count() == 0
 
 
+def test_ids_with_keys_of_any_type(spark, docs):
+    named = docs.selectExpr("concat('mmlu-', doc_id) AS `the key`", "text")
+    got = tokens_file.read(tokens_file.write(named, queries.BYTE_BPE, "the key"), "the key").collect()
+    assert len(got) == 12 and "mmlu-10" in {r["the key"] for r in got}
+    empty = named.limit(0)
+    assert tokens_file.read(tokens_file.write(empty, queries.BYTE_BPE, "the key"), "the key").columns[0] == "the key"
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch, small_docs):
+    monkeypatch.setattr(tokens_file, "MEMO_PARTS", 50)
+    coder = tokens_file.Encoder(open(queries.BYTE_BPE, "rb").read())
+    texts = ODD + [r.text for r in small_docs.limit(20).collect()]
+    for _ in range(3):
+        for i in range(0, len(texts), 7):
+            some = [t or "" for t in texts[i:i + 7]]
+            assert [e.tolist() for e in coder.encode(some)] == [e.tolist() for e in coder.whole(some)]
+    assert coder.encode([]) == []
+
+
+def test_pieces_are_cut_by_their_text():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6)), pa.array(["a" * 10, None, "b" * 50, "", "c" * 4, "d" * 4])], names=["key", "text"])
+    cut = [p.column(0).to_pylist() for p in tokens_file.pieces([batch, batch.slice(0, 0)], 20)]
+    assert sum(cut, []) == list(range(6)) and cut == [[0, 1, 2], [3, 4, 5]]
+
+
 # -------------------------------------------------------------------- shards
 
 def test_shards_are_gapless_and_even(spark, small_docs):
