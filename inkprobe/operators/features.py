@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,10 @@ from inkprobe import params
 from inkprobe.session import materialize, small
 
 
+LONGEST = 200_000  # values of a document in one row
+RANGES = 1_024
+
+
 def role() -> Column:
     return F.when(F.col("chunk_id") == F.col("fold"), "test").otherwise("train")
 
@@ -49,15 +54,106 @@ def agg_features(values: DataFrame, by: Sequence[str], value: str = "value") ->
     return values.groupBy(*by).agg(*_aggregates(F.col(value), "")).select(*by, *_named(""))
 
 
-def agg_features_folds(rows: DataFrame, by: Sequence[str], n_folds: int) -> DataFrame:
+def agg_features_folds(rows: DataFrame, by: Sequence[str], n_folds: int, longest: int = LONGEST) -> DataFrame:
     """:func:`agg_features` of the array ``values`` for all folds at once.
 
-    Tokens are shuffled once, whatever the number of folds.
+    Tokens are shuffled once, whatever the number of folds. Documents of more than
+    ``longest`` tokens, which one row should not hold, go through :func:`long_features`.
     """
+    by = list(by)
+    if "pos" in rows.columns:  # such documents have a token that far
+        long = rows.filter(F.col("pos") >= longest).select(*by).distinct()
+    else:
+        long = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > longest).select(*by)
+    long = materialize(long, "long_documents")
+    n_long = long.count()
+    short = rows if not n_long else rows.join(small(long, n_long), by, "left_anti")
     aggs = [a for f in range(n_folds) for a in _aggregates(F.col("values")[f], f"_{f}")]
-    wide = rows.groupBy(*by).agg(*aggs)
+    wide = short.groupBy(*by).agg(*aggs)
     folds = F.array(*[F.struct(F.lit(f).alias("fold"), *_named(f"_{f}")) for f in range(n_folds)])
-    return wide.select(*by, F.explode(folds).alias("_f")).select(*by, "_f.*")
+    found = wide.select(*by, F.explode(folds).alias("_f")).select(*by, "_f.*")
+    if not n_long:
+        return found
+    each = rows.join(small(long, n_long), by).select(*by, F.posexplode("values").alias("fold", "value"))
+    return found.unionByName(long_features(each, [*by, "fold"], longest).select(*found.columns))
+
+
+def _ranks(n: Column) -> Column:
+    """The ranks, from 0, that the percentiles of ``n`` sorted values read."""
+    last = n - 1
+    low = [F.floor(last * F.lit(p / 100)).cast("bigint") for p in params.PERCENTILES]
+    return F.array_distinct(F.array(*low, *[F.least(r + 1, last) for r in low]))
+
+
+def values_at_ranks(values: DataFrame, by: Sequence[str], wanted: DataFrame, fits: int) -> DataFrame:
+    """``(*by, rank, value)``: the value at each wanted rank (from 0) of a group's sorted values.
+
+    Exact without sorting a group: its value range is cut in ``RANGES`` parts, whose
+    counts tell which part holds a rank. Parts that hold none drop out; of the
+    others, one that is a single value is settled, one of at most ``fits`` values is sorted, and the
+    rest is cut again. ``values`` (*by, value) have no NULL.
+    """
+    by = list(by)
+    keys = [*by, "part"]
+    rows = materialize(values.select(*by, F.lit("").alias("part"), "value"), "ranked_values")
+    open_parts = materialize(rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn(
+        "before", F.lit(0).cast("bigint")), "value_ranges")
+    settled = []
+    while True:
+        inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+        asked = materialize(open_parts.join(wanted, by).filter(inside), "asked_ranks")
+        flat = F.col("lo") == F.col("hi")
+        settled.append(asked.filter(flat).select(*by, "rank", F.col("lo").alias("value")))
+        sorted_now = asked.filter(~flat & (F.col("n") <= fits))
+        packed = rows.join(sorted_now.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
+            F.sort_array(F.collect_list("value")).alias("_v"))  # at most ``fits`` values a part
+        settled.append(sorted_now.join(packed, keys).select(
+            *by, "rank", F.get("_v", (F.col("rank") - F.col("before")).cast("int")).alias("value")))
+        cut = materialize(asked.filter(~flat & (F.col("n") > fits)).select(
+            *keys, "lo", "hi", "before").distinct(), "cut_ranges")
+        n_cut = cut.count()
+        if not n_cut:
+            return reduce(DataFrame.unionByName, settled)
+        # Halved, so that no difference overflows; where it vanishes, the largest value parts from the rest.
+        half = lambda c: F.col(c) * 0.5
+        share = F.coalesce(F.try_divide(half("value") - half("lo"), half("hi") - half("lo")),
+                           F.when(F.col("value") >= F.col("hi"), 1.0).otherwise(0.0))
+        # Never falls as the value rises; the smallest value lands first and the largest last.
+        place = F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int")
+        rows = materialize(rows.select(*keys, "value").join(small(cut, n_cut), keys).select(
+            *by, F.concat_ws(".", "part", place.cast("string")).alias("part"), F.col("part").alias("_from"),
+            place.alias("_place"), "before", "value"), "ranked_values")
+        counted = rows.groupBy(*keys, "_from", "_place").agg(
+            F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("before").alias("before"))
+        earlier = W.partitionBy(*by, "_from").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+        open_parts = materialize(counted.withColumn(
+            "before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(
+            *keys, "n", "lo", "hi", "before"), "value_ranges")
+
+
+def long_features(values: DataFrame, by: Sequence[str], fits: int = LONGEST, value: str = "value") -> DataFrame:
+    """:func:`agg_features` of groups too long for one row; exact, and no row holds more than ``fits`` values."""
+    by = list(by)
+    x = F.col(value)
+    known = materialize(values.select(*by, x.alias("value")).filter("value IS NOT NULL"), "long_values")
+    facts = materialize(known.groupBy(*by).agg(
+        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.stddev_pop("value").alias("std"), F.count("value").alias("_n")), "long_facts")
+    wanted = materialize(facts.select(*by, F.explode(_ranks(F.col("_n"))).alias("rank")), "wanted_ranks")
+    found = values_at_ranks(known, by, wanted, fits).groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
+
+    def percentile(p: int) -> Column:
+        at = (F.col("_n") - 1) * F.lit(p / 100)
+        low = F.floor(at).cast("bigint")
+        a = F.try_element_at("_at", low)
+        b = F.try_element_at("_at", F.least(low + 1, F.col("_n") - 1))
+        return (a + (b - a) * (at - low)).alias(f"perc_{p}")
+
+    return facts.join(found, by).select(
+        *by, "mean", "min", "max", "std", F.col("_n").cast("double").alias("count"),
+        *[percentile(p) for p in params.PERCENTILES])
 
 
 def hist_edges(train: DataFrame, k: int, by: Sequence[str] = ("fold",), value: str = "value") -> DataFrame:
@@ -199,7 +295,8 @@ def extract_scaled(rows: DataFrame, kind: str, n_folds: int = params.N_CHUNKS) -
     k = feature_kind(kind)
     local = rows.select(*doc, "values").repartition("doc_id")
     if k is None:
-        table = materialize(agg_features_folds(local, doc, n_folds), "features").withColumn("role", role())
+        table = materialize(agg_features_folds(rows.select(*doc, *(["pos"] if "pos" in rows.columns else []), "values"),
+                                               doc, n_folds), "features").withColumn("role", role())
         scaled = scale_columns(table, params.AGG_FEATURES, n_folds)
         return scaled.select(*by, "role", F.array(*params.AGG_FEATURES).alias("x"))
     edges = materialize(hist_edges_folds(rows, k, n_folds), "edges")

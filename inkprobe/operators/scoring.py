@@ -164,7 +164,7 @@ def top_unigrams(model: CountModel, k: int, pool: str | None = None) -> Column:
         t["token_id"].alias("token_id"), (-t["neg"]).alias("p")))).scalar()
 
 
-def _next_probs(model: CountModel, pool: str, terms: DataFrame | None = None) -> DataFrame:
+def next_probs(model: CountModel, pool: str, terms: DataFrame | None = None) -> DataFrame:
     """(*ctx, token_id, keep, p) of the pairs seen in training."""
     ctx = list(model.ctx)
     terms = (model.terms if terms is None else terms).select(*ctx, "token_id", f"b_{pool}")
@@ -187,7 +187,7 @@ def top_lists(model: CountModel, k: int = params.TOP_K, pool: str | None = None,
     pool = pool or model.pools[0]
     ctx = list(model.ctx)
     terms = None if asked is None else model.terms.join(asked.select(*ctx), ctx, "left_semi")
-    scored = _next_probs(model, pool, terms)
+    scored = next_probs(model, pool, terms)
     order = W.partitionBy(*ctx).orderBy(F.desc("p"), "token_id")
     cut = scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     packed = cut.groupBy(*ctx).agg(
@@ -226,7 +226,7 @@ def max_probs(model: CountModel, pool: str | None = None) -> tuple[DataFrame, Co
     """
     pool = pool or model.pools[0]
     top_u = model.unigrams.agg(F.max(f"u_{pool}")).scalar()
-    best = _next_probs(model, pool).groupBy(*model.ctx).agg(F.max("p").alias("_seen"), F.max("keep").alias("_keep"))
+    best = next_probs(model, pool).groupBy(*model.ctx).agg(F.max("p").alias("_seen"), F.max("keep").alias("_keep"))
     best = best.withColumn("_top_u", top_u).select(
         *model.ctx, F.greatest("_seen", F.col("_keep") * F.col("_top_u")).alias("max_p"))
     return materialize(best, "max_probs"), top_u

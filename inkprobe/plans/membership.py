@@ -127,7 +127,7 @@ def grid_features(data: ChunkedScores, specs: Mapping[str, tuple[str, str, str]]
     for norm_type, norm_table, _ in specs.values():
         if (norm_type, norm_table) not in shared:
             shared[norm_type, norm_table] = materialize(
-                fold_arrays(data, norm_type, norm_table).drop("pos"), "fold_values")
+                fold_arrays(data, norm_type, norm_table), "fold_values")
     path = run_folder(data.scores.sparkSession, "grid_features")
 
     def write(name: str) -> None:

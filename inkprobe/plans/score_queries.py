@@ -643,6 +643,53 @@ def swaps(spark, d):
     return nb.candidates(positions, triples), ready
 
 
+# How many positions have a context that training never saw.
+@query("i1_context_shares", """
+  SELECT g.c IS NOT NULL AS seen, count(*) AS contexts, sum(n)::BIGINT AS positions
+  FROM (SELECT prev, next, count(*) AS n FROM n_pos WHERE pos > begin GROUP BY prev, next)
+  LEFT JOIN g_ctx g USING (prev, next) GROUP BY 1""", ["n_pos", "g_ctx"])
+def i1_shares(spark, d):
+    ready = prepare(spark, d, with_next=True)
+    masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()}, ctx=("prev", "next"), store=True)
+    return nb.context_shares(nb.swap_positions(ready.tokens), masked)
+
+
+# Candidates between two tokens that were never seen around one: the tokens of highest
+# p(t | prev) p(next | t). The SQL multiplies out every token of either list.
+block("n_unseen", ["n_trip", "g_ctx"], """
+  SELECT DISTINCT prev, next FROM n_trip ANTI JOIN g_ctx USING (prev, next) WHERE next <> %d""" % params.EOS)
+block("n_common", ["m_uni", "m_ctx"], f"""
+  SELECT token_id FROM m_uni LEFT JOIN (SELECT prev AS token_id, keep FROM m_ctx) USING (token_id)
+  ORDER BY u * coalesce(keep, 1.0) DESC, token_id LIMIT {params.TOP_K}""")
+block("n_bridge", ["n_unseen", "n_common", "m_terms", "m_ctx", "m_uni"], f"""
+  SELECT prev, next, t, p FROM (
+    SELECT prev, next, t, p, row_number() OVER (PARTITION BY prev, next ORDER BY p DESC, t) AS r FROM (
+      SELECT e.prev, e.next, e.t,
+             (coalesce(a.b, 0) + coalesce(cp.keep, 1.0) * ut.u) * (coalesce(z.b, 0) + coalesce(ct.keep, 1.0) * un.u) AS p
+      FROM (SELECT prev, next, token_id AS t FROM n_unseen JOIN m_terms USING (prev)
+            UNION SELECT n.prev, n.next, m.prev FROM n_unseen n JOIN m_terms m ON m.token_id = n.next
+            UNION SELECT prev, next, token_id FROM n_unseen, n_common) e
+      LEFT JOIN m_terms a ON a.prev = e.prev AND a.token_id = e.t
+      LEFT JOIN m_terms z ON z.prev = e.t AND z.token_id = e.next
+      LEFT JOIN m_ctx cp ON cp.prev = e.prev LEFT JOIN m_ctx ct ON ct.prev = e.t
+      JOIN m_uni ut ON ut.token_id = e.t JOIN m_uni un ON un.token_id = e.next))
+  WHERE r <= {params.TOP_K}""")
+
+
+@query("i1_bridge_candidates", """
+  SELECT prev::INTEGER AS prev, next::INTEGER AS next, count(*) AS n, sum(t)::BIGINT AS id_sum,
+         round(max(p), 12) AS best FROM n_bridge GROUP BY prev, next""", ["n_bridge"])
+def i1_bridge(spark, d):
+    ready = prepare(spark, d, with_next=True)
+    masked = sc.train(ready.tokens, ready.vocab, {"target": is_member()}, ctx=("prev", "next"), store=True)
+    asked = nb.swap_positions(ready.tokens).filter(F.col("next") != params.EOS).select("prev", "next").distinct()
+    unseen = materialize(asked.join(masked.contexts, ["prev", "next"], "left_anti"), "unseen_contexts")
+    lists = nb.bridge_lists(unseen, ready.model)
+    return lists.select("prev", "next", F.size("top").cast("bigint").alias("n"),
+                        F.aggregate("top", F.lit(0).cast("bigint"), lambda s, t: s + t["token_id"]).alias("id_sum"),
+                        F.round(F.element_at("top", 1)["p"], 12).alias("best"))
+
+
 def all_windows(spark, d):
     return tk.sequence_windows(tk.doc_lengths(documents(spark, d))).select("doc_id", "begin")
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkprobe import params
 from inkprobe.operators import evaluate as ev
 from inkprobe.operators import features as ft
 from inkprobe.operators import normalise as nm
@@ -128,3 +129,40 @@ def test_fit_validate(spark):
     assert len(metrics) == 6 and all(r["train_auc"] > 0.9 for r in metrics)
     with pytest.raises(ValueError):
         ev.model_list("svm")
+
+
+def _same_features(got, by, docs):
+    for r in got.collect():
+        v = np.array(docs[tuple(r[c] for c in by)])
+        want = [v.mean(), v.min(), v.max(), v.std(), len(v), *np.percentile(v, [1, 5, 10, 25, 50, 75, 90, 95, 99])]
+        assert [r[c] for c in ("mean", "min", "max", "std", "count", *[f"perc_{p}" for p in params.PERCENTILES])] == (
+            pytest.approx(want, rel=1e-9, abs=1e-12))
+
+
+def test_long_documents_have_the_same_features_without_arrays_of_all_values(spark):
+    rng = np.random.default_rng(6)
+    docs = {1: rng.normal(size=3_000), 2: np.repeat([1.0, 2.0, 5.0], 700),      # heavy ties
+            3: np.exp(rng.normal(size=2_500) * 12), 4: rng.normal(size=20),     # many sizes; short
+            5: np.append(np.full(2_000, 0.25), [5e-324, 1e-323, 9e15]), 6: np.array([3.0])}
+    rows = spark.createDataFrame(
+        [(d, d % 2, 1, p, [float(v), float(-v)]) for d, vs in docs.items() for p, v in enumerate(vs)],
+        "doc_id int, chunk_id int, label int, pos int, values array<double>").repartition(5)
+    by = ["doc_id", "chunk_id", "label"]
+    both = {(d, f): vs if f == 0 else -vs for d, vs in docs.items() for f in (0, 1)}
+    for table in (rows, rows.drop("pos")):
+        got = ft.agg_features_folds(table, by, 2, longest=64)
+        assert got.count() == 2 * len(docs)
+        _same_features(got, ["doc_id", "fold"], both)
+    assert sorted(map(str, ft.agg_features_folds(rows, by, 2).select("doc_id", "fold", "perc_50").collect())) == sorted(
+        map(str, ft.agg_features_folds(rows, by, 2, longest=64).select("doc_id", "fold", "perc_50").collect()))
+
+
+def test_a_document_of_ten_million_values(spark):
+    n = 10_000_000
+    rows = spark.range(n, numPartitions=8).selectExpr(
+        "1 AS doc_id", "0 AS chunk_id", "1 AS label", "cast(id AS int) AS pos",
+        f"array(cast((id * 7919) % {n} AS double)) AS values")  # every number below n once
+    got = ft.agg_features_folds(rows, ["doc_id", "chunk_id", "label"], 1).collect()
+    assert len(got) == 1 and got[0]["count"] == n and got[0]["max"] == n - 1
+    for p in params.PERCENTILES:
+        assert got[0][f"perc_{p}"] == pytest.approx((n - 1) * p / 100)

@@ -250,3 +250,41 @@ def test_score_intake(spark):
     assert sc.from_token_scores(df).columns == ["doc_id", "pos", "token_id", "nll", "top", "extra"]
     with pytest.raises(ValueError, match="nll"):
         sc.from_token_scores(df.drop("nll"))
+
+
+@pytest.mark.parametrize("first_depth", [1, 3, 32])
+def test_bridge_lists_equal_the_whole_product(spark, small, first_depth):
+    """The k best tokens between two, against p(t | prev) p(next | t) of every token of the vocabulary."""
+    _, vocab, tokens, model = small
+    _, types, p = brute([r["token_id"] for r in vocab.collect()], tokens)
+    asked = [(a, b) for a in [*types, 1, 500] for b in types]
+    table = spark.createDataFrame(asked, "prev int, next int")
+    for k in (1, 4):
+        got = {(r["prev"], r["next"]): r["top"] for r in nb.bridge_lists(table, model, k, first_depth).collect()}
+        assert len(got) == len(asked)
+        for (a, b), top in got.items():
+            every = {t: p(a, t) * p(t, b) for t in types}
+            assert [x["p"] for x in top] == pytest.approx(sorted(every.values(), reverse=True)[:k], rel=1e-12)
+            assert all(every[x["token_id"]] == pytest.approx(x["p"], rel=1e-12) for x in top)
+            assert len({x["token_id"] for x in top}) == k
+
+
+def test_unseen_contexts_take_bridged_candidates(small):
+    _, vocab, tokens, model = small
+    masked = sc.train(tokens, vocab, {"target": F.col("member")}, ctx=("prev", "next"))
+    positions = nb.swap_positions(tokens)
+    shares = {r["seen"]: r for r in nb.context_shares(positions, masked).collect()}
+    asked = positions.groupBy("prev", "next").count()
+    assert sum(r["positions"] for r in shares.values()) == positions.count()
+    assert sum(r["contexts"] for r in shares.values()) == asked.count() and shares[False]["contexts"] > 0
+    seen = {(r["prev"], r["next"]) for r in masked.contexts.collect()}
+    plain, bridged = ({(r["prev"], r["token_id"], r["next"]): r["options"] for r in nb.triple_options(
+        positions, masked, model, 4, bridge=b).collect()} for b in (None, model))
+    tops = {(r["prev"], r["next"]): [t["token_id"] for t in r["top"]] for r in nb.bridge_lists(
+        asked.select("prev", "next").filter("next <> 2"), model, 4).collect()}
+    assert plain.keys() == bridged.keys()
+    for (a, t, b), options in bridged.items():
+        if (a, b) in seen or b == 2:
+            assert options == plain[a, t, b]
+        else:
+            assert [o["token_id"] for o in options] == [x for x in tops[a, b] if x != t]
