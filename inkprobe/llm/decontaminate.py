@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkprobe.llm.text import as_bytes, slices, words
 from inkprobe.session import materialize
@@ -105,15 +106,20 @@ def _pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFram
                     if piece:
                         rows.append((key, b" ".join(piece), len(piece)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.binary()),
                  pa.array([r[2] for r in rows], pa.int64())], names=["item", "words", "n"])
 
-    named = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("words"))
-    return named.mapInArrow(run, "item bigint, words binary, n bigint")
+    named = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("words"))
+    kind = named.schema["item"].dataType.simpleString()
+    return named.mapInArrow(run, f"item {kind}, words binary, n bigint")
 
 
-def _scan(docs: DataFrame, pieces: list[tuple[int | None, bytes]], window: int) -> DataFrame:
-    """Add what the windows of one block of pieces find to each row of ``docs`` (``row``, ``text``)."""
+def _scan(docs: DataFrame, pieces: list[tuple[object, bytes]], window: int, kind: T.DataType) -> DataFrame:
+    """Add what the windows of one block of pieces find to each row of ``docs`` (``row``, ``text``).
+
+    ``kind`` is the type of the item ids.
+    """
+    id_type = to_arrow_type(kind)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
@@ -122,7 +128,7 @@ def _scan(docs: DataFrame, pieces: list[tuple[int | None, bytes]], window: int)
             counts, hits, items, spans = [], [], [], []
             for data in as_bytes(batch.column(1)):
                 text = words(data)
-                seen: set[int | None] = set()
+                seen: set[object] = set()
                 found: list[tuple[int, int]] = []
                 for table in tables:
                     for start, at in table.find(text):
@@ -135,10 +141,11 @@ def _scan(docs: DataFrame, pieces: list[tuple[int | None, bytes]], window: int)
                 spans.append([{"lo": lo, "hi": hi} for lo, hi in merged])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()),
-                 pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)],
+                 pa.array(items, pa.list_(id_type)), pa.array(spans, _SPANS)],
                 names=["row", "n_words", "n_hit", "items", "spans"])
 
-    out = T.StructType([T.StructField("row", docs.schema["row"].dataType), *T.StructType.fromDDL(FOUND)])
+    found = [T.StructField("items", T.ArrayType(kind)) if f.name == "items" else f for f in T.StructType.fromDDL(FOUND)]
+    out = T.StructType([T.StructField("row", docs.schema["row"].dataType), *found])
     return docs.select("row", "text").mapInArrow(run, out)
 
 
@@ -165,10 +172,11 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     pieces = materialize(_pieces(benchmark, item, item_text, window), "benchmark-pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
+    kind = pieces.schema["item"].dataType
     if n_blocks == 1:
         rows = [(r["item"], bytes(r["words"])) for r in pieces.collect()]
         named = docs.select(F.col(key).alias("row"), F.col(text).alias("text"))
-        return _scan(named, rows, window).withColumnRenamed("row", key)
+        return _scan(named, rows, window, kind).withColumnRenamed("row", key)
     # A row number ties the passes together; it is stored, so every pass sees the same.
     numbered = materialize(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")),
@@ -178,7 +186,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for i in range(n_blocks):
         rows = [(r["item"], bytes(r["words"])) for r in pieces.filter(block == i).collect()]
         # Rows without a hit matter once, for their number of words.
-        found = _scan(numbered, rows, window).filter((F.col("n_hit") > 0) | F.lit(i == 0))
+        found = _scan(numbered, rows, window, kind).filter((F.col("n_hit") > 0) | F.lit(i == 0))
         found = materialize(found, "found")
         parts = found if parts is None else parts.unionByName(found)
     whole = numbered.select("row", "key").join(_overlay(parts), "row")

@@ -291,8 +291,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]], removed: set[int]) ->
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and sanitised text of every row; ``key`` must be unique."""
+def sanitise(docs: DataFrame, found: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and sanitised text of every row, one row each.
+
+    Rows are told apart by a stored number, so null and repeated keys do no harm.
+    ``found``, what :func:`find` said of the same rows, saves the search; its keys must
+    then be unique, one null key included.
+    """
     def run(batches):
         for batch in slices(batches):
             out = []
@@ -302,7 +307,14 @@ def sanitise(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    spans = found.select(F.col(key).alias("key"), "spans", "removed")
-    joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(spans, "key", "left")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    if found is None:
+        rows = materialize(rows.select("*", F.monotonically_increasing_id().alias("number")), "numbered")
+        spans = find(rows.select(F.col("number").alias("_of"), "text"), "_of", "text")
+        same = F.col("number") == F.col("_of")
+    else:
+        spans = found.withColumnRenamed(key, "_of")
+        same = F.col("key").eqNullSafe(F.col("_of"))
+    joined = rows.join(spans.select("_of", "spans", "removed"), same, "left")
     return joined.select("key", "text", "spans", "removed").mapInArrow(
         run, f"key {kind}, text string").withColumnRenamed("key", key)

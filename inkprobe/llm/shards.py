@@ -45,7 +45,7 @@ def shuffled_buckets(docs: DataFrame, text: str = "text", seed: int = SEED,
         F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(n_buckets)).cast("int").alias("bucket"), "number", "rec")
     # A fixed number of partitions and a fixed order inside them make the shuffle repeatable.
     gathered = (
-        scattered.repartition(n_buckets, "bucket").groupBy("bucket")
+        scattered.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
         .agg(F.array_sort(F.collect_list(F.struct("number", "rec")),
                           lambda a, b: F.when(a["number"] < b["number"], -1)
                           .when(a["number"] > b["number"], 1).otherwise(0)).alias("recs"))

@@ -10,7 +10,8 @@ copies share one fingerprint and never form pairs.
 Defined results: texts without words (null, empty, blank) have fingerprint zero
 and link like any other; a text with fewer words than a shingle is one shingle;
 repeated rows give one row each; a null key never names a component unless all
-keys of it are null; an empty table gives no rows.
+keys of it are null; dropping near copies leaves one row of each component, also
+where keys are null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,28 +101,48 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _heads(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, head, n) of stored rows (key, number, fp): the first row of each fingerprint's component.
+
+    Rows come by key, null last, then by number. A component may hold most fingerprints, so its head
+    reaches them by :func:`join_groups`.
+    """
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "number")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "distinct")
+    roots = components(links(distinct.select("fp"), radius))
+    rooted = materialize(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    heads = materialize(rooted.groupBy("root").agg(
+        F.min("first").alias("head"), F.count("*").alias("size")), "heads")
+    return materialize(join_groups(rooted, heads, "root", "size").select("fp", "head", "n"), "component-names")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
     """One row per row: ``key``, fp and component_id, the smallest key reachable over links."""
-    rows = materialize(fingerprints(docs, key, text, shingle).select(F.col(key).alias("key"), "fp"), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(heads, "root").select("fp", "component_id", "n"), "component-names")
-    return join_groups(rows, named, "fp", "n").select(F.col("key").alias(key), "fp", "component_id")
+    found = fingerprints(docs, key, text, shingle).select(
+        F.col(key).alias("key"), F.monotonically_increasing_id().alias("number"), "fp")
+    rows = materialize(found, "fingerprints")
+    return join_groups(rows, _heads(rows, radius), "fp", "n").select(
+        F.col("key").alias(key), "fp", F.col("head.key").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                          radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose key names their component.
+    """The first row of each component, all columns.
 
-    Rows that share a key stay or go together, and stay if one of them names a component; a component whose
-    keys are all null stays whole.
+    Rows come by key, then in the order they are read; a row without a key stays
+    only where its component has no key at all, and of rows that share a key each goes by its own text.
     """
-    found = near_duplicates(docs, key, text, shingle, radius)
-    found = materialize(found.select(F.col(key).alias("_gone"), "component_id"), "near-duplicates")  # read twice
-    heads = found.filter("_gone = component_id").select("_gone").distinct()
-    gone = found.filter("_gone <> component_id").select("_gone").distinct().join(heads, "_gone", "left_anti")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    if not docs.columns:
+        return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row's number ties its fingerprint to it, whatever the keys; it is stored, so both readings agree.
+    stored = materialize(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    named = stored.select("number", F.col("row").getField(text).alias("text"))
+    keys = stored.select("number", F.col("row").getField(key).alias("key"))
+    found = materialize(fingerprints(named, "number", "text", shingle), "fingerprints")
+    rows = materialize(found.join(keys, "number").select("key", "number", "fp"), "keyed-fingerprints")
+    gone = join_groups(rows, _heads(rows, radius), "fp", "n").filter(
+        F.col("number") != F.col("head.number")).select("number")
+    return stored.join(gone, "number", "left_anti").select("row.*")

@@ -163,10 +163,11 @@ def test_texts_without_words_link_and_repeated_rows_stay(docs):
     assert any(r.doc_id is None for r in kept)
 
 
-def test_a_key_that_names_a_component_stays_whole(spark):
+def test_rows_of_one_key_go_by_their_own_text(spark):
+    """One document of each group stays: the copy of 3 goes, though its key heads a group of its own."""
     a, b = "one text of its own here", "another text with other words in it"
     rows = spark.createDataFrame([(3, b), (7, a), (7, b)], "doc_id bigint, text string")
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == [3, 7, 7]
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(rows).collect()) == [(3, b), (7, a)]
 
 
 def test_chain_settles(spark):
@@ -180,3 +181,18 @@ def test_odd_radius_is_refused(spark):
 
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 3)
+
+
+def test_one_row_of_each_component_stays_also_without_keys(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    near = text + " word200"
+    rows = [(None, text, "a"), (None, near, "b"), (3, text, "c"), (3, "another thing altogether", "d"), (2, text, "e"),
+            (None, "no key at all here", "f"), (None, "no key at all here", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a b` string").repartition(3)
+    fps = {r.fp for r in simhash.fingerprints(docs.filter("`a b` IN ('a', 'b')")).collect()}
+    linked = bin(min(fps) ^ max(fps)).count("1") <= 2
+    kept = sorted(r["a b"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert [k for k in kept if k not in "fg"] == (["d", "e"] if linked else ["b", "d", "e"])
+    assert sum(k in "fg" for k in kept) == 1
+    names = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert (2, 2) in names and (3, 2) in names and (None, 2) in names and (None, None) in names

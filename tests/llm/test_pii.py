@@ -137,3 +137,11 @@ def test_terms_do_not_depend_on_what_stands_before(spark):
     got = _terms(_with_filler(spark, [*near, far], 4_000))
     assert all(got[i] == {"Quillon", "Zorvex"} for i in range(len(near)))
     assert got[len(near)] == set()
+
+
+def test_rows_with_null_or_repeated_keys_are_redacted_one_by_one(spark):
+    rows = [(None, "mail a.b@c.org now"), (None, "ip 10.0.0.1"), (4, "card"), (4, "to x@y.de"), (4, "to x@y.de"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in pii.sanitise(docs).collect())
+    assert len(got) == 6 and not any("@" in t or "10.0" in t for _, t in got)
+    assert [t.count("[EMAIL]") for k, t in got if k == 4] == [0, 1, 1]

@@ -118,3 +118,21 @@ def test_winnowing_keeps_the_last_least_of_each_window():
         w = min(licenses.WINNOW, n)
         want = sorted({max(range(i, i + w), key=lambda j: (-int(hashes[j]), j)) for i in range(n - w + 1)})
         assert licenses.winnow(hashes).tolist() == want
+
+
+def test_item_ids_keep_their_own_type(spark):
+    from pyspark.sql import functions as F
+
+    from inkprobe.llm import decontaminate
+
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing here")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("mmlu-1", " ".join(words[:14])), ("arc-10", " ".join(words[5:25])), (None, "w1 w2")],
+                                  "item_id string, text string")
+    for block_words in (10_000, 15):
+        got = decontaminate.search(docs, bench, block_words=block_words).withColumn("h", decontaminate.items_digest())
+        rows = {r.doc_id: r for r in got.collect()}
+        assert sorted(rows[1]["items"]) == ["arc-10", "mmlu-1"] and rows[2]["items"] == []
+        import hashlib
+        assert rows[1].h == hashlib.sha256(b"arc-10,mmlu-1").hexdigest()
+    assert got.schema["items"].dataType.elementType.typeName() == "string"
