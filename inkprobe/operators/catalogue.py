@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprobe.session import materialize
+
+NAMES_PER_BLOCK = 50_000
+
 # Names of the catalogue's elements and link texts.
 RECORD_ID = "bibrec"
 LANGUAGE_PROPERTY = "dcterms:language"
@@ -158,6 +165,46 @@ def name_contains(df: DataFrame, query: str | Sequence[str], col: str = "name")
     return df.filter(hit)
 
 
+def _finder(words: Broadcast) -> Callable:
+    """A condition on lower-cased names: whether any of ``words`` stands in them, in one walk over each name."""
+    @F.pandas_udf("boolean")
+    def found(names: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        search = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in words.value:
+            search.add_word(w)
+        search.make_automaton()
+        return names.map(lambda name: name is not None and next(search.iter(name), None) is not None)
+
+    return found
+
+
+def name_contains_any(df: DataFrame, queries: DataFrame, key: str, col: str = "name", query: str = "query",
+                      per_block: int = NAMES_PER_BLOCK) -> DataFrame:
+    """Rows whose name contains any of many queries, ignoring case.
+
+    Queries go into Aho-Corasick automata of about ``per_block`` of them, which bounds what a
+    task holds; each walks over every name once. NULL and empty queries match nothing. Rows
+    that share a ``key`` are judged together where there are several blocks.
+    """
+    words = materialize(queries.select(F.lower(query).alias("w")).filter("w <> ''").distinct(), "queries")
+    n_blocks = max(1, -(-words.count() // per_block))
+    block = F.pmod(F.xxhash64("w"), F.lit(n_blocks))
+    spark, hits = df.sparkSession, []
+    for i in range(n_blocks):
+        held = [r["w"] for r in words.filter(block == i).collect()]  # one block
+        if not held:
+            continue
+        found = _finder(spark.sparkContext.broadcast(held))(F.lower(col))
+        if n_blocks == 1:
+            return df.filter(found)
+        hits.append(materialize(df.filter(found).select(key), "hits"))
+    if not hits:
+        return df.limit(0)
+    return df.join(reduce(DataFrame.unionByName, hits).distinct(), key, "left_semi")
+
+
 def skip_collected(df: DataFrame, have: DataFrame, title: str = "title", name: str = "name") -> DataFrame:
     """Titles not collected yet.
 

@@ -105,6 +105,14 @@ def split_chunks(members: DataFrame, non_members: DataFrame, n_chunks: int = par
         "label")
 
 
+def dated_chunks(members: DataFrame, non_members: DataFrame, member_date: str = "publication_date",
+                 non_member_date: str = "original_publication", lo: int = params.YEAR_LO, hi: int = params.YEAR_HI,
+                 cap: int | None = None, seed: int = params.SEED, **chunking) -> DataFrame:
+    """:func:`split_chunks` of the documents of either class whose own date column has a year in [lo, hi]."""
+    return split_chunks(filter_year(members, member_date, lo, hi, cap, seed),
+                        filter_year(non_members, non_member_date, lo, hi, cap, seed), seed=seed, **chunking)
+
+
 def random_split(df: DataFrame, test: float = params.TEST_SHARE, seed: int = params.SEED,
                  key: str = "doc_id") -> DataFrame:
     """Add ``role``; the first ceil(test * n) rows in seeded hash order are 'test'.

@@ -238,6 +238,18 @@ def b11(spark, d):
     return sp_names(spark, d).select("doc_id")
 
 
+# Many names at once: the first two words of every benchmark text.
+@query("b11_any_of_many", """
+  SELECT doc_id FROM documents d WHERE EXISTS (
+    SELECT 1 FROM (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+')) AS q FROM benchmark)
+    WHERE q <> '' AND contains(lower(d.text), q))""")
+def b11_many(spark, d):
+    docs = corpora.table(spark, d, "documents").select("doc_id", F.col("text").alias("name"))
+    asked = corpora.table(spark, d, "benchmark").select(
+        F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("query"))
+    return catalogue.name_contains_any(docs, asked, "doc_id").select("doc_id")
+
+
 def sp_names(spark, d):
     docs = corpora.table(spark, d, "documents").select("doc_id", F.col("text").alias("name"))
     return catalogue.name_contains(docs, "ThAt aNd")
@@ -425,6 +437,29 @@ def c2(spark, d):
     return chunk_table(spark, d)
 
 
+# Chunks of the documents of either class that a date column of their own puts between two years.
+block("dcls", ["lengths"], f"""
+  SELECT doc_id, CASE WHEN si < 8 THEN 1 ELSE 0 END AS label FROM lengths
+  WHERE si < 16 AND n_tokens > {params.MIN_TOKENS}
+    AND CASE WHEN si < 8 THEN 1800 + doc_id % 150 ELSE 1780 + doc_id % 170 END
+        BETWEEN {params.YEAR_LO} AND {params.YEAR_HI}""")
+block("dper", ["dcls"], f"""
+  SELECT CAST(floor(min(n) / {params.N_CHUNKS}) AS BIGINT) AS p FROM (SELECT count(*) AS n FROM dcls GROUP BY label)""")
+
+
+@query("c2_dated_chunks", f"""
+  SELECT doc_id, CAST((rn - 1) // p AS INTEGER) AS chunk_id,
+         CAST((rn - 1) % p + CASE WHEN label = 0 THEN p ELSE 0 END AS INTEGER) AS row_in_chunk, label
+  FROM (SELECT *, row_number() OVER (PARTITION BY label
+                  ORDER BY md5('{params.SEED}:' || doc_id), doc_id) AS rn FROM dcls), dper
+  WHERE rn <= {params.N_CHUNKS} * p""", ["dcls", "dper"])
+def c2_dated(spark, d):
+    rows = tk.doc_lengths(documents(spark, d), ["si"])
+    year = lambda base, span: (base + F.col("doc_id") % span).cast("string")
+    return sp.dated_chunks(rows.filter(is_member()).withColumn("publication_date", year(1800, 150)),
+                           rows.filter(is_non_member()).withColumn("original_publication", year(1780, 170)))
+
+
 @query("c3_label_classes", """
   SELECT doc_id, CASE WHEN si < 8 THEN 1 ELSE 0 END AS label FROM split WHERE si < 16""", ["split"])
 def c3(spark, d):

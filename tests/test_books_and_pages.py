@@ -131,3 +131,21 @@ def test_sinks(spark, tmp_path):
     sinks.write_metadata_tsv(bib, str(tmp_path / "m"))
     sinks.write_metadata_tsv(bib, str(tmp_path / "m"))
     assert one(spark.read.text(str(tmp_path / "m")), "value") == ["T\tD,\tA"] * 2
+
+
+def test_many_names_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aAbBcé") for _ in range(rng.randint(1, 5)))
+    names = [(i, " ".join(word() for _ in range(6))) for i in range(200)] + [(900, None), (901, "")]
+    asked = [word() + " " + word() for _ in range(40)] + ["", None, "AbA", "zz"]
+    have = spark.createDataFrame(names, "id int, name string").repartition(3)
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    want = {i for i, n in names if n and any(q and q.lower() in n.lower() for q in asked)}
+    assert 0 < len(want) < 200
+    for per_block in (1_000, 7):
+        got = catalogue.name_contains_any(have, queries, "id", per_block=per_block)
+        assert {r["id"] for r in got.collect()} == want
+        assert got.columns == have.columns
+    assert catalogue.name_contains_any(have, queries.filter("query = ''"), "id").count() == 0

@@ -63,3 +63,15 @@ def test_running_totals_with_a_hot_group(spark):
                 assert out[x]["cum_n"] == cum
                 assert out[x]["next_n"] == (mine[i + 1][2] if i + 1 < len(mine) else None)
                 assert out[x]["total_n"] == sum(r[2] for r in mine)
+
+
+def test_dated_chunks_hold_only_documents_between_the_years(spark):
+    from inkprobe.operators import sampling as sp
+
+    rows = [(i, 500, str(1840 + i)) for i in range(80)] + [(200, 500, None), (201, 500, "unknown"), (202, 5, "1860")]
+    members = spark.createDataFrame(rows, "doc_id bigint, n_tokens int, publication_date string")
+    others = spark.createDataFrame([(1_000 + a, b, c) for a, b, c in rows],
+                                   "doc_id bigint, n_tokens int, original_publication string")
+    got = sp.dated_chunks(members, others, lo=1850, hi=1889, n_chunks=4).collect()
+    assert len(got) == 80 and {r["chunk_id"] for r in got} == {0, 1, 2, 3}
+    assert all(10 <= r["doc_id"] % 1_000 < 50 and r["label"] == (r["doc_id"] < 1_000) for r in got)
