@@ -39,3 +39,46 @@ def test_documents_score_as_their_tokens_do_and_tokens_do_not_move(spark, docs):
     plan = sc.score_tokens(corpus, model)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
     assert "Exchange" not in tk.token_table(docs, vocab)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_sends_each_key_of_a_block_once(spark):
+    rows = spark.createDataFrame([(7, i, ["k1", None, "k2", f"k{i % 3}"]) for i in range(50)],
+                                 "_block long, id int, keys array<string>").coalesce(1)
+    asked = rows.select("_block", "keys").mapInArrow(
+        lambda batches: blocks._distinct(batches, False, blocks.pa.string()), "_block bigint, _key string").collect()
+    assert sorted(asked) == [(7, "k0"), (7, "k1"), (7, "k2")]
+
+
+def test_words_are_split_once_for_vocabulary_and_ids(spark, docs):
+    for size in (3, 10_000):
+        coded = tk.code_words(docs, block_tokens=size)
+        assert sorted(tk.vocab_of(coded).collect()) == sorted(tk.build_vocab(docs).collect())
+        vocab = tk.build_vocab(docs, size=20).cache()
+        got = tk.encode_coded(coded, vocab, lower=True, with_word=True)
+        number = {r["token"]: r["token_id"] for r in vocab.collect()}
+        for r in got.collect():
+            assert r["input_ids"] == [number.get(w, 0) for w in r["words"]]
+            assert r["low_ids"] == [number.get(w.lower(), 0) for w in r["words"]]
+        want = docs.select("doc_id", F.coalesce(tk.words("text"), F.array().cast("array<string>")).alias("words"))
+        assert sorted(map(str, got.select("doc_id", "words").collect())) == sorted(map(str, want.collect()))
+
+
+def test_windows_and_contexts_stay_with_their_documents(spark, docs):
+    from inkprobe.operators import baselines as bl
+
+    vocab, corpus = tk.vocab_and_corpus(docs, lower=True)
+    model = sc.train(corpus, vocab, {"target": F.col("doc_id") % 2 == 0, "reference": F.col("doc_id") % 3 == 0}, store=True)
+    windows = bl.window_losses(corpus, model, 8, 7)
+    long = tk.explode_windows(sc.score_tokens(tk.token_rows(corpus), model, 8, 7), 8, 7).filter("pos > begin")
+    want = long.groupBy("doc_id", "begin").agg(F.count("*").alias("n"), F.round(F.avg("nll"), 9).alias("loss"))
+    got = windows.filter("n > 0").select("doc_id", "begin", "n", F.round("loss", 9).alias("loss"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    single = bl.window_losses(corpus.filter("doc_id <> 5"), model)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in single
+
+    columns = ["doc_id", "prev", "slots", F.round("weight", 9).alias("weight")]
+    narrow = sc.doc_general_proba(corpus, context=8, stride=7).select(*columns)
+    by_token = sc.doc_general_proba(tk.token_rows(corpus), context=8, stride=7).select(*columns)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, by_token.collect()))
+    mass = lambda w: sorted(map(str, sc.doc_background(w, model).select("doc_id", F.round("background", 9)).collect()))
+    assert mass(sc.doc_contexts(corpus, (), 8, 7)) == mass(sc.doc_general_proba(tk.token_rows(corpus), (), 8, 7))

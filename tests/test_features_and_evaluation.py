@@ -166,3 +166,15 @@ def test_a_document_of_ten_million_values(spark):
     assert len(got) == 1 and got[0]["count"] == n and got[0]["max"] == n - 1
     for p in params.PERCENTILES:
         assert got[0][f"perc_{p}"] == pytest.approx((n - 1) * p / 100)
+
+
+def test_features_of_document_arrays_equal_those_of_their_tokens(spark):
+    rows = [(i % 7, 0, 1, list(range(n)), [float((k * 37) % 11) if k % 5 else None for k in range(n)], [1.5] * n)
+            for i, n in enumerate([0, 1, 2, 9, 40, 3, 5, 6, 30])]
+    docs = spark.createDataFrame(rows, "doc_id long, chunk_id int, label int, input_ids array<int>, v_0 array<double>, v_1 array<double>")
+    by = ["doc_id", "chunk_id", "label"]
+    long = docs.select(*by, F.explode(F.arrays_zip("v_0", "v_1")).alias("v")).select(*by, F.array("v.v_0", "v.v_1").alias("values"))
+    columns = ["doc_id", "fold", *[F.round(c, 9).alias(c) for c in ft.params.AGG_FEATURES]]
+    got = ft.agg_features_documents(docs, docs, by, 2, longest=20).select(*columns)
+    want = ft.agg_features_folds(long, by, 2).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
