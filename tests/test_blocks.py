@@ -1,5 +1,7 @@
 """Blocks of rows ask for each of their distinct keys once."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,54 @@ def test_windows_and_contexts_stay_with_their_documents(spark, docs):
     assert sorted(map(str, narrow.collect())) == sorted(map(str, by_token.collect()))
     mass = lambda w: sorted(map(str, sc.doc_background(w, model).select("doc_id", F.round("background", 9)).collect()))
     assert mass(sc.doc_contexts(corpus, (), 8, 7)) == mass(sc.doc_general_proba(tk.token_rows(corpus), (), 8, 7))
+
+
+def _shuffled(df):
+    """Columns that each shuffle of a plan carries."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line], plan
+
+
+def test_pairs_meet_no_context_before_their_block(spark, docs):
+    """Blocks get counts and totals; the stored pairs are shuffled once, to the blocks that ask."""
+    vocab, corpus = tk.vocab_and_corpus(docs)
+    model = sc.train(corpus, vocab, {"target": F.col("doc_id") % 2 == 0}, lam=0.3, store=True)
+    got = sc.document_losses(corpus, model)
+    exchanges, plan = _shuffled(got)
+    assert "keep_target" not in plan and "b_target" not in plan
+    terms = {(r["prev"], r["token_id"]): r["b_target"] for r in model.terms.collect()}
+    keeps = {r["prev"]: r["keep_target"] for r in model.contexts.collect()}
+    u = {r["token_id"]: r["u_target"] for r in model.unigrams.collect()}
+    for r in got.collect():
+        ids = r["input_ids"]
+        want = [-math.log(terms.get((a, t), 0.0) + keeps.get(a, 1.0) * u[t]) for a, t in zip(ids, ids[1:])]
+        assert r["nll"][:1] in ([], [None]) and r["nll"][1:] == pytest.approx(want, abs=1e-12)
+
+
+def test_what_hot_keys_find_does_not_travel(spark):
+    """The wide answers of hot keys are joined after the shuffle of the rows that ask."""
+    from inkprobe.functions.skew import lookup_join
+
+    left = spark.range(400).select((F.col("id") % 3).alias("k"), "id")
+    right = spark.createDataFrame([(i, [float(i)] * 4) for i in range(2)], "k long, top array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookup_join(left, right, ["k"], ["top"], ["id"], slots=10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin"), plan
+        got = {r["id"]: r["top"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: [float(i % 3)] * 4 if i % 3 < 2 else None for i in range(400)}
+
+
+def test_sequences_of_single_documents_do_not_move(spark, docs):
+    from inkprobe.operators import ngrams as ng
+
+    _, corpus = tk.vocab_and_corpus(docs)
+    want = ng.sequences(tk.token_rows(corpus))
+    assert sorted(map(str, ng.sequences(corpus).collect())) == sorted(map(str, want.collect()))
+    single = ng.sequences(corpus.filter("doc_id <> 5"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
