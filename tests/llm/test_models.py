@@ -172,3 +172,35 @@ def test_long_labelled_texts_are_learned_from_in_windows(spark):
     assert net is not None
     got = {r.doc_id: r.score for r in toxicity.score(docs, net, None).collect()}
     assert min(got[i] for i in range(1, 24, 2)) > max(got[i] for i in range(0, 24, 2))
+
+
+def test_toxicity_learns_from_rows_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKET_ROWS", 64)
+    bad = [f"vile{c * 3}" for c in "abcdefgh"]
+    rows = [(i, " ".join([f"plain{(i * j) % 40}" for j in range(1, 12)] + ([bad[i // 2 % 8]] if i % 2 else []))) for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(640)], "doc_id bigint, toxic int")
+    net = toxicity.train(docs, labels, None, most=3)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net, None).collect()}
+    found = {w: sum(got[i] >= 0.5 for i in range(1, 640, 2) if bad[i // 2 % 8] == w) for w in bad}
+    assert all(n == 40 for n in found.values()), found
+    again = toxicity.train(docs.repartition(7), labels, None, most=3)
+    assert all((a == b).all() for a, b in zip(net.tables, again.tables)) and net.cuts == again.cuts
+
+
+def test_cuts_of_counted_rows_equal_those_of_each_row():
+    rng = np.random.default_rng(5)
+    z = np.rint(rng.normal(0, 2, 400) * 4) / 4
+    y = (z + rng.normal(0, 1, 400) > 0).astype(float)
+    at, place = np.unique(z, return_inverse=True)
+    counted = toxicity._best_cut(at, np.bincount(place, y), np.bincount(place).astype(float))
+    assert counted == toxicity._best_cut(z, y)
+
+
+def test_long_texts_keep_the_words_that_win(monkeypatch):
+    net = toxicity.fit([toxicity.hashed(b"bad bad words"), toxicity.hashed(b"fine day")], np.array([1.0, 0.0]), epochs=3)
+    text = toxicity.hashed(b"fine day " * 300 + b"bad bad words " + b"fine day " * 300)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 50)
+    held = toxicity.near_winners(net, text)
+    assert len(held) <= 3 * toxicity.FILTERS * len(toxicity.WIDTHS)
+    assert np.isclose(toxicity.logits(net, [held])[0], toxicity.logits(net, [text])[0], atol=1e-4)
