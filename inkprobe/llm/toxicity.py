@@ -238,7 +238,8 @@ def fit_from_start(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EP
 def near_winners(net: Net, crcs: np.ndarray) -> np.ndarray:
     """Of a text beyond ``STEP_WORDS`` words, those that a filter's maximum over the whole text lies on; else all.
 
-    Gradients reach no others, so every word is looked at and none has to be held for a step.
+    Gradients reach no others, so every word is looked at and none has to be held for a step. Where kept
+    stretches meet, windows of words can form that the text doesn't have.
     """
     if len(crcs) <= STEP_WORDS:
         return crcs

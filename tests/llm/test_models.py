@@ -188,13 +188,16 @@ def test_toxicity_learns_from_rows_beyond_the_sample(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(net.tables, again.tables)) and net.cuts == again.cuts
 
 
-def test_cuts_of_counted_rows_equal_those_of_each_row():
+def test_cuts_of_counted_rows_err_least_between_scores():
     rng = np.random.default_rng(5)
     z = np.rint(rng.normal(0, 2, 400) * 4) / 4
     y = (z + rng.normal(0, 1, 400) > 0).astype(float)
     at, place = np.unique(z, return_inverse=True)
-    counted = toxicity._best_cut(at, np.bincount(place, y), np.bincount(place).astype(float))
-    assert counted == toxicity._best_cut(z, y)
+    cut = toxicity._best_cut(at, np.bincount(place, y), np.bincount(place).astype(float))
+    error = lambda c: (y * (z < c)).sum() / y.sum() + ((1 - y) * (z >= c)).sum() / (1 - y).sum()
+    assert cut not in at and np.isclose(error(cut), min(error(c) for c in [*at, at[-1] + 1]))
+    apart = rng.permutation(400) / 7.0
+    assert toxicity._best_cut(apart, y) == toxicity._best_cut(apart, y, np.ones(400))
 
 
 def test_long_texts_keep_the_words_that_win(monkeypatch):
@@ -203,4 +206,6 @@ def test_long_texts_keep_the_words_that_win(monkeypatch):
     monkeypatch.setattr(toxicity, "STEP_WORDS", 50)
     held = toxicity.near_winners(net, text)
     assert len(held) <= 3 * toxicity.FILTERS * len(toxicity.WIDTHS)
-    assert np.isclose(toxicity.logits(net, [held])[0], toxicity.logits(net, [text])[0], atol=1e-4)
+    # Seams may form word windows of their own, so the logit is only near.
+    assert np.isclose(toxicity.logits(net, [held])[0], toxicity.logits(net, [text])[0], atol=0.02)
+    assert {tuple(w) for w in toxicity.hashed(b"bad bad words")} <= {tuple(w) for w in held}
