@@ -292,6 +292,26 @@ def resolve_overlaps(window_scores: DataFrame, value: str = "nll") -> DataFrame:
         F.max_by(value, "begin").alias(value), F.max("begin").alias("begin"))
 
 
+def resolve_documents(corpus: DataFrame, model: CountModel, value: Callable[[Column], Column],
+                      context: int = params.CONTEXT, stride: int = params.STRIDE) -> DataFrame:
+    """:func:`resolve_overlaps` of the windows of documents as arrays (of :func:`~inkprobe.operators.tokens.encode`).
+
+    ``value`` gives a position's score in the window that begins at its argument, from ``pos`` and ``nll``. A
+    position's windows meet in its own row; only documents that share their id are put together by a shuffle.
+    """
+    def resolved(docs: DataFrame) -> DataFrame:
+        begins = F.filter(tk.covering_begins(context, stride, early_stop=True), lambda b: b < F.col("pos"))
+        windows = F.transform(begins, lambda b: F.struct(b.alias("begin"), value(b).alias("nll")))
+        rows = score_tokens(docs, model).select("doc_id", "pos", F.array_max(windows).alias("_w"))
+        return rows.filter(F.col("_w").isNotNull()).select("doc_id", "pos", "_w.nll", "_w.begin")
+
+    shared = repeated(corpus, ["doc_id"])
+    if shared is None:
+        return resolved(corpus)
+    several = resolve_overlaps(resolved(with_keys(corpus, shared, ["doc_id"], "left_semi")))
+    return resolved(with_keys(corpus, shared, ["doc_id"], "left_anti")).unionByName(several)
+
+
 def with_rank(scores: DataFrame) -> DataFrame:
     """The rank column is part of the score schema but never computed."""
     return scores.withColumn("rank", F.lit(None).cast("int"))

@@ -345,16 +345,20 @@ def total_slots(context: int, stride: int) -> Column:
     return (last / F.lit(stride)).cast("bigint") * (context - 1) + (n - last - 1)
 
 
-def explode_windows(tokens: DataFrame, context: int = params.CONTEXT, stride: int = params.STRIDE,
-                    early_stop: bool = False) -> DataFrame:
-    """One row per token and window that covers it (first position included); narrow."""
+def covering_begins(context: int, stride: int, early_stop: bool = False) -> Column:
+    """Starts of the windows that cover ``pos``, as an array; NULL when none does."""
     pos = F.col("pos")
     top = F.floor(pos / F.lit(stride)).cast("int") * stride
     if early_stop:
         top = F.least(top, last_begin(context, stride))
     low = _first_begin(pos, context, stride)
-    begins = F.when(low <= top, F.sequence(low, top, F.lit(stride)))
-    return tokens.withColumn("begin", F.explode(begins))
+    return F.when(low <= top, F.sequence(low, top, F.lit(stride)))
+
+
+def explode_windows(tokens: DataFrame, context: int = params.CONTEXT, stride: int = params.STRIDE,
+                    early_stop: bool = False) -> DataFrame:
+    """One row per token and window that covers it (first position included); narrow."""
+    return tokens.withColumn("begin", F.explode(covering_begins(context, stride, early_stop)))
 
 
 def decode(rows: DataFrame, vocab: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -135,3 +135,25 @@ def test_sequences_of_single_documents_do_not_move(spark, docs):
     assert sorted(map(str, ng.sequences(corpus).collect())) == sorted(map(str, want.collect()))
     single = ng.sequences(corpus.filter("doc_id <> 5"))
     assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_are_resolved_where_a_document_lies(spark, docs):
+    vocab = tk.build_vocab(docs).cache()
+    corpus = tk.encode(docs, vocab)
+    model = sc.train(corpus, vocab, {"target": F.lit(True)}, store=True)
+    scored = sc.score_tokens(corpus, model).cache()
+    for context, stride in ((8, 4), (4, 6)):
+        rows = tk.explode_windows(scored, context, stride, early_stop=True).filter("pos > begin")
+        want = sc.resolve_overlaps(rows.withColumn("nll", F.col("nll") * 100 + (F.col("pos") - F.col("begin"))))
+        found = sc.resolve_documents(
+            corpus, model, lambda b: F.col("nll") * 100 + (F.col("pos") - b), context, stride).cache()
+        keys = ["doc_id", "pos", "begin"]
+        listed = lambda df, *c: sorted(map(str, df.select(*keys, *c).collect()))
+        assert listed(found) == listed(want)
+        value = F.round("nll", 9).alias("nll")
+        other = ~F.col("doc_id").eqNullSafe(5)  # two documents have this id
+        assert listed(found.filter(other), value) == listed(want.filter(other), value)
+    # Only documents that share their id move once they are scored.
+    alone = sc.resolve_documents(corpus.filter(~F.col("doc_id").eqNullSafe(5)), model, lambda b: F.col("nll"), 8, 4)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("FlatMapCoGroupsInArrow")]
