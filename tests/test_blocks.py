@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkprobe.functions import blocks
+from inkprobe.operators import neighbours as nb
 from inkprobe.operators import scoring as sc
 from inkprobe.operators import tokens as tk
 
@@ -157,3 +158,24 @@ def test_overlaps_are_resolved_where_a_document_lies(spark, docs):
     alone = sc.resolve_documents(corpus.filter(~F.col("doc_id").eqNullSafe(5)), model, lambda b: F.col("nll"), 8, 4)
     plan = alone._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_contexts_of_two_tokens_are_counted_where_documents_lie(spark, docs):
+    vocab = tk.build_vocab(docs).cache()
+    corpus = tk.encode(docs, vocab)
+    tokens = tk.token_rows(corpus, with_next=True).cache()
+    pools = {"target": F.col("doc_id") % 2 == 0, "other": F.col("doc_id") % 3 == 0}
+    ctx = ("prev", "next")
+    by_row = sc.train(tokens, vocab, pools, ctx, store=True)
+    by_document = sc.train(corpus, vocab, pools, ctx, store=True)
+    for part in ("counts", "contexts", "unigrams", "terms"):
+        found, want = getattr(by_document, part), getattr(by_row, part)
+        assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # Totals of contexts need no further shuffle.
+    assert "Exchange" not in by_document.contexts._jdf.queryExecution().executedPlan().toString()
+    for context, stride, most in ((8, 7, None), (8, 3, None), (4, 6, None), (8, 4, 5), (1, 1, None)):
+        rows = nb.swap_positions(tokens, context, stride, most)
+        found = nb.swap_contexts(corpus, context, stride, most)
+        want = rows.groupBy("prev", "next").count()
+        assert sorted(found.groupBy("prev", "next").agg(F.sum("n")).collect()) == sorted(want.collect())
+        assert sorted(nb.context_shares(found, by_document).collect()) == sorted(nb.context_shares(rows, by_row).collect())
