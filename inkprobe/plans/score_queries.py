@@ -73,7 +73,9 @@ def e1_gp(spark, d):
 def c6(spark, d):
     data = chunked(spark, d)
     norms = nm.fold_norms(data.token_freq, data.chunk_tokens, data.n_chunks)
-    return nm.norm_lookup(data.documents, materialize(norms, "norms"), data.n_chunks).groupBy("fold", "doc_id").agg(
+    # Losses are not read here, so they do not travel to the norms.
+    docs = data.documents.drop("nll", "max_p")
+    return nm.norm_lookup(docs, materialize(norms, "norms"), data.n_chunks).groupBy("fold", "doc_id").agg(
         F.count("*").alias("n"), rnd(F.sum("norm"), "norm_sum"))
 
 
