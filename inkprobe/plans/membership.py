@@ -48,12 +48,12 @@ class ChunkedScores:
 def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks: int = params.N_CHUNKS,
                  n_pos: int | None = None, min_len: int = params.MIN_TOKENS, seed: int = params.SEED,
                  context: int = params.CONTEXT, stride: int = params.STRIDE,
-                 size: int | None = None, keep_tables: bool = True) -> ChunkedScores:
+                 size: int | None = None, keep_tables: bool = True, keep_scores: bool = True) -> ChunkedScores:
     """Chunk, train on the member pool and score.
 
     ``docs`` has text and the columns the two class conditions use. With
     ``keep_tables`` the vocabulary, model, tokens and scores are written to the
-    shared folder once and all later steps read them.
+    shared folder once and all later steps read them. Scores that are read once need no table (``keep_scores``).
     """
     hold = materialize if keep_tables else (lambda df, name: df)
     classed = docs.select("doc_id", "text", F.when(member, 1).when(non_member, 0).alias("_class"))
@@ -67,7 +67,8 @@ def score_chunks(docs: DataFrame, member: Column, non_member: Column, n_chunks:
     chosen = hold(chosen, "chunk_tokens")
     long = tk.token_rows(chosen, ["chunk_id"])
     counts = hold(tk.token_counts(long, ["chunk_id"]), "counts")
-    scored = hold(sc.score_documents(chosen, model, max_p=True), "scores")
+    scored = sc.score_documents(chosen, model, max_p=True)
+    scored = hold(scored, "scores") if keep_scores else scored
     weights = sc.doc_general_proba(chosen, ["chunk_id"], context, stride)
     scores = sc.scored_rows(scored, ["chunk_id", "label"], context, stride).select(
         "doc_id", "chunk_id", "label", "pos", "token_id", "nll", "max_p")

@@ -36,8 +36,8 @@ AGG = list(params.AGG_FEATURES)
 FOLD_KEYS = ["fold", "doc_id", "chunk_id", "label"]
 
 
-def chunked(spark, d):
-    return mb.score_chunks(documents(spark, d), is_member(), is_non_member())
+def chunked(spark, d, **options):
+    return mb.score_chunks(documents(spark, d), is_member(), is_non_member(), **options)
 
 
 def values(spark, d, kind="ratio", table="token_freq"):
@@ -99,7 +99,7 @@ block("plain_values", ["cscored", "folds"], """
 
 @query("e2_none", _value_sql("plain_values"), ["plain_values"])
 def e2(spark, d):
-    return _value_sums(values(spark, d, "none"))
+    return _value_sums(mb.fold_values(chunked(spark, d, keep_scores=False), "none", "token_freq"))
 
 
 @query("e3_ratio", _value_sql("ratio_tf"), ["ratio_tf"])
