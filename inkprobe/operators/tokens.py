@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprobe import params
-from inkprobe.functions.blocks import BLOCK, Find, flat_of, look_up, of_lists, store_blocks
+from inkprobe.functions.blocks import BLOCK, Find, flat_of, look_up, of_lists, repeated, store_blocks, with_keys
 from inkprobe.session import materialize
 
 START_CHARS = 3
@@ -247,17 +247,31 @@ def token_table(docs: DataFrame, vocab: DataFrame, keep: Sequence[str] = (),
 def tokenize(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace ``text`` by ``input_ids`` and ``attention_mask``; other columns stay.
 
-    Ids of documents with a token must be unique; the other columns join afterwards.
+    Ids of documents with a token must be unique; a document without id has no tokens.
     """
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    ids = encode(docs.select("doc_id", "text"), vocab).filter(F.size("input_ids") > 0).groupBy("doc_id").agg(
+    return tokenized(encode(docs, vocab, keep), keep)
+
+
+def tokenized(corpus: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`tokenize` of the documents of :func:`encode`; only rows that share their id move."""
+    none = F.array().cast("array<int>")
+
+    def rows(docs: DataFrame, ids: Column) -> DataFrame:
+        return docs.select("doc_id", *keep, ids.alias("input_ids")).withColumn(
+            "attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+    own = F.when(F.col("doc_id").isNotNull(), F.col("input_ids")).otherwise(none)
+    shared = repeated(corpus.filter(F.col("doc_id").isNotNull()), ["doc_id"])
+    if shared is None:
+        return rows(corpus, own)
+    several = with_keys(corpus, shared, ["doc_id"], "left_semi")
+    found = several.filter(F.size("input_ids") > 0).groupBy("doc_id").agg(
         F.min("input_ids").alias("_ids"), F.count("*").alias("_n"))
     single = F.when(F.col("_n") == 1, F.col("_ids")).otherwise(
         F.raise_error(F.lit("document ids must be unique")).cast("array<int>"))
-    joined = docs.select("doc_id", *keep).join(ids.select("doc_id", single.alias("_ids")), "doc_id", "left")
-    return joined.select(
-        "doc_id", *keep, F.coalesce("_ids", F.array().cast("array<int>")).alias("input_ids")).withColumn(
-        "attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    joined = several.select("doc_id", *keep).join(found.select("doc_id", single.alias("_ids")), "doc_id", "left")
+    return rows(with_keys(corpus, shared, ["doc_id"], "left_anti"), own).unionByName(rows(joined, F.coalesce("_ids", none)))
 
 
 def explode_ids(corpus: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

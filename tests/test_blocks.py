@@ -179,3 +179,24 @@ def test_contexts_of_two_tokens_are_counted_where_documents_lie(spark, docs):
         want = rows.groupBy("prev", "next").count()
         assert sorted(found.groupBy("prev", "next").agg(F.sum("n")).collect()) == sorted(want.collect())
         assert sorted(nb.context_shares(found, by_document).collect()) == sorted(nb.context_shares(rows, by_row).collect())
+
+
+def test_only_documents_that_share_their_id_move_for_tokenize(spark, docs):
+    named = docs.withColumn("tag", F.coalesce(F.col("doc_id"), F.lit(-1)) % 3)
+    once = named.filter("doc_id IS NULL OR doc_id <> 5")
+    vocab = tk.build_vocab(docs).cache()
+    rows = tk.tokenize(once, vocab)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r["doc_id"]: r for r in rows.collect()}
+    number = {r["token"]: r["token_id"] for r in vocab.collect()}
+    for r in once.collect():
+        want = [number[w] for w in (r["text"] or "").split()] if r["doc_id"] is not None else []
+        assert (got[r["doc_id"]]["input_ids"], got[r["doc_id"]]["tag"]) == (want, r["tag"])
+        assert got[r["doc_id"]]["attention_mask"] == [1] * len(want)
+    # Rows of one id of which one has a token all get it; two that have tokens are an error.
+    empty = spark.createDataFrame([(7, ""), (7, None)], "doc_id long, text string").withColumn("tag", F.lit(9).cast("long"))
+    shared = [r["input_ids"] for r in tk.tokenize(once.unionByName(empty), vocab).filter("doc_id = 7").collect()]
+    assert len(shared) == 3 and len(set(map(tuple, shared))) == 1 and shared[0]
+    with pytest.raises(Exception, match="document ids must be unique"):
+        tk.tokenize(named, vocab).collect()
