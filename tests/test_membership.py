@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkprobe.operators import scoring as sc
 from inkprobe.plans import membership as mb
+from inkprobe.plans import score_queries as sq
 from inkprobe.sources import sinks
 
 
@@ -86,3 +87,25 @@ def test_grid_fits_every_experiment_and_fold_as_alone(data):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     metrics = ev.fold_metrics(grid, ["experiment_name", "model", "fold"])
     assert metrics.count() == 10 * 2 * 3
+
+
+def test_unread_losses_do_not_travel_to_the_norms(spark, data, monkeypatch):
+    given, look_up = [], sq.nm.norm_lookup
+    monkeypatch.setattr(sq, "chunked", lambda *_, **__: data)
+    monkeypatch.setattr(sq.nm, "norm_lookup", lambda docs, *rest: given.append(docs.columns) or look_up(docs, *rest))
+    assert sq.c6(spark, "").count() == 60 * 3
+    assert not {"nll", "max_p"} & set(given[0])
+
+
+def test_scores_read_once_are_not_stored(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b a c w{i % 3} a b", i % 2 == 0) for i in range(12)],
+                                 "doc_id bigint, text string, member boolean")
+    stored, store = [], mb.materialize
+    monkeypatch.setattr(mb, "materialize", lambda df, name, *rest: stored.append(name) or store(df, name, *rest))
+    make = lambda **options: mb.score_chunks(
+        docs, F.col("member"), ~F.col("member"), n_chunks=2, min_len=2, **options)
+    monkeypatch.setattr(sq, "chunked", lambda *_, **options: make(**options))
+    once = sq.e2(spark, "").collect()
+    assert "counts" in stored and "scores" not in stored
+    assert sorted(once) == sorted(sq._value_sums(mb.fold_values(make(), "none", "token_freq")).collect())
+    assert "scores" in stored
