@@ -200,3 +200,17 @@ def test_only_documents_that_share_their_id_move_for_tokenize(spark, docs):
     assert len(shared) == 3 and len(set(map(tuple, shared))) == 1 and shared[0]
     with pytest.raises(Exception, match="document ids must be unique"):
         tk.tokenize(named, vocab).collect()
+
+
+def test_rows_of_a_document_do_not_hold_its_arrays(spark, docs):
+    """What is taken of a whole document is taken before its rows are made."""
+    from inkprobe.operators import ngrams as ng
+
+    vocab, corpus = tk.vocab_and_corpus(docs)
+    model = sc.train(corpus, vocab, {"target": F.lit(True)}, store=True)
+    overlaps = sc.resolve_documents(corpus.filter(~F.col("doc_id").eqNullSafe(5)), model, lambda b: F.col("nll"), 8, 4)
+    grams = ng.scored_grams(ng.gram_table(ng.sequences(corpus), 3), 3, 8, 7)
+    for rows in (overlaps, grams, sc.score_tokens(corpus, model)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        made = [line for line in plan.splitlines() if "Generate" in line]
+        assert len(made) == 1 and "input_ids" not in made[0] and "nll" not in made[0], plan
