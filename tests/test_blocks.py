@@ -214,3 +214,45 @@ def test_rows_of_a_document_do_not_hold_its_arrays(spark, docs):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         made = [line for line in plan.splitlines() if "Generate" in line]
         assert len(made) == 1 and "input_ids" not in made[0] and "nll" not in made[0], plan
+
+
+def test_blocks_are_worked_on_by_parts(spark, docs, monkeypatch):
+    """No step takes all tokens of a block or batch at once, and the parts give what the whole gave."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = pa.table({"k": pa.array([[1, 2, 3], None, [], [4] * 9, [5], [6, 7]]), "at": np.arange(6)})
+    parts = [p.column("at").to_pylist() for p in blocks.sliced(lists, "k", 4)]
+    assert parts == [[0, 1, 2], [3], [4, 5]]
+    assert [p.column("at").to_pylist() for p in blocks.sliced(lists.slice(2), 0, 4)] == [[2], [3], [4, 5]]
+    table = pa.table({"_find": pa.array([0, 0, 1], pa.int32()), "_key": pa.array([1, 4, (6 << 32) | 7], pa.int64()),
+                      "_v0_double": [.1, .4, None], "_v0_bigint": pa.array([None, None, 67], pa.int64())})
+    asked = [({"k": ["a"]}, False), ({"k": ["b"]}, True)]
+    sizes = []
+    monkeypatch.setattr(blocks, "SLICE", 4)
+    for part in blocks._filled(lists, table, asked, [["_v0_double"], ["_v0_bigint"]]):
+        sizes.append(sum(len(k or []) for k in part.column("k").to_pylist()))
+        for k, a, b in zip(*[part.column(c).to_pylist() for c in "kab"]):
+            assert a == [{1: .1, 4: .4}.get(x) for x in k or []]
+            assert b == [67 if x == (6, 7) else None for x in zip([None, *(k or [])], k or [])]
+    assert sizes == [3, 9, 3]
+
+
+def test_windows_of_shared_ids_and_of_others_agree(spark, docs):
+    """Windows arise in the blocks that look losses up; the arrays of losses go to no second worker."""
+    from inkprobe.operators import baselines as bl
+
+    vocab, corpus = tk.vocab_and_corpus(docs, lower=True, with_word=True)
+    model = sc.train(corpus, vocab, {"target": F.col("doc_id") % 2 == 0, "reference": F.col("doc_id") % 3 == 0}, store=True)
+    alone = bl.window_losses(corpus.filter("doc_id <> 5"), model, 8, 7)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange") and "MapInArrow" not in plan[:plan.index("Exchange")].replace(
+        "FlatMapCoGroupsInArrow", "")
+    rounded = lambda rows: sorted(str((r["doc_id"], r["begin"], r["n"], r["sequence"], r["words"], [
+        None if v is None else round(v, 9) for v in (r["loss"], r["loss_ref"], r["loss_lower"], *r["logp"])])) for r in rows.collect())
+    # The same documents under an id that two rows have.
+    twice = corpus.filter("doc_id = 5").limit(1).withColumn("input_ids", F.array().cast("array<int>")).withColumn(
+        "low_ids", F.col("input_ids")).withColumn("words", F.array().cast("array<string>"))
+    one = corpus.filter("doc_id <> 5")
+    shared = one.unionByName(twice.withColumn("doc_id", F.lit(7).cast("long")))
+    assert rounded(bl.window_losses(shared, model, 8, 7).filter("doc_id = 7")) == rounded(alone.filter("doc_id = 7"))
