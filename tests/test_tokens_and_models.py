@@ -245,6 +245,22 @@ def test_counts_merge_and_stream(spark, tmp_path, small):
     assert got == dict(Counter(w for _, t, _ in corpus() for w in t.split()))
 
 
+def test_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    import shutil
+
+    docs = spark.createDataFrame([(i, f"a b{i % 3} a") for i in range(20)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "made").glob("*.parquet")), tmp_path / "one/documents.parquet")
+    for folder in ("many", "one"):
+        docs.limit(1).write.mode("overwrite").parquet(str(tmp_path / folder / "labels.parquet"))  # not asked for
+        src = stream.read_documents(spark, str(tmp_path / folder), "doc_id bigint, text string", "documents.parquet")
+        stream.count_into(src, str(tmp_path / f"out_{folder}"), str(tmp_path / f"state_{folder}")).awaitTermination()
+        got = {r["token"]: r["n"] for r in stream.merged(spark, str(tmp_path / f"out_{folder}")).collect()}
+        assert got == {"a": 40, "b0": 7, "b1": 7, "b2": 6}
+
+
 def test_score_intake(spark):
     df = spark.createDataFrame([(1, 2, 3, 0.5, "x")], "doc_id int, pos int, token_id int, nll float, extra string")
     assert sc.from_token_scores(df).columns == ["doc_id", "pos", "token_id", "nll", "top", "extra"]
