@@ -178,3 +178,26 @@ def test_features_of_document_arrays_equal_those_of_their_tokens(spark):
     got = ft.agg_features_documents(docs, docs, by, 2, longest=20).select(*columns)
     want = ft.agg_features_folds(long, by, 2).select(*columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_histograms_of_document_arrays_equal_those_of_their_tokens(spark):
+    rows = [(i % 7, i % 2 if i < 7 else (i - 7) % 2, 1, [float((k * 37) % 11) if k % 5 else None for k in range(n)],
+             [None if i == 4 else 0.1 * k + i for k in range(n)]) for i, n in enumerate([0, 1, 2, 9, 40, 3, 5, 6, 30])]
+    docs = spark.createDataFrame(rows, "doc_id long, chunk_id int, label int, v_0 array<double>, v_1 array<double>")
+    by, columns = ["doc_id", "chunk_id", "label"], ["v_0", "v_1"]
+    long = docs.select(*by, F.explode(F.arrays_zip(*columns)).alias("v")).select(*by, F.array("v.v_0", "v.v_1").alias("values"))
+    listed = lambda df: sorted(map(str, df.collect()))
+    for k in (1, 4, 9):
+        edges = ft.hist_edges_documents(docs, k, columns)
+        assert listed(edges) == listed(ft.hist_edges_folds(long, k, 2))
+        values = long.select(*by, F.posexplode("values").alias("fold", "value"))
+        want = ft.hist_features(values, edges, k, ["fold", *by], 2)
+        found = ft.hist_features_documents(docs, docs, edges, k, by, columns)
+        shown = ["fold", *by, "bin", F.round("density", 9).alias("density")]
+        assert listed(ft.unpacked(found).select(*shown)) == listed(want.select(*shown))
+        rounded = ["fold", *by, "role", F.transform("x", lambda v: F.round(v, 9)).alias("x")]
+        assert listed(ft.scaled_histograms(docs, docs, k, columns).select(*rounded)) == listed(
+            ft.extract_scaled(long, f"hist_{k}", 2).select(*rounded))
+    alone = docs.filter("doc_id > 1")  # the others share theirs
+    plan = ft.hist_features_documents(alone, alone, edges, 9, by, columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -49,6 +49,26 @@ def test_grid_runs_every_model_of_every_experiment(data):
     assert keys == {(e, m) for e in specs for m in ("logistic_regression", "random_forest")}
 
 
+def test_features_are_made_where_documents_lie(data):
+    """Tokens are neither stored as rows nor shuffled for features of any kind."""
+    from dataclasses import replace
+
+    by_row = replace(data, documents=None)
+    for norm_type in ("none", "ratio", "diff_max_token_proba"):
+        for kind in ("simple_agg", "hist_7"):
+            shown = ["fold", "doc_id", "chunk_id", "label", "role", F.transform("x", lambda v: F.round(v, 7)).alias("x")]
+            got, want = (sorted(map(str, mb.fold_features(d, norm_type, "token_freq", kind).select(*shown).collect()))
+                         for d in (data, by_row))
+            assert got == want and len(got) == 180
+        hist = mb.fold_histograms(data, norm_type, "token_freq", 7)
+        want = mb.fold_histograms(by_row, norm_type, "token_freq", 7)
+        shown = ["fold", "doc_id", "bin", F.round("density", 7).alias("density")]
+        assert sorted(map(str, hist.select(*shown).collect())) == sorted(map(str, want.select(*shown).collect()))
+        plan = hist._jdf.queryExecution().executedPlan().toString()
+        top = plan[:plan.index("FlatMapCoGroupsInArrow")] if norm_type != "none" else plan
+        assert "Exchange" not in top
+
+
 def test_scores_made_elsewhere_give_the_same_values(data):
     given = data.scores.select("doc_id", "pos", "token_id", "nll", F.create_map(F.lit(0), F.col("max_p")).alias("top"))
     chunks = data.scores.select("doc_id", "chunk_id", "label").distinct()
